@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinespark.llm import quality
+from kinespark.llm import decontaminate, mixing, quality, secrets, simhash
 from kinespark.llm.common import cut, table
 
 
@@ -14,8 +14,28 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return quality.clean(docs)
 
 
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return simhash.dedup(docs)
+
+
+def without_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return secrets.redact(docs)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mix(docs)
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("quality rules", keep_quality),
+    ("near-dedup", one_of_each_group),
+    ("decontamination", without_benchmarks),
+    ("secret scans", without_secrets),
+    ("mixing", mixed),
 ]
 
 #: SQL can't express the near-dedup's components and the alignments; tests hold the stages against brute force.
