@@ -1 +1,108 @@
-"""Queries."""
+"""Source and sink queries (S and K of the survey). What is written goes to the folder that executors share."""
+
+import tempfile
+import uuid
+
+from pyspark.sql import functions as F
+
+from kinespark.sources import readers as R
+from kinespark.sources.tables import table
+
+from .registry import query
+
+
+def scratch(spark, name):
+    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/kinespark"
+    return f"{root.rstrip('/')}/{uuid.uuid4().hex}/{name}"
+
+
+SMALL = "SELECT c_custkey AS k, c_name AS name, c_acctbal AS bal FROM customer"
+SCHEMA = "k bigint, name string, bal double"
+
+
+def customers(spark, d):
+    return table(spark, d, "customer").select(F.col("c_custkey").alias("k"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("bal"))
+
+
+def _through(ending):
+    def run(spark, d):
+        path = scratch(spark, f"customers.{ending}")
+        R.dump(customers(spark, d), path)
+        return R.load(spark, path, SCHEMA)
+
+    return run
+
+
+for _name, _ending in (("S03_K02_jsonl_round_trip", "jsonl"), ("S04_S05_parquet_round_trip", "parquet"), ("S07_tsv_round_trip", "tsv"), ("S10_csv_round_trip", "csv"), ("S10_orc_round_trip", "orc")):
+    query(_name, SMALL)(_through(_ending))
+
+
+@query("S01_S02_K01_json_array", SMALL)
+def s01(spark, d):
+    # One array in one file, as an annotation tool writes it, with elements that aren't records.
+    path = scratch(spark, "array")
+    rows = customers(spark, d).select(F.to_json(F.struct("k", "name", "bal")).alias("value"))
+    whole = rows.groupBy().agg(F.concat(F.lit("["), F.array_join(F.collect_list("value"), ","), F.lit(",null]")).alias("value"))
+    whole.write.text(path)
+    return R.load_records(spark, path, SCHEMA)
+
+
+@query("S06_S09_U02_partitions_as_one", "SELECT 'even' AS part, c_custkey AS k FROM customer WHERE c_custkey % 2 = 0 UNION ALL SELECT 'odd', c_custkey FROM customer WHERE c_custkey % 2 = 1")
+def s06(spark, d):
+    paths = {}
+    for name, rest in (("even", 0), ("odd", 1)):
+        paths[name] = scratch(spark, f"{name}.parquet")
+        R.dump(customers(spark, d).filter(F.col("k") % 2 == rest), paths[name])
+    return R.union_of(spark, paths, SCHEMA, "part").select("part", "k")
+
+
+@query("S08_nested_records", "SELECT conv_id AS key, upper(role) AS answer, turn FROM conversations WHERE role = 'user' AND text <> ''")
+def s08(spark, d):
+    path = scratch(spark, "meta.jsonl")
+    qa = F.collect_list(F.struct("turn", F.col("role").alias("answer"), F.col("text").alias("question")))
+    R.dump(table(spark, d, "conversations").groupBy(F.col("conv_id").alias("key")).agg(qa.alias("qa")), path)
+    df = R.load(spark, path, "key bigint, qa array<struct<turn: bigint, answer: string, question: string>>")
+    df = df.select("key", F.explode("qa").alias("q")).filter((F.col("q.answer") == "user") & (F.col("q.question") != ""))
+    return df.select("key", F.upper("q.answer").alias("answer"), "q.turn")
+
+
+@query("S12_subtitles", "SELECT page_id AS id, page_id % 60 + 0.5 AS start, page_id % 60 + 62.0 AS \"end\", 'hello ' || page_id || ' there' AS text FROM pages")
+def s12(spark, d):
+    sec = F.lpad((F.col("page_id") % 60).cast("string"), 2, "0")
+    srt = F.concat(F.lit("1\n00:00:"), sec, F.lit(",500 --> 00:01:"), F.lpad((F.col("page_id") % 60 + 2).cast("string"), 2, "0"), F.lit(",000\nhello "), F.col("page_id").cast("string"), F.lit("\nthere\n\nbad\n"))
+    cues = R.subtitles(table(spark, d, "pages").select(srt.alias("value")))
+    return cues.select(F.regexp_extract("text", "(\\d+)", 1).cast("bigint").alias("id"), "start", "end", "text")
+
+
+@query("S13_sidecar_text", "SELECT d.doc_id, coalesce(b.text, 'No transcript.') AS transcript FROM documents d LEFT JOIN benchmark b ON b.item_id = d.doc_id")
+def s13(spark, d):
+    side = table(spark, d, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
+    return table(spark, d, "documents").select("doc_id").join(side, "doc_id", "left").select("doc_id", F.coalesce(F.nullif(F.trim("text"), F.lit("")), F.lit("No transcript.")).alias("transcript"))
+
+
+@query("S17_K08_census", "SELECT lang, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 2) AS pct FROM documents GROUP BY lang")
+def s17(spark, d):
+    docs = table(spark, d, "documents")
+    total = docs.agg(F.count(F.lit(1)).alias("total"), F.lit(1).alias("one"))
+    by = docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).withColumn("one", F.lit(1))
+    return by.join(total, "one").select("lang", "n", F.round(100.0 * F.col("n") / F.col("total"), 2).alias("pct"))
+
+
+@query("S20_S21_routing", "SELECT doc_id, CASE source WHEN 'src1' THEN '/first' WHEN 'src2' THEN '/second' ELSE '/rest' END || '/' || lang AS root FROM documents")
+def s20(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.concat_ws("/", R.route(F.col("source"), {"src1": "/first", "src2": "/second"}, {"src": "/rest"}), "lang").alias("root"))
+
+
+@query("K03_K04_K07_metrics", "SELECT l_returnflag AS rf, round(avg(l_discount), 6) AS score, count(*) AS n FROM lineitem GROUP BY l_returnflag")
+def k03(spark, d):
+    path = scratch(spark, "metrics.json")
+    m = table(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("rf")).agg(F.round(F.avg("l_discount"), 6).alias("score"), F.count(F.lit(1)).alias("n"))
+    R.dump(m, path, "jsonl")
+    return R.load(spark, path, "rf string, score double, n bigint", "jsonl")
+
+
+@query("K06_correct_only", "SELECT doc_id FROM labels WHERE quality = toxic")
+def k06(spark, d):
+    path = scratch(spark, "correct")
+    table(spark, d, "labels").filter(F.col("quality") == F.col("toxic")).write.partitionBy("quality").parquet(path)
+    return spark.read.parquet(path).select("doc_id")
