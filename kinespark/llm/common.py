@@ -44,6 +44,17 @@ def hold(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
 
 
+def tuck(df: DataFrame, *keep: str) -> DataFrame:
+    """The columns `keep`, and all others as the one column `_row`: no name of theirs can clash with an operator's own."""
+    rest = [F.col(f"`{c}`") for c in df.columns if c not in keep]
+    return df.select(*[c for c in keep if c in df.columns], *([F.struct(*rest).alias("_row")] if rest else []))
+
+
+def untuck(df: DataFrame, names: list[str], *keep: str, **new: Column) -> DataFrame:
+    """The columns of before tuck(), in their order; those of `new` are replaced."""
+    return df.select(*[(new[c] if c in new else F.col(c) if c in keep else F.col("_row")[c]).alias(c) for c in names])
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share; one of our own only where the session names none."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()

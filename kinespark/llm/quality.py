@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import HAS_WORD, cut, hold, spaced, words
+from .common import HAS_WORD, cut, hold, spaced, tuck, untuck, words
 
 SHARE, LEAST, REMAIN = 0.05, 20, 0.3
 
@@ -102,11 +102,10 @@ def measure(docs: DataFrame, share: float = SHARE, least: int = LEAST, remain: f
 
 def clean(docs: DataFrame, share: float = SHARE, least: int = LEAST, remain: float = REMAIN) -> DataFrame:
     """The documents that stay, with the columns of docs; frequent lines are taken out of their texts."""
-    names = docs.columns
-    out = _judged(counts(docs), share, least, remain).filter("kept")
+    names, keep = docs.columns, ("doc_id", "source", "text")
+    out = _judged(counts(tuck(docs, *keep)), share, least, remain).filter("kept")
     gone = lambda i: F.coalesce(F.array_contains(F.col("_frequent"), F.get("_lines", i)["h"]), F.lit(False))
     stays = F.filter(F.split("text", "\n"), lambda x, i: ~gone(i))
     out = out.withColumn("text", F.when(F.col("removed_words") > 0, F.array_join(stays, "\n")).otherwise(F.col("text")))
-    if "n_chars" in names:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*names)
+    new = {"n_chars": F.length("text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in names else {}
+    return untuck(out, names, *keep, **new)

@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, hold, row_key
+from .common import cut, hold, row_key, tuck, untuck
 
 KINDS = ("assign", "access", "hex", "random")
 #: The patterns of the kinds; fixed values.
@@ -72,7 +72,7 @@ def _normal_tail(z: Column) -> Column:
 
 def tested(tokens: DataFrame) -> DataFrame:
     """The tokens of an inferred encoding with p, length and refuted: whether runs or serial correlation do."""
-    t = F.rtrim(F.col("token"), F.lit("=")) if False else F.regexp_replace("token", "=+$", "")
+    t = F.regexp_replace("token", "=+$", "")
     digit, lower, upper = t.rlike("[0-9]"), t.rlike("[a-z]"), t.rlike("[A-Z]")
     kind = F.when(t.rlike("^[0-9a-f]+$") & digit & lower, "hex").when(t.rlike("^[A-Z2-7]+$") & digit & upper, "base32")
     kind = kind.when(t.rlike("^[a-z0-9]+$") & digit & lower, "base36").when(digit & lower & upper & ~t.rlike("[_-]"), "base64")
@@ -143,17 +143,18 @@ def scan(docs: DataFrame, rate: float = RATE) -> DataFrame:
 
 def redact(docs: DataFrame, mark: str = "[SECRET]", rate: float = RATE) -> DataFrame:
     """docs with each span, overlapping ones merged, replaced by `mark`."""
-    names = docs.columns
+    names, keep = docs.columns, ("doc_id", "text")
     before = Window.partitionBy("_key").orderBy("start", F.col("end").desc()).rowsBetween(Window.unboundedPreceding, -1)
     cuts = all_spans(docs, rate).withColumn("_reach", F.coalesce(F.max("end").over(before), F.lit(0))).filter("end > _reach")
     cuts = cuts.select("_key", (F.greatest("start", "_reach")).alias("start"), "end", "_reach")
     cuts = cuts.groupBy("_key").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("_s"))
-    out = docs.withColumn("_key", row_key("doc_id", "text")).join(cuts, "_key", "left")
+    out = tuck(docs, *keep).withColumn("_key", row_key("doc_id", "text")).join(cuts, "_key", "left")
     start = lambda i: F.when(i > 0, F.get("_s", i - 1)["end"]).otherwise(F.lit(0))
     glue = lambda s, i: F.when((i > 0) & (s["start"] == start(i)), F.lit("")).otherwise(F.lit(mark))
     pieces = F.transform("_s", lambda s, i: F.concat(F.col("text").substr((start(i) + 1).cast("int"), (s["start"] - start(i)).cast("int")), glue(s, i)))
     rest = F.col("text").substr((F.element_at("_s", -1)["end"] + 1).cast("int"), F.length("text"))
     out = out.withColumn("text", F.when(F.col("_s").isNotNull(), F.concat(F.array_join(pieces, ""), rest)).otherwise(F.col("text")))
+    new = {}
     if "n_chars" in names:
-        out = out.withColumn("n_chars", F.when(F.col("_s").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*names)
+        new["n_chars"] = F.when(F.col("_s").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("_row")["n_chars"])
+    return untuck(out, names, *keep, **new)

@@ -132,6 +132,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     """One document of each component, that of the smallest doc_id, with the columns of docs."""
     found = cut(classes(docs), "classes")
     first = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = docs.join(first.select(F.col("doc_id").alias("_id")).distinct(), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    rows, ids = first.agg(F.count(F.lit(1)), F.count_distinct(F.struct("doc_id"))).first()
-    return kept if rows == ids else kept.dropDuplicates(["doc_id"])
+    ids = first.select(F.col("doc_id").alias("_id")).distinct()
+    kept = docs.join(ids, docs["doc_id"].eqNullSafe(ids["_id"]), "left_semi")
+    rows, unique = first.agg(F.count(F.lit(1)), F.count_distinct(F.struct("doc_id"))).first()
+    return kept if rows == unique else kept.dropDuplicates(["doc_id"])
