@@ -4,8 +4,9 @@ Texts and benchmark items are normalised: lower case, each run of characters tha
 space. An item of m characters occurs in a text if some region is within `e = floor(BUDGET * m)` edits of it (fewer for
 items under 56 characters, so that the lemma keeps a threshold of 4). Such a region shares at least m - Q + 1 - Q * e
 q-grams with the item on diagonals (place in the text less place in the item) at most e apart. Shared q-grams are
-counted in bands of diagonals 2 (e + 1) wide that overlap by half; bands that meet the threshold are verified by banded
-alignment, which also gives the region and its edits.
+counted in bands of diagonals 2 (e + 1) wide that overlap by half; bands that meet the threshold are verified by
+aligning the item within the band's window, a column of the alignment at a time in integers of m bits, which also gives
+the region and its edits.
 
 Defined results: a null or empty text, and a null item or one of fewer than Q normalised characters, match nothing;
 an item that occurs more than once in a text gives its best region (fewest edits, then first) and the number of them;
@@ -63,6 +64,8 @@ class Index:
         made = [(i, c[:-1] if len(c) and c[-1] == 32 else c) for i, c in made]
         made = [(i, c) for i, c in made if len(c) >= Q]
         self.ids, self.codes = [i for i, _ in made], [c for _, c in made]
+        self.lists = [c.tolist() for c in self.codes]
+        self.bits = [masks(c) for c in self.lists]
         m = np.array([len(c) for c in self.codes] or [0], "i8")
         self.m, self.e = m, np.maximum(0, np.minimum((budget * m).astype("i8"), (m - Q + 1 - 4) // Q))
         self.least = np.maximum(1, m - Q + 1 - Q * self.e)
@@ -103,34 +106,51 @@ class Index:
         return list(zip(item.tolist(), (band * (self.e[item] + 1) - self.reach).tolist()))
 
 
-def align(item: np.ndarray, text: np.ndarray, first: int, band: int, most: int) -> tuple[int, int, int] | None:
-    """(edits, start, end): the best region of text within `most` edits of item whose alignment stays on the diagonals
-    first - most to first + band + most; fewest edits, then leftmost end. Row by row, over the band only."""
-    low, width = first - most, band + 2 * most + 1
-    far = 1 << 20
-    col = low + np.arange(width)  # text characters used so far, at row 0
-    cost = np.where((col >= 0) & (col <= len(text)), 0, far)
-    begin = col.copy()
-    steps = np.arange(width)
-    for r, c in enumerate(item):
-        col = low + r + 1 + steps
-        inside = (col >= 0) & (col <= len(text))
-        before = text[np.clip(col - 1, 0, max(0, len(text) - 1))] if len(text) else np.zeros(width, "u4")
-        match = cost + np.where((before == c) & (col >= 1), 0, 1) + np.where(col >= 1, 0, far)
-        gone = np.append(cost[1:], far) + 1
-        take = gone < match
-        new, start = np.where(take, gone, match), np.where(take, np.append(begin[1:], 0), begin)
-        new = np.where(inside, new, far)
-        # Characters of the text beyond the item: a running minimum along the row.
-        slid = new - steps
-        best = np.minimum.accumulate(slid)
-        source = np.maximum.accumulate(np.where(slid == best, steps, 0))
-        cost, begin = best + steps, start[source]
-        cost = np.where(inside, cost, far)
-        if cost.min() > most:
-            return None
-    k = int(cost.argmin())
-    return (int(cost[k]), int(begin[k]), int(low + len(item) + k)) if cost[k] <= most else None
+def masks(item: list[int]) -> dict[int, int]:
+    """For each character of an item the bits of its places."""
+    out: dict[int, int] = {}
+    for k, c in enumerate(item):
+        out[c] = out.get(c, 0) | 1 << k
+    return out
+
+
+def _distances(bits: dict[int, int], m: int, text: list[int], anchored: bool) -> tuple[int, int]:
+    """(fewest edits, characters of text used, the fewest of them) of the whole item against a stretch of text that ends
+    there and begins anywhere, or at the text's first character if anchored. A column is two integers of m bits, so
+    one step costs a few operations on them."""
+    full, top = (1 << m) - 1, 1 << (m - 1)
+    plus, minus, score = full, 0, m
+    best, end = m, 0
+    for j, c in enumerate(text, 1):
+        eq = bits.get(c, 0)
+        down = eq | minus
+        along = (((eq & plus) + plus) ^ plus) | eq
+        up = minus | (full & ~(along | plus))
+        less = plus & along
+        if up & top:
+            score += 1
+        elif less & top:
+            score -= 1
+        up = (up << 1 | anchored) & full
+        less = less << 1 & full
+        plus = less | (full & ~(down | up))
+        minus = up & down
+        if score < best:
+            best, end = score, j
+    return best, end
+
+
+def align(item: list[int], text: list[int], first: int, band: int, most: int, bits: dict[int, int] | None = None) -> tuple[int, int, int] | None:
+    """(edits, start, end): the best region of text within `most` edits of item, in the window that the diagonals
+    first - most to first + band + most reach; fewest edits, then leftmost end, then the latest start."""
+    m = len(item)
+    low, high = max(0, first - most), max(0, min(len(text), first + band + most + m))
+    window = text[low:high]
+    edits, end = _distances(masks(item) if bits is None else bits, m, window, False)
+    if edits > most or not end:
+        return None
+    _, used = _distances(masks(item[::-1]), m, window[:end][::-1], True)
+    return edits, low + end - used, low + end
 
 
 def find(index: Index, text: str | None) -> dict:
@@ -141,9 +161,11 @@ def find(index: Index, text: str | None) -> dict:
         # A region may take more characters of the text than of its normal form: pieces overlap by four times the reach.
         piece = (text or "")[at : at + step + 4 * index.reach]
         codes, places = normal(piece)
-        for k, first in index.regions(codes):
+        bands = index.regions(codes)
+        text_codes = codes.tolist() if bands else []
+        for k, first in bands:
             e = int(index.e[k])
-            if (best := align(index.codes[k], codes, first, 2 * (e + 1), e)) and best[2] > best[1]:
+            if (best := align(index.lists[k], text_codes, first, 2 * (e + 1), e, index.bits[k])) and best[2] > best[1]:
                 start, end = at + int(places[best[1]]), at + int(places[best[2] - 1]) + 1
                 found.setdefault(index.ids[k], set()).add((best[0], start, end))
     return {k: (*min(v), _apart(v)) for k, v in found.items()}
