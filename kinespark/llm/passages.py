@@ -199,8 +199,9 @@ def repeats(docs: DataFrame, least: int = LEAST, similar: float = SIMILAR) -> Da
     kind = docs.schema["doc_id"].dataType.simpleString()
     seeds = docs.mapInArrow(_seeds, f"h long, doc {kind}, at int")
     held = seeds.groupBy("h").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).filter("first != last").select("h", "first")
-    met = cut(seeds.join(held, "h"), "seeds")
-    where = met.filter("doc = first").groupBy("h").agg(F.min("at").alias("at0"))
+    # Written first: a join of two plain shuffles is one that Spark can split where a seed is frequent.
+    met = cut(seeds.join(cut(held, "held"), "h"), "seeds")
+    where = cut(met.filter("doc = first").groupBy("h").agg(F.min("at").alias("at0")), "first")
     matches = met.filter("doc != first").join(where, "h").select("doc", "first", "at", "at0")
     matches = matches.repartition("doc").sortWithinPartitions("doc", "first", "at")
     chains = cut(matches.mapInArrow(_chains(least), f"doc {kind}, first {kind}, a int, b int, a0 int, b0 int"), "chains")
