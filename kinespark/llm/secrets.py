@@ -83,7 +83,7 @@ def tested(tokens: DataFrame) -> DataFrame:
     number = lambda f, a: F.aggregate(a, F.lit(0.0), lambda s, x: s + f(x).cast("double"))
     letters = F.transform(F.split("_abc", ""), lambda c: F.col("_n") - F.length(F.replace(F.col("_t"), c, F.lit(""))))
     high = lambda x: (2 * x > F.col("_m")).cast("int")
-    later = F.slice("_x", 2, 2147483647)
+    later = F.slice("_x", 2, F.size("_x"))
     both = F.zip_with(F.slice("_x", 1, F.size("_x") - 1), later, lambda a, b: F.struct(a.alias("a"), b.alias("b")))
     df = hold(df, _squares=number(lambda n: n * n, letters), _high=number(high, F.col("_x")), _both=both, _mean=number(lambda x: x, F.col("_x")) / F.col("_n"))
     df = hold(
