@@ -83,7 +83,8 @@ def acceleration(obs: DataFrame, keys: tuple[str, ...] = ("obj",)) -> DataFrame:
 def smoothness(obs: DataFrame, fps: float = 30.0, most: float = 500.0, keys: tuple[str, ...] = ("obj",)) -> DataFrame:
     """The mean share by which steps exceed `most` pixels a second, at most 1 each."""
     limit = most / fps
-    over = F.least(F.greatest(F.col("dist") - limit, F.lit(0.0)) / limit, F.lit(1.0))
+    # greatest() passes over nulls: the last sighting has no step.
+    over = F.when(F.col("dist").isNotNull(), F.least(F.greatest(F.col("dist") - limit, F.lit(0.0)) / limit, F.lit(1.0)))
     return steps(obs, keys).groupBy(*keys).agg(F.coalesce(F.avg(over), F.lit(0.0)).alias("penalty"))
 
 

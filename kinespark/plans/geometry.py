@@ -302,7 +302,7 @@ def w08(spark, d):
     return df.groupBy("obj").agg(r6(F.coalesce(F.avg(cosine), F.lit(0.0))).alias("cosine"), r6(F.avg(fidelity)).alias("fidelity"))
 
 
-@query("W10_smoothness", f"WITH {STEP} SELECT obj, round(coalesce(avg(least(greatest(dist - 500 / 30.0, 0) / (500 / 30.0), 1)), 0), 6) AS penalty FROM v GROUP BY obj")
+@query("W10_smoothness", f"WITH {STEP} SELECT obj, round(coalesce(avg(least(greatest(dist - 500 / 30.0, 0) / (500 / 30.0), 1)) FILTER (dist IS NOT NULL), 0), 6) AS penalty FROM v GROUP BY obj")
 def w10(spark, d):
     return T.smoothness(observations(spark, d)).select("obj", r6(F.col("penalty")).alias("penalty"))
 
