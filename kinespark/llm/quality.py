@@ -3,8 +3,9 @@
 A line is normalised (lower case, white space to one space, digit runs to 0) and hashed. For each host (the
 `source`), the distinct documents that hold the line are counted; lines above `share` of the host's documents (and
 above `least`) are boilerplate and are taken out; a document that keeps less than `remain` of its words is depleted.
-Documents are told apart by the smallest hash of their 3-word windows, so that exact copies count once and most near
-copies too: copies are the near-dedup's business, not boilerplate.
+Documents are told apart by the smallest and the largest hash of their 3-word windows, so that exact copies count once
+and most near copies too (copies are the near-dedup's business, not boilerplate), while documents that share lines
+differ unless both hashes fall in these.
 
 Defined results: a null or empty text has no words, fails the base rule and isn't kept; a null source is a host of its
 own; repeated rows count once for a line and each get their own result row; an empty table gives an empty result;
@@ -63,7 +64,7 @@ def counts(docs: DataFrame) -> DataFrame:
         n_dup_lines=(F.size("_r") - F.size(F.array_distinct("_r"))).cast("bigint"),
         n_repeat_words=_sum(fresh),
         _lines=F.transform("_m", lambda x: F.when(x != "", F.struct(F.xxhash64(x).alias("h"), size(x).cast("bigint").alias("n")))),
-        _doc=F.coalesce(F.array_min("_h"), F.xxhash64("text")),
+        _doc=F.when(F.size("_h") > 0, F.xxhash64(F.array_min("_h"), F.array_max("_h"))).otherwise(F.xxhash64("text")),
     )
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return out.withColumn("base_failed", failed).drop("_w", "_l", "_m", "_h", "_r", "_s", "_p")
@@ -85,7 +86,8 @@ def frequent_lines(counted: DataFrame, share: float = SHARE, least: int = LEAST)
 
 def _judged(counted: DataFrame, share: float, least: int, remain: float) -> DataFrame:
     """counted with _frequent, removed_words and kept."""
-    host = frequent_lines(counted, share, least)
+    # Written first: Spark then knows its size when it plans the join, and shuffles texts only if it is large.
+    host = cut(frequent_lines(counted, share, least), "frequent")
     out = counted.join(host, counted["source"].eqNullSafe(host["_host"]), "left").drop("_host")
     gone = F.filter("_lines", lambda x: F.coalesce(F.array_contains(F.col("_frequent"), x["h"]), F.lit(False)))
     out = hold(out, removed_words=_sum(F.transform(gone, lambda x: x["n"])))
