@@ -6,7 +6,8 @@ there the first place), which gives one match a seed, however many hold it: a gr
 matches, not their pairs, and each member is linked to the first. The matches of two documents are chained in order of
 both, with a cost for the gap between neighbours, through a Fenwick tree over the places in the first document. A chain
 is then aligned word by word from its first match to both sides, over insertions, deletions and changes of up to SKIP
-words, and kept as a passage if it spans at least LEAST words in both documents and SIMILAR of them agree.
+words. Where that ends, it starts again from the chain's next match beyond, until none is left. Each stretch is judged on
+its own and kept as a passage if it spans at least LEAST words in both documents and SIMILAR of them agree.
 
 Defined results: a null doc_id can't be named in a result and gives none; a null text, an empty one or one of fewer than
 K words has no seeds; rows that share a doc_id are one document (equal ones count once); passages repeated within one
@@ -67,8 +68,9 @@ def _seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(values[0].astype("u8").view("i8")), ids.take(at), pa.array(values[1].astype("i4"))], ["h", "doc", "at"])
 
 
-def chain(at: np.ndarray, at0: np.ndarray, k: int = K, gap: float = GAP) -> list[tuple[int, int, int, int]]:
-    """Disjoint chains of matches (at in one text, at0 in the other): (first at, last at, first at0, last at0).
+def chain(at: np.ndarray, at0: np.ndarray, k: int = K, gap: float = GAP) -> list[tuple]:
+    """Disjoint chains of matches (at in one text, at0 in the other): (first at, last at, first at0, last at0, and all
+    its at and at0, in order).
 
     A chain's score is k a match less `gap` for each word between neighbours in either text; both rise along it.
     f(j) = k + max(0, max over i before j of f(i) - cost(i, j)); cost parts into a term of i and one of j, so the
@@ -99,11 +101,13 @@ def chain(at: np.ndarray, at0: np.ndarray, k: int = K, gap: float = GAP) -> list
     for j in sorted(range(len(at)), key=lambda j: (-score[j], j)):
         if used[j]:
             continue
-        i, first = j, j
+        i, held = j, []
         while i >= 0 and not used[i]:
             used[i] = True
-            first, i = i, back[i]
-        out.append((at[first], at[j], at0[first], at0[j]))
+            held.append(i)
+            i = back[i]
+        held.reverse()
+        out.append((at[held[0]], at[j], at0[held[0]], at0[j], [at[i] for i in held], [at0[i] for i in held]))
     return out
 
 
@@ -137,8 +141,9 @@ def _chains(least: int):
 
 
 def _rows(rows: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
-    names = ["doc", "first", "a", "b", "a0", "b0"]
-    return pa.RecordBatch.from_arrays([pa.array(c, kind if k < 2 else pa.int32()) for k, c in enumerate(zip(*rows))], names)
+    names = ["doc", "first", "a", "b", "a0", "b0", "m", "m0"]
+    kinds = [kind] * 2 + [pa.int32()] * 4 + [pa.list_(pa.int32())] * 2
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
 
 
 def _walk(x: list, y: list, i: int, j: int, skip: int = SKIP) -> tuple[int, int, int, int]:
@@ -165,25 +170,34 @@ def _walk(x: list, y: list, i: int, j: int, skip: int = SKIP) -> tuple[int, int,
     return (same, i, j, steps)
 
 
-def align(x: list, y: list, i: int, j: int) -> tuple[int, int, int, int, int, int]:
-    """(start, end in x; start, end in y; agreeing words; steps) of the passage through x[i] = y[j]."""
+def align(x: list, y: list, i: int, j: int, least: int = 0, least0: int = 0) -> tuple[int, int, int, int, int, int]:
+    """(start, end in x; start, end in y; agreeing words; steps) of the passage through x[i] = y[j], which starts at
+    `least` and `least0` or later."""
     f = _walk(x, y, i, j)
-    g = _walk(x[:i][::-1], y[:j][::-1], 0, 0)
+    g = _walk(x[least:i][::-1], y[least0:j][::-1], 0, 0)
     return i - g[1], f[1], j - g[2], f[2], f[0] + g[0], f[3] + g[3]
 
 
+def stretches(x: list, y: list, matches: list[tuple[int, int]]) -> Iterator[tuple[int, int, int, int, int, int]]:
+    """The passages through a chain's matches, as align() gives them; none overlaps another in either text."""
+    e = e0 = 0
+    for i, j in matches:
+        if i < e or j < e0 or i + K > len(x) or j + K > len(y) or x[i : i + K] != y[j : j + K]:
+            continue
+        found = align(x, y, i, j, e, e0)
+        e, e0 = found[1], found[3]
+        yield found
+
+
 def _verified(least: int, similar: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for doc, first, a, a0, s, s0, p, q in zip(*[batch.column(c).to_pylist() for c in ("doc", "first", "a", "a0", "s", "s0", "p", "q")]):
+            for doc, first, m, m0, s, s0, p, q in zip(*[batch.column(c).to_pylist() for c in ("doc", "first", "m", "m0", "s", "s0", "p", "q")]):
                 x, y = p.encode("utf-8", "surrogatepass").split(), q.encode("utf-8", "surrogatepass").split()
-                i, j = a - s, a0 - s0
-                if x[i : i + K] != y[j : j + K] or i + K > len(x) or j + K > len(y):
-                    continue
-                b, e, b0, e0, same, steps = align(x, y, i, j)
-                if min(e - b, e0 - b0) >= least and same >= similar * steps:
-                    rows.append((doc, s + b, s + e, first, s0 + b0, s0 + e0, same, same / steps))
+                for b, e, b0, e0, same, steps in stretches(x, y, [(a - s, a0 - s0) for a, a0 in zip(m, m0)]):
+                    if min(e - b, e0 - b0) >= least and same >= similar * steps:
+                        rows.append((doc, s + b, s + e, first, s0 + b0, s0 + e0, same, same / steps))
             kind = batch.column("doc").type
             kinds = [kind, pa.int64(), pa.int64(), kind, pa.int64(), pa.int64(), pa.int64(), pa.float64()]
             names = ["doc_id", "start_word", "end_word", "first_doc_id", "first_start", "first_end", "same_words", "similarity"]
@@ -204,7 +218,7 @@ def repeats(docs: DataFrame, least: int = LEAST, similar: float = SIMILAR) -> Da
     where = cut(met.filter("doc = first").groupBy("h").agg(F.min("at").alias("at0")), "first")
     matches = met.filter("doc != first").join(where, "h").select("doc", "first", "at", "at0")
     matches = matches.repartition("doc").sortWithinPartitions("doc", "first", "at")
-    chains = cut(matches.mapInArrow(_chains(least), f"doc {kind}, first {kind}, a int, b int, a0 int, b0 int"), "chains")
+    chains = cut(matches.mapInArrow(_chains(least), f"doc {kind}, first {kind}, a int, b int, a0 int, b0 int, m array<int>, m0 array<int>"), "chains")
     chains = chains.withColumn("c", F.xxhash64(*chains.columns))
     edge = lambda c: F.greatest(F.lit(0), F.col(c) - MARGIN)
     span = lambda side, doc, a, b: F.struct(F.lit(side).alias("side"), F.col(doc).alias("id"), edge(a).alias("s"), (F.col(b) + K + MARGIN).alias("e"))
@@ -214,6 +228,6 @@ def repeats(docs: DataFrame, least: int = LEAST, similar: float = SIMILAR) -> Da
     # Two segments a chain (more if rows share a doc_id): sides meet by the chain's hash.
     left, right = parts.filter("side = 0").select("c", F.col("t").alias("p")), parts.filter("side = 1").select("c", F.col("t").alias("q"))
     both = chains.join(left, "c").join(right, "c")
-    both = both.select("doc", "first", "a", "a0", edge("a").alias("s"), edge("a0").alias("s0"), "p", "q")
+    both = both.select("doc", "first", "m", "m0", edge("a").alias("s"), edge("a0").alias("s0"), "p", "q")
     out = both.mapInArrow(_verified(least, similar), f"doc_id {kind}, start_word long, end_word long, first_doc_id {kind}, first_start long, first_end long, same_words long, similarity double")
     return out.distinct()

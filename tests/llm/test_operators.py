@@ -384,6 +384,21 @@ def test_passages(docs, rows, spark, empty):
     assert passages.repeats(empty).count() == 0
 
 
+def test_passages_parted_by_long_differences_are_all_found(spark):
+    rng = random.Random(23)
+    fresh = lambda n: [f"w{rng.getrandbits(40)}" for _ in range(n)]
+    rows, want = [], {}
+    for k, (one, gap, two) in enumerate((one, gap, two) for one in (30, 60) for gap in (13, 15, 20, 28, 40) for two in (60,)):
+        a, b = fresh(one), fresh(two)
+        rows += [(2 * k + side, " ".join([*fresh(20), *a, *fresh(gap), *b, *fresh(20)])) for side in (0, 1)]
+        want[2 * k + 1] = [(20, 20 + one)] * (one >= passages.LEAST) + [(20 + one + gap, 20 + one + gap + two)]
+    got = defaultdict(list)
+    for r in passages.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        assert (r["start_word"], r["end_word"]) == (r["first_start"], r["first_end"]) and r["first_doc_id"] == r["doc_id"] - 1
+        got[r["doc_id"]].append((r["start_word"], r["end_word"]))
+    assert {k: sorted(v) for k, v in got.items()} == want
+
+
 def test_chain_is_the_best():
     rng = random.Random(11)
     for _ in range(40):
