@@ -3,9 +3,9 @@
 A line is normalised (lower case, white space to one space, digit runs to 0) and hashed. For each host (the
 `source`), the distinct documents that hold the line are counted; lines above `share` of the host's documents (and
 above `least`) are boilerplate and are taken out; a document that keeps less than `remain` of its words is depleted.
-Documents are told apart by the smallest and the largest hash of their 3-word windows, so that exact copies count once
-and most near copies too (copies are the near-dedup's business, not boilerplate), while documents that share lines
-differ unless both hashes fall in these.
+Documents are told apart by a hash of all their normalised lines that have words, in order: exact copies count once
+(they are the near-dedup's business, not boilerplate), and documents that differ in any line are two, however much they
+share.
 
 Defined results: a null or empty text has no words, fails the base rule and isn't kept; a null source is a host of its
 own; repeated rows count once for a line and each get their own result row; an empty table gives an empty result;
@@ -45,7 +45,7 @@ def _sum(values: Column) -> Column:
 
 def counts(docs: DataFrame) -> DataFrame:
     """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, and _lines: a hash and the
-    number of words for each line (null: none), and _doc: what tells documents apart."""
+    number of words for each line (null: none), and _doc: a hash of the normalised text."""
     text = F.coalesce(F.col("text"), F.lit(""))
     out = hold(docs, _w=words(F.col("text")), _l=F.split(text, "\n"), _m=_normal_lines(F.col("text")))
     out = hold(out, _h=_windows(F.col("_w")), _r=F.filter("_l", lambda x: x.rlike(HAS_WORD)))
@@ -64,7 +64,7 @@ def counts(docs: DataFrame) -> DataFrame:
         n_dup_lines=(F.size("_r") - F.size(F.array_distinct("_r"))).cast("bigint"),
         n_repeat_words=_sum(fresh),
         _lines=F.transform("_m", lambda x: F.when(x != "", F.struct(F.xxhash64(x).alias("h"), size(x).cast("bigint").alias("n")))),
-        _doc=F.when(F.size("_h") > 0, F.xxhash64(F.array_min("_h"), F.array_max("_h"))).otherwise(F.xxhash64("text")),
+        _doc=F.xxhash64(F.array_join(F.filter("_m", lambda x: x != ""), "\n")),
     )
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return out.withColumn("base_failed", failed).drop("_w", "_l", "_m", "_h", "_r", "_s", "_p")

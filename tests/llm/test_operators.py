@@ -97,6 +97,20 @@ def test_frequent_lines_go_and_depleted_documents_with_them(spark):
     assert len(words(kept[0])) == got[0]["n_words"] - got[0]["removed_words"]
 
 
+def test_documents_of_mostly_boilerplate_are_counted_one_by_one(spark):
+    rng = random.Random(29)
+    fresh = lambda n: " ".join(f"w{rng.getrandbits(40):x}" for _ in range(n))
+    shared = [fresh(20) for _ in range(9)]
+    # 60 of 1,000 documents (6 %) are 90 % boilerplate; 60 copies of another differ in case and white space only.
+    rows = [(k, "\n".join([*shared, fresh(20)]), "a") for k in range(60)]
+    rows += [(100 + k, "\n".join(fresh(12) for _ in range(5)), "a") for k in range(939)]
+    copied = fresh(60)
+    rows += [(2000 + k, copied.upper() if k % 2 else f" {copied}\n\n", "a") for k in range(60)]
+    got = {r["doc_id"]: r for r in quality.measure(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert all(got[k]["removed_words"] == 180 and not got[k]["kept"] for k in range(60))
+    assert all(r["kept"] and not r["removed_words"] for k, r in got.items() if k >= 100)
+
+
 # SimHash.
 
 
