@@ -13,8 +13,9 @@ than half of at least two alignments. A page without partners keeps all blocks o
 Defined results: a null or empty page gives an empty text; a null or odd url has the host ''; repeated rows each get
 their result; `br` is white space; an empty table gives an empty result.
 
-Scale: the exemplars of a host are found by a limit within each task before the exchange, so that a host with a third of
-all pages sends few rows; they are written, and pages meet them by a join on the host that Spark can split.
+Scale: the exemplars of a host are chosen among hashes of its distinct pages, and copies of one are combined within each
+task before the exchange, so that a host with a third of all pages sends few texts; they are written, and pages meet them
+by a join on the host that Spark can split.
 """
 
 from __future__ import annotations
@@ -157,9 +158,11 @@ def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def exemplars(pages: DataFrame, partners: int = PARTNERS) -> DataFrame:
     """(_host, _others): up to `partners` pages of different contents for each host."""
     df = pages.filter("html != ''").select(host(F.col("url")).alias("_host"), F.xxhash64("html").alias("_mark"), "html")
-    ranked = df.withColumn("_k", F.rank().over(Window.partitionBy("_host").orderBy("_mark"))).filter(F.col("_k") <= partners * 2)
-    few = ranked.groupBy("_host", "_mark").agg(F.first("html").alias("html"))
-    few = few.withColumn("_k", F.row_number().over(Window.partitionBy("_host").orderBy("_mark"))).filter(F.col("_k") <= partners)
+    marks = df.select("_host", "_mark").distinct()
+    marks = marks.withColumn("_k", F.row_number().over(Window.partitionBy("_host").orderBy("_mark"))).filter(F.col("_k") <= partners)
+    # Written first: Spark then knows its size when it plans the join.
+    few = df.join(cut(marks.drop("_k"), "exemplar-marks"), ["_host", "_mark"], "left_semi")
+    few = few.groupBy("_host", "_mark").agg(F.first("html").alias("html"))
     return few.groupBy("_host").agg(F.sort_array(F.collect_list("html")).alias("_others"))
 
 

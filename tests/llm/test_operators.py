@@ -451,6 +451,17 @@ def test_pages(spark):
     assert pages.main_text(df.limit(0)).count() == 0
 
 
+def test_copies_of_a_page_leave_its_host_all_exemplars(spark):
+    body = lambda k: page(k, f"<div class='box'><div>Standing line of the site</div><div><p>{'text of the page ' * 5}{k}</p><p>{'and another part ' * 4}{k}</p></div></div>")
+    rows = [(10 * k + n, "https://plain.example.com/p", body(k)) for k in range(4) for n in range(8)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    found = pages.exemplars(df).collect()
+    assert [len(set(r["_others"])) for r in found] == [pages.PARTNERS]
+    for r in pages.main_text(df).collect():
+        k = r["page_id"] // 10
+        assert r["text"] == f"{'text of the page ' * 5}{k}\n{'and another part ' * 4}{k}"
+
+
 def test_tree_matching_is_the_largest():
     rng = random.Random(12)
 
