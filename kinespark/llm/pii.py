@@ -75,6 +75,7 @@ def base(text: str) -> list[tuple[int, int, int]]:
 
 _UNIT = re.compile(r"[A-Za-zÀ-ɏ]+|[0-9]+|\s+|[^A-Za-zÀ-ɏ0-9\s]")
 _SEED = re.compile(r"[0-9][0-9]|@|[(\[{]\s?at\s?[)\]}]|\bat\s[A-Za-z0-9-]+\s(?:dot|\(dot\)|\[dot\])\s", re.I)
+_TAIL = re.compile(r"(?:@|[(\[{]\s?at\s?[)\]}]|at\s)\s?[A-Za-z0-9-]+(?:(?:\.|\s?[(\[{]\s?dot\s?[)\]}]\s?|\sdot\s)[A-Za-z0-9-]+)+", re.I)
 _NEAR = re.compile(r"[\s().+/:-]*")
 _MARK = re.compile(r"\s?(?:@|[(\[{]\s?at\s?[)\]}]|\bat\b)\s?", re.I)
 _SPELLED = re.compile(r"([A-Za-z0-9._%+-]+)\s?(?:@|[(\[{]\s?at\s?[)\]}]|\sat\s)\s?([A-Za-z0-9-]+(?:(?:\.|\s?[(\[{]\s?dot\s?[)\]}]\s?|\sdot\s)[A-Za-z0-9-]+)+)", re.I)
@@ -105,24 +106,31 @@ def features(span: str, before: str, after: str, cue: int | None) -> list[str]:
 
 
 def _islands(text: str) -> Iterator[tuple[int, int]]:
-    """The stretches of text near digits, `@` and spelled-out `at`; all segments lie in them."""
+    """The stretches of text near digits, `@` and spelled-out `at`; all segments lie in them. Each seed has its own
+    window, those that meet are one, and none ends within a run of letters or digits or a spelled-out address."""
     start = end = -1
     for m in _SEED.finditer(text):
-        if m.start() < end:
-            continue
         mail = text[m.start()] not in "0123456789"
         a, b = m.span()
         if mail:
             a = max(0, a - 64)
             b = min(len(text), b + 96)
+            if tail := _TAIL.match(text, m.start()):
+                b = max(b, tail.end())
         else:
             a = max(0, a - 4)
             b = min(len(text), b + 28)
+        while a > max(end, 0) and text[a - 1].isalnum() and text[a].isalnum():
+            a -= 1
+        while 0 < end < a and text[end - 1].isalnum() and text[end].isalnum():
+            end += 1
         if a > end:
             if end >= 0:
                 yield start, end
             start = a
         end = max(end, b)
+    while 0 < end < len(text) and text[end - 1].isalnum() and text[end].isalnum():
+        end += 1
     if end >= 0:
         yield start, end
 

@@ -279,6 +279,21 @@ def test_pii_base_and_field(spark, empty):
     assert pii.scan(empty).count() == 0
 
 
+def test_islands_hold_every_seed_whole():
+    for before in ("call 415-555-0199 or ", "born 1985, mail ", "order 12, ", "2024: "):
+        for what in ("jane.doe at example dot com", "jane.doe [at] some-company.example.org", "jane (at) " + "a-long-part." * 12 + "org", "415-555-0199 and 212 555 0147", "4111 1111 1111 1111", "192.168.10.201"):
+            for after in (" today", ""):
+                text = before + what + after
+                a, b = len(before), len(before) + len(what)
+                assert any(s <= a and b <= e for s, e in pii._islands(text)), text
+    # Each end of a window falls between units, wherever its last digit group ends.
+    text = "ref 12 " + "x" * 20 + " 5551234567 " + "y" * 300 + " 77"
+    found = list(pii._islands(text))
+    assert all(s == 0 or not (text[s - 1].isalnum() and text[s].isalnum()) for s, _ in found)
+    assert all(e == len(text) or not (text[e - 1].isalnum() and text[e].isalnum()) for _, e in found)
+    assert all(e <= s for (_, e), (s, _) in zip(found, found[1:]))
+
+
 def test_field_is_the_best_path():
     rng = random.Random(8)
     weights = pii.fit()
