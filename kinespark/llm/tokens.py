@@ -9,14 +9,17 @@ Distinct words go into a trie. A node's forward score is the best score of the p
 its ancestors only, so it is computed once for all words that share the prefix; a word's terminal node stores its count.
 
 Defined results: a null or empty text has no words and no tokens; repeated rows each get their result; an empty table
-gives an empty result; columns beyond doc_id and text are ignored.
+gives an empty result; columns beyond doc_id and text, of whatever names, are ignored; very long texts and words are
+counted whole, in time linear in their length.
 
-Scale: no shuffle. Each task has a trie of its own, emptied when it holds MOST_NODES nodes, which changes no result.
-The vocabulary, at most MOST_PIECES pieces, is what is sent to executors.
+Scale: no shuffle. Each task has a trie of its own, begun anew at MOST_NODES nodes; terminal counts outlive it, in two
+generations of MOST_WORDS words of which a word in use is always in one. Neither bound changes a result. The vocabulary,
+at most MOST_PIECES pieces, is what is sent to executors.
 """
 
 from __future__ import annotations
 
+import gc
 import math
 from collections.abc import Iterator
 
@@ -24,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
-MOST_NODES, MOST_PIECES = 200_000, 1_000_000
+MOST_NODES, MOST_WORDS, MOST_PIECES = 200_000, 250_000, 1_000_000
 START = "▁"
 _cache: dict = {}
 
@@ -44,61 +47,87 @@ def load(path: str = VOCABULARY) -> dict[str, float]:
 
 
 class Trie:
-    """Words to token counts. A node is [children, score, -tokens] with the best of its prefix."""
+    """Words to token counts.
 
-    def __init__(self, scores: dict[str, float], most: int = MOST_NODES):
-        self.scores, self.most = scores, most
-        self.longest = max(map(len, scores), default=1)
-        self.byte = -math.log(len(scores) + 2.7) - 10.0
-        self.counts: dict[bytes, int] = {}
-        self._clear()
+    A node is [children, score, -tokens, open]: the best of its prefix, and the starts from which pieces may still reach
+    beyond it, as (place in the tree of pieces, score and -tokens at the start). A new node looks only at these.
+    """
 
-    def _clear(self) -> None:
-        self.root, self.size = [{}, 0.0, 0], 1
-        self.counts.clear()
+    def __init__(self, scores: dict[str, float], most: int = MOST_NODES, most_words: int = MOST_WORDS):
+        self.most, self.most_words = most, most_words
+        self.byte = -math.log(len(scores) + 2.7) - 10.0
+        self.pieces: list = [{}, None]
+        for piece, score in scores.items():
+            at = self.pieces
+            for c in piece:
+                at = at[0].setdefault(c, [{}, None])
+            at[1] = score
+        self.older: dict[bytes, int] = {}
+        self.counts = _Counts(self)
+        self.clear()
+
+    def clear(self) -> None:
+        self.root, self.size = [{}, 0.0, 0, ()], 1
 
     def add(self, word: bytes) -> int:
-        """The number of tokens of a word, stored for later."""
+        """The number of tokens of a word, by way of the nodes that its prefixes share with other words."""
         if self.size > self.most:
-            self._clear()
-        text = START + word.decode("utf-8", "surrogatepass")
-        node, path, scores, longest = self.root, [self.root], self.scores, self.longest
-        for i, c in enumerate(text, 1):
+            self.clear()
+        node, pieces = self.root, self.pieces
+        for c in START + word.decode("utf-8", "surrogatepass"):
             child = node[0].get(c)
             if child is None:
                 width = len(c.encode("utf-8", "surrogatepass"))
-                prior = path[i - 1]
-                best = (prior[1] + self.byte * width, prior[2] - width)
-                for k in range(max(0, i - longest), i):
-                    score = scores.get(text[k:i])
-                    if score is not None:
-                        prior = path[k]
-                        found = (prior[1] + score, prior[2] - 1)
-                        if found > best:
+                best, still = (node[1] + self.byte * width, node[2] - width), []
+                for at, score, tokens in (*node[3], (pieces, node[1], node[2])):
+                    at = at[0].get(c)
+                    if at is not None:
+                        if at[1] is not None and (found := (score + at[1], tokens - 1)) > best:
                             best = found
-                child = node[0][c] = [{}, *best]
+                        if at[0]:
+                            still.append((at, score, tokens))
+                child = node[0][c] = [{}, *best, still]
                 self.size += 1
             node = child
-            path.append(node)
-        self.counts[word] = -node[2]
         return -node[2]
 
     def total(self, words: list[bytes]) -> int:
-        counts, out = self.counts, 0
-        for w in words:
-            n = counts.get(w)
-            out += self.add(w) if n is None else n
-        return out
+        return sum(map(self.counts.__getitem__, words))
+
+
+class _Counts(dict):
+    """Terminal counts by word. Those in use stay known: of two generations only the older one is ever dropped."""
+
+    def __init__(self, trie: Trie):
+        self.trie = trie
+
+    def __missing__(self, word: bytes) -> int:
+        trie = self.trie
+        if len(self) >= trie.most_words:
+            trie.older = dict(self)
+            self.clear()
+        n = trie.older.get(word)
+        if n is None:
+            n = trie.add(word)
+        self[word] = n
+        return n
 
 
 def _batches(scores: dict[str, float], most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = Trie(scores, most)
-        for batch in batches:
-            # bytes.split() parts at ASCII white space, as words are defined here.
-            split = [(t or "").encode("utf-8", "surrogatepass").split() for t in batch.column("text").to_pylist()]
-            sizes = pa.array([len(w) for w in split], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), sizes, pa.array([trie.total(w) for w in split], pa.int64())], ["doc_id", "n_words", "n_tokens"])
+        # A trie has no cycles; the collector would walk all its nodes again and again, for most of the run.
+        collects = gc.isenabled()
+        gc.disable()
+        try:
+            for batch in batches:
+                # bytes.split() parts at ASCII white space, as words are defined here.
+                split = [(t or "").encode("utf-8", "surrogatepass").split() for t in batch.column("text").to_pylist()]
+                sizes = pa.array([len(w) for w in split], pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), sizes, pa.array([trie.total(w) for w in split], pa.int64())], ["doc_id", "n_words", "n_tokens"])
+        finally:
+            if collects:
+                gc.enable()
 
     return run
 
