@@ -3,19 +3,27 @@
 Seeds are the K-word windows with the smallest hash among each W neighbouring ones, so that any shared run of K + W - 1
 words shares a seed. A seed that more than one document holds is joined to its first holder (the smallest doc_id, and
 there the first place), which gives one match a seed, however many hold it: a group of n copies gives n - 1 rows of
-matches, not their pairs, and each member is linked to the first. The matches of two documents are chained in order of
-both, with a cost for the gap between neighbours, through a Fenwick tree over the places in the first document. A chain
-is then aligned word by word from its first match to both sides, over insertions, deletions and changes of up to SKIP
-words. Where that ends, it starts again from the chain's next match beyond, until none is left. Each stretch is judged on
-its own and kept as a passage if it spans at least LEAST words in both documents and SIMILAR of them agree.
+matches, not their pairs, and each member is linked to the first.
 
-Defined results: a null doc_id can't be named in a result and gives none; a null text, an empty one or one of fewer than
-K words has no seeds; rows that share a doc_id are one document (equal ones count once); passages repeated within one
-document only are not its subject; an empty table gives an empty result; other columns are ignored.
+A passage's seeds may have different first holders, where smaller ids hold snippets of it. So each run of 2 and of 4
+neighbouring seeds whose first holders differ, or don't lie in line, is a key of its own, and is joined to the first
+holder of the whole run. Whether a run is such a key depends on its seeds only, so all its holders agree.
+
+The matches of two documents are chained in order of both, with a cost for the gap between neighbours, through a Fenwick
+tree over the places in the first document. A chain is then aligned word by word from its first match to both sides, over
+insertions, deletions and changes of up to SKIP words. Where that ends, it starts again from the chain's next match
+beyond, until none is left. Each stretch is judged on its own and kept as a passage if it spans at least LEAST words in
+both documents and SIMILAR of them agree.
 
-Scale: (hash, doc_id, place) rows for about a sixth of the words are shuffled twice, once combined by hash and once to
-join what is repeated, which Spark can split where a seed is frequent; then matches go by document, texts of chained
-documents by doc_id (rows can be split) and only chained segments by chain.
+Defined results: a null doc_id can't be named in a result and gives none; a null text, an empty one or one of fewer than
+K words has no seeds; rows that share a doc_id are one document (equal ones count once); of several holders the smallest
+id is the first, and of several places in it the first (ties); passages repeated within one document only are not its
+subject; very long texts are read whole; an empty table gives an empty result; other columns, of whatever names, are
+ignored.
+
+Scale: (hash, doc_id, place) rows for about a fifth of the words are written once and shuffled twice, once combined by
+hash and once to join what is repeated, which Spark can split where a seed is frequent; then matches go by document, all
+texts by doc_id to meet the segments of chains, and only these segments by chain.
 """
 
 from __future__ import annotations
@@ -29,7 +37,9 @@ from pyspark.sql import functions as F
 
 from .common import cut, words
 
-K, W, LEAST, SIMILAR, SKIP, MARGIN, GAP = 5, 12, 50, 0.8, 12, 48, 0.25
+K, W, LEAST, SIMILAR, SKIP, MARGIN, GAP = 5, 8, 50, 0.8, 12, 48, 0.25
+#: A chain spans so many words at least; and the numbers of neighbouring seeds that are keys of their own.
+REACH, RUNS = 6, (2, 4)
 
 
 def seeds_of(found: list[bytes], k: int = K, w: int = W) -> tuple[np.ndarray, np.ndarray]:
@@ -57,15 +67,15 @@ def seeds_of(found: list[bytes], k: int = K, w: int = W) -> tuple[np.ndarray, np
 def _seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, texts = batch.column("doc_id"), batch.column("text").to_pylist()
-        hashes, places, sizes = [], [], []
+        hashes, places, numbers = [], [], []
         for t in texts:
             h, p = seeds_of((t or "").encode("utf-8", "surrogatepass").split())
             hashes.append(h)
             places.append(p)
-            sizes.append(len(h))
-        at = pa.array(np.repeat(np.arange(len(texts)), sizes))
-        values = [np.concatenate(x) if x else np.zeros(0) for x in (hashes, places)]
-        yield pa.RecordBatch.from_arrays([pa.array(values[0].astype("u8").view("i8")), ids.take(at), pa.array(values[1].astype("i4"))], ["h", "doc", "at"])
+            numbers.append(np.arange(len(h)))
+        at = pa.array(np.repeat(np.arange(len(texts)), [len(h) for h in hashes]))
+        values = [np.concatenate(x) if x else np.zeros(0) for x in (hashes, places, numbers)]
+        yield pa.RecordBatch.from_arrays([pa.array(values[0].astype("u8").view("i8")), ids.take(at), *[pa.array(x.astype("i4")) for x in values[1:]]], ["h", "doc", "at", "n"])
 
 
 def chain(at: np.ndarray, at0: np.ndarray, k: int = K, gap: float = GAP) -> list[tuple]:
@@ -111,38 +121,93 @@ def chain(at: np.ndarray, at0: np.ndarray, k: int = K, gap: float = GAP) -> list
     return out
 
 
-def _chains(least: int):
-    reach = least - 2 * (K + W)  # what a passage of `least` words leaves between its outer seeds, at least
+def runs(h: np.ndarray, n: np.ndarray, at: np.ndarray, first: np.ndarray, at0: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(key, from, to) for each run of neighbouring seeds of a document that needs a first holder of its own. The seeds
+    are in order of their places, and n numbers all seeds of the document; places are indices into these arrays."""
+    beside = n[1:] == n[:-1] + 1
+    astray = (first[1:] != first[:-1]) | (np.abs((at0[1:] - at0[:-1]) - (at[1:] - at[:-1])) > SKIP)
+    for size in RUNS:
+        if len(h) < size:
+            return
+        whole, odd, key = np.ones(len(h) - size + 1, bool), np.zeros(len(h) - size + 1, bool), np.full(len(h) - size + 1, size, "u8")
+        for k in range(size):
+            key = (key ^ (key >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + h[k : k + len(key)]
+            if k:
+                whole &= beside[k - 1 : k - 1 + len(key)]
+                odd |= astray[k - 1 : k - 1 + len(key)]
+        for i in np.flatnonzero(whole & odd).tolist():
+            yield int(key[i].view("i8")), i, i + size
+
+
+def _documents(batches: Iterator[pa.RecordBatch], names: tuple) -> Iterator[tuple]:
+    """(doc, its values of each name, the type of doc), of rows in order of doc."""
+    held: list[list] = [[] for _ in names]
+    doc = kind = None
+    for batch in batches:
+        kind = batch.column("doc").type
+        docs, columns = batch.column("doc").to_pylist(), [batch.column(c).to_pylist() for c in names]
+        start = 0
+        while start < len(docs):
+            end = start + 1
+            while end < len(docs) and docs[end] == docs[start]:
+                end += 1
+            if held[0] and docs[start] != doc:
+                yield doc, held, kind
+                held = [[] for _ in names]
+            doc = docs[start]
+            for into, column in zip(held, columns):
+                into.extend(column[start:end])
+            start = end
+    if held[0]:
+        yield doc, held, kind
+
+
+def _linked(doc, firsts: list, pairs: list[tuple[int, int]]) -> list[tuple]:
+    """The chains of a document with each other one, given the first holder of each match and its places in both."""
+    by: dict = {}
+    for first, pair in zip(firsts, pairs):
+        if first != doc:
+            by.setdefault(first, set()).add(pair)
+    out = []
+    for first, matches in sorted(by.items()):
+        if len(matches) > 1:  # one alone spans too little
+            at, at0 = (np.array(x) for x in zip(*matches))
+            out += [(doc, first, *c, None, None) for c in chain(at, at0) if c[1] - c[0] + K >= REACH and c[3] - c[2] + K >= REACH]
+    return out
 
-    def of(doc, first, at, at0) -> list[tuple]:
-        found = chain(np.array(at), np.array(at0))
-        return [(doc, first, *c) for c in found if c[1] - c[0] + K >= reach and c[3] - c[2] + K >= reach]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, at, at0, rows, kind = None, [], [], [], None
-        for batch in batches:
-            kind = batch.column("doc").type
-            for doc, first, x, y in zip(*[batch.column(c).to_pylist() for c in ("doc", "first", "at", "at0")]):
-                if (doc, first) != key:
-                    if key is not None:
-                        rows += of(*key, at, at0)
-                    key, at, at0 = (doc, first), [], []
-                at.append(x)
-                at0.append(y)
-            if len(rows) > 10_000:
-                yield _rows(rows, kind)
-                rows = []
-        if key is not None:
-            rows += of(*key, at, at0)
-        if rows:
+def _first_chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Chains of the matches by single seeds, and rows (doc, key, places) of runs that need a first holder."""
+    rows: list[tuple] = []
+    for doc, (h, n, at, first, at0), kind in _documents(batches, ("h", "n", "at", "first", "at0")):
+        rows += _linked(doc, first, list(zip(at, at0)))
+        names = np.array(first, object) if kind not in (pa.int32(), pa.int64()) else np.array(first)
+        where = np.array(at)
+        for key, i, j in runs(np.array(h, "i8").view("u8"), np.array(n), where, names, np.array(at0)):
+            rows.append((doc, None, None, None, None, None, at[i:j], None, key, at[i]))
+        if len(rows) > 10_000:
             yield _rows(rows, kind)
+            rows = []
+    if rows:
+        yield _rows(rows, kind)
 
-    return run
+
+def _run_chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Chains of the matches by runs of seeds."""
+    rows: list[tuple] = []
+    for doc, (first, m, m0), kind in _documents(batches, ("first", "m", "m0")):
+        every = [(f, pair) for f, x, x0 in zip(first, m, m0) for pair in zip(x, x0)]
+        rows += _linked(doc, [f for f, _ in every], [pair for _, pair in every])
+        if len(rows) > 10_000:
+            yield _rows(rows, kind)
+            rows = []
+    if rows:
+        yield _rows(rows, kind)
 
 
 def _rows(rows: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
-    names = ["doc", "first", "a", "b", "a0", "b0", "m", "m0"]
-    kinds = [kind] * 2 + [pa.int32()] * 4 + [pa.list_(pa.int32())] * 2
+    names = ["doc", "first", "a", "b", "a0", "b0", "m", "m0", "key", "at"]
+    kinds = [kind] * 2 + [pa.int32()] * 4 + [pa.list_(pa.int32())] * 2 + [pa.int64(), pa.int32()]
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
 
 
@@ -211,14 +276,21 @@ def repeats(docs: DataFrame, least: int = LEAST, similar: float = SIMILAR) -> Da
     end_word, first_doc_id, first_start, first_end (word places, ends exclusive), same_words, similarity."""
     docs = docs.select("doc_id", "text").filter("doc_id is not null")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    seeds = docs.mapInArrow(_seeds, f"h long, doc {kind}, at int")
+    seeds = cut(docs.mapInArrow(_seeds, f"h long, doc {kind}, at int, n int"), "all-seeds")
     held = seeds.groupBy("h").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).filter("first != last").select("h", "first")
     # Written first: a join of two plain shuffles is one that Spark can split where a seed is frequent.
     met = cut(seeds.join(cut(held, "held"), "h"), "seeds")
     where = cut(met.filter("doc = first").groupBy("h").agg(F.min("at").alias("at0")), "first")
-    matches = met.filter("doc != first").join(where, "h").select("doc", "first", "at", "at0")
-    matches = matches.repartition("doc").sortWithinPartitions("doc", "first", "at")
-    chains = cut(matches.mapInArrow(_chains(least), f"doc {kind}, first {kind}, a int, b int, a0 int, b0 int, m array<int>, m0 array<int>"), "chains")
+    matches = met.join(where, "h").select("h", "doc", "n", "at", "first", "at0")
+    matches = matches.repartition("doc").sortWithinPartitions("doc", "at")
+    schema = f"doc {kind}, first {kind}, a int, b int, a0 int, b0 int, m array<int>, m0 array<int>, key long, at int"
+    found = cut(matches.mapInArrow(_first_chains, schema), "chains")
+    keys = found.filter("key is not null").select("key", "doc", "at", "m")
+    holder = keys.groupBy("key").agg(F.min(F.struct("doc", "at", "m")).alias("x"), F.max("doc").alias("last")).filter("x.doc != last")
+    run = keys.join(cut(holder.select("key", F.col("x.doc").alias("first"), F.col("x.m").alias("m0")), "runs"), "key").filter("doc != first")
+    run = run.select("doc", "at", "first", "m", "m0").repartition("doc").sortWithinPartitions("doc", "at")
+    more = cut(run.mapInArrow(_run_chains, schema), "run-chains")
+    chains = found.filter("key is null").union(more).drop("key", "at").distinct()
     chains = chains.withColumn("c", F.xxhash64(*chains.columns))
     edge = lambda c: F.greatest(F.lit(0), F.col(c) - MARGIN)
     span = lambda side, doc, a, b: F.struct(F.lit(side).alias("side"), F.col(doc).alias("id"), edge(a).alias("s"), (F.col(b) + K + MARGIN).alias("e"))
