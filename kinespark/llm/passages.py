@@ -297,9 +297,10 @@ def repeats(docs: DataFrame, least: int = LEAST, similar: float = SIMILAR) -> Da
     sides = chains.select("c", F.explode(F.array(span(0, "doc", "a", "b"), span(1, "first", "a0", "b0"))).alias("x")).select("c", "x.*")
     parts = sides.join(docs, sides["id"] == docs["doc_id"])
     parts = parts.select("c", "side", F.array_join(F.slice(words(F.col("text")), F.col("s") + 1, F.col("e") - F.col("s")), " ").alias("t"))
-    # Two segments a chain (more if rows share a doc_id): sides meet by the chain's hash.
-    left, right = parts.filter("side = 0").select("c", F.col("t").alias("p")), parts.filter("side = 1").select("c", F.col("t").alias("q"))
-    both = chains.join(left, "c").join(right, "c")
+    # Two segments a chain (more if rows share a doc_id) meet by the chain's hash.
+    text = lambda side: F.collect_set(F.when(F.col("side") == side, F.col("t")))
+    pairs = parts.groupBy("c").agg(text(0).alias("p"), text(1).alias("q"))
+    both = chains.join(pairs, "c").withColumn("p", F.explode("p")).withColumn("q", F.explode("q"))
     both = both.select("doc", "first", "m", "m0", edge("a").alias("s"), edge("a0").alias("s0"), "p", "q")
     out = both.mapInArrow(_verified(least, similar), f"doc_id {kind}, start_word long, end_word long, first_doc_id {kind}, first_start long, first_end long, same_words long, similarity double")
     return out.distinct()
