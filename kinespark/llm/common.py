@@ -31,8 +31,9 @@ def words(text: Column) -> Column:
 
 
 def row_key(*columns: str) -> Column:
-    """A 64-bit key of a row's contents, never null. Null and empty columns differ."""
-    return F.xxhash64(*[x for c in columns for x in (F.col(c).isNull(), F.col(c))])
+    """A 128-bit key of a row's contents, never null. Null and empty columns differ."""
+    parts = [x for c in columns for x in (F.col(c).isNull(), F.col(c))]
+    return F.struct(F.xxhash64(F.lit(1), *parts).alias("a"), F.xxhash64(F.lit(2), *parts).alias("b"))
 
 
 def hold(df: DataFrame, **columns: Column) -> DataFrame:
@@ -56,9 +57,12 @@ def untuck(df: DataFrame, names: list[str], *keep: str, **new: Column) -> DataFr
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; one of our own only where the session names none."""
+    """The folder that all executors share. Only a session in one process may name none; it gets one of our own."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        master = spark.conf.get("spark.master", "")
+        if master.startswith("local-cluster") or not master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='kinespark-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
