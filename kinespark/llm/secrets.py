@@ -1,26 +1,34 @@
 """Secret scans: fixed patterns and a battery of randomness tests (DataFrame functions only).
 
-Base kinds: `assign`, `access` and `hex`. The method adds the kind `random`: tokens of 20 or more characters whose
-encoding (hex, base32, lower-case base36, base64) is inferred from their characters and of which
-- the chi-squared statistic against that alphabet is so small that a structured text of its length, with a
-  non-centrality of `STRUCTURE[k]` a character, would give it with a probability p only,
-- neither the Wald-Wolfowitz runs about the middle of the alphabet nor the lag-1 serial correlation refutes randomness.
-Over all tokens tested in the corpus the p are held to a false-discovery rate by Benjamini and Hochberg's step-up rule,
-weighted by length (longer tokens have more power; the weights have mean 1).
+Base kinds: `assign`, `access` and `hex`. The method adds the kind `random`: tokens of 20 or more characters, and the
+parts of such tokens between `_` and `-`, whose encoding (hex, base32, base36, base64 or base64url) is inferred from
+their characters. Three statistics are taken of each: chi-squared uniformity over the alphabet, Wald-Wolfowitz runs about
+its middle, and the lag-1 serial correlation. The null hypothesis is a structured text of the same length and alphabet,
+in which each statistic is shifted by an amount that grows with the length (ALPHABETS has the shifts, measured on
+identifiers made of English words and on the hex form of English text). The standardised distances below these nulls are
+added with the weights of BATTERY to one normal deviate and its probability p: a token is found random only if all three
+together are too near to randomness for structured text. Over all tokens tested in the corpus the p are held to a
+false-discovery rate by Benjamini and Hochberg's step-up rule, weighted by length (longer tokens have more power; the
+weights have mean 1). What the pooled share of tokens without structure is beyond English isn't known; a Markov source
+with less structure than English words is taken for random too often.
 
 Positions come from the gaps: splitting by a pattern and extracting it give alternating pieces, whose lengths are
 summed in order for each text and kind.
 
 Defined results: a null or empty text has no span; a null doc_id is an id like others; repeated rows are scanned once
 and each get the result; overlapping base spans of different kinds all stay; random spans that overlap a base span are
-dropped; an empty table gives an empty result; columns beyond doc_id and text pass through `redact`.
+dropped, and parts found in a token that is found whole; tokens with equal p are found together or not at all (ties);
+very long texts are scanned whole; an empty table gives an empty result; columns beyond doc_id and text, of whatever
+names, pass through `redact`.
 
-Scale: the text is scanned in place; only texts' match lengths and tested tokens are shuffled, by row. The step-up rule
-needs a histogram of the p (at most 6,400 bins), not their order.
+Scale: the text is scanned in place; only texts' match lengths and tested tokens are shuffled, by a 128-bit key of the
+row. The step-up rule needs a histogram of the p (at most 6,400 bins), not their order.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,14 +40,22 @@ ASSIGN = "((?i:password|passwd|secret|token|api_?key))[\"']?\\x20*[:=]\\x20*[\"'
 ACCESS = "AKIA[A-Z0-9]{14,}"
 HEX = "[0-9a-f]{16,}"
 TOKEN = "[A-Za-z0-9+/_-]{20,}={0,2}"
-#: Alphabets by encoding, and the non-centrality a character of structured text in them.
+PART = "(?<=[_-])[A-Za-z0-9+/]{20,}|(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{20,}+(?=[_-])"
+_UPPER, _LOWER, _DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
+#: Ahead of a token that has a digit; it starts where a token does, so that long runs cost linear time.
+DIGIT = "(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])"
+#: Alphabets by encoding, and the shifts of structured text in them: chi-squared a character, and the deviates of runs and
+#: of serial correlation for each root of the length.
 ALPHABETS = {
-    "hex": ("0123456789abcdef", 1.0),
-    "base32": ("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 1.0),
-    "base36": ("abcdefghijklmnopqrstuvwxyz0123456789", 1.5),
-    "base64": ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", 2.0),
+    "hex": (_DIGITS + "abcdef", 1.1, 0.18, 0.12),
+    "HEX": (_DIGITS + "ABCDEF", 1.1, 0.18, 0.12),
+    "base32": (_UPPER + "234567", 0.9, 0.13, 0.17),
+    "base36": (_LOWER + _DIGITS, 0.9, 0.13, 0.17),
+    "BASE36": (_UPPER + _DIGITS, 0.9, 0.13, 0.17),
+    "base64": (_UPPER + _LOWER + _DIGITS + "+/", 1.5, 0.14, 0.11),
+    "base64url": (_UPPER + _LOWER + _DIGITS + "-_", 1.5, 0.14, 0.11),
 }
-RATE, REFUTED, LONG = 0.01, 0.001, 64
+RATE, LONG, BATTERY = 0.01, 64, (2.0, 1.0, 1.0)
 BINS = 20  # a decade
 
 
@@ -47,17 +63,18 @@ def _matches(text: Column, pattern: str, kind: int, group: int = 0, least: int =
     whole, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern)
     held = whole if not group else F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
     parts = F.arrays_zip(whole.alias("w"), F.slice(gaps, 1, F.greatest(F.lit(0), F.size(gaps) - 1)).alias("g"), held.alias("h"))
-    made = F.transform(parts, lambda x, i: F.struct(F.lit(kind).alias("kind"), i.alias("i"), F.length(x["g"]).cast("bigint").alias("gap"), F.length(x["w"]).cast("bigint").alias("len"), (F.length(x["h"]) >= least).alias("ok"), F.when(F.lit(kind == 3), x["w"]).alias("token")))
+    made = F.transform(parts, lambda x, i: F.struct(F.lit(kind).alias("kind"), i.alias("i"), F.length(x["g"]).cast("bigint").alias("gap"), F.length(x["w"]).cast("bigint").alias("len"), (F.length(x["h"]) >= least).alias("ok"), F.when(F.lit(kind >= 3), x["w"]).alias("token")))
     return F.when(text.rlike(pattern), made)
 
 
 def spans(docs: DataFrame) -> DataFrame:
-    """(_key, kind, start, end, token): all base spans and all tokens to be tested, of each distinct (doc_id, text)."""
-    text = docs.filter(F.col("text").rlike(f"(?i:password|passwd|secret|token|api_?key)|AKIA[A-Z0-9]|{HEX}|(?=[A-Za-z+/_-]*[0-9]){TOKEN}"))
+    """(_key, kind, start, end, token): all base spans and all tokens (3) and their parts (4) to be tested, of each distinct
+    (doc_id, text)."""
+    text = docs.filter(F.col("text").rlike(f"(?i:password|passwd|secret|token|api_?key)|AKIA[A-Z0-9]|{HEX}|{DIGIT}{TOKEN}"))
     found = text.select(row_key("doc_id", "text").alias("_key"), F.explode(F.array(F.struct(F.lit(0).alias("k"), F.col("text").alias("t")))).alias("_x")).select("_key", F.col("_x.t").alias("_t"))
-    kinds = [_matches(F.col("_t"), ASSIGN, 0, 2, 12), _matches(F.col("_t"), ACCESS, 1), _matches(F.col("_t"), HEX, 2), _matches(F.col("_t"), TOKEN, 3)]
-    rows = hold(found, _a=kinds[0], _b=kinds[1], _c=kinds[2], _d=kinds[3]).drop("_t")
-    rows = rows.select("_key", F.explode(F.flatten(F.array_compact(F.array("_a", "_b", "_c", "_d")))).alias("m")).select("_key", "m.*")
+    kinds = [_matches(F.col("_t"), ASSIGN, 0, 2, 12), _matches(F.col("_t"), ACCESS, 1), _matches(F.col("_t"), HEX, 2), _matches(F.col("_t"), TOKEN, 3), _matches(F.col("_t"), PART, 4)]
+    rows = hold(found, _a=kinds[0], _b=kinds[1], _c=kinds[2], _d=kinds[3], _e=kinds[4]).drop("_t")
+    rows = rows.select("_key", F.explode(F.flatten(F.array_compact(F.array("_a", "_b", "_c", "_d", "_e")))).alias("m")).select("_key", "m.*")
     rows = rows.repartition("_key").groupBy("_key", "kind", "i").agg(*[F.first(c).alias(c) for c in ("gap", "len", "ok", "token")])
     upto = Window.partitionBy("_key", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("end", F.sum(F.col("gap") + F.col("len")).over(upto)).filter("ok")
@@ -71,14 +88,16 @@ def _normal_tail(z: Column) -> Column:
 
 
 def tested(tokens: DataFrame) -> DataFrame:
-    """The tokens of an inferred encoding with p, length and refuted: whether runs or serial correlation do."""
+    """The tokens of an inferred encoding with p and weight."""
     t = F.regexp_replace("token", "=+$", "")
     digit, lower, upper = t.rlike("[0-9]"), t.rlike("[a-z]"), t.rlike("[A-Z]")
-    kind = F.when(t.rlike("^[0-9a-f]+$") & digit & lower, "hex").when(t.rlike("^[A-Z2-7]+$") & digit & upper, "base32")
+    kind = F.when(t.rlike("^[0-9a-f]+$") & digit & lower, "hex").when(t.rlike("^[0-9A-F]+$") & digit & upper, "HEX")
+    kind = kind.when(t.rlike("^[A-Z2-7]+$") & digit & upper, "base32").when(t.rlike("^[A-Z0-9]+$") & digit & upper, "BASE36")
     kind = kind.when(t.rlike("^[a-z0-9]+$") & digit & lower, "base36").when(digit & lower & upper & ~t.rlike("[_-]"), "base64")
+    kind = kind.when(digit & lower & upper & ~t.rlike("[+/]"), "base64url")
     df = hold(tokens, _t=t, _kind=kind).filter(F.col("_kind").isNotNull())
     pick = lambda f: F.coalesce(*[F.when(F.col("_kind") == k, f(k)) for k in ALPHABETS])
-    df = hold(df, _abc=pick(lambda k: F.lit(ALPHABETS[k][0])), _delta=pick(lambda k: F.lit(ALPHABETS[k][1])), _c=F.split("_t", ""))
+    df = hold(df, _abc=pick(lambda k: F.lit(ALPHABETS[k][0])), _shifts=pick(lambda k: F.array(*[F.lit(x) for x in ALPHABETS[k][1:]])), _c=F.split("_t", ""))
     df = hold(df, _x=F.transform("_c", lambda c: F.instr(F.col("_abc"), c)), _n=F.length("_t").cast("double"), _m=F.length("_abc").cast("double"))
     number = lambda f, a: F.aggregate(a, F.lit(0.0), lambda s, x: s + f(x).cast("double"))
     letters = F.transform(F.split("_abc", ""), lambda c: F.col("_n") - F.length(F.replace(F.col("_t"), c, F.lit(""))))
@@ -93,14 +112,15 @@ def tested(tokens: DataFrame) -> DataFrame:
         _cov=number(lambda p: (p["a"] - F.col("_mean")) * (p["b"] - F.col("_mean")), F.col("_both")),
     )
     n, a, b = F.col("_n"), F.col("_high"), F.col("_n") - F.col("_high")
-    chi, df_, away = F.col("_squares") * F.col("_m") / n - n, F.col("_m") - 1, F.col("_delta") * F.col("_n")
-    p = _normal_tail((chi - df_ - away) / F.sqrt(2 * (df_ + 2 * away)))
+    chi, df_, away = F.col("_squares") * F.col("_m") / n - n, F.col("_m") - 1, F.col("_shifts")[0] * F.col("_n")
+    uniform = (chi - df_ - away) / F.sqrt(2 * (df_ + 2 * away))
     product = 2 * a * b
     spread = F.sqrt(F.greatest(product * (product - n) / (n * n * (n - 1)), F.lit(1e-9)))
     runs = F.abs(F.col("_runs") - product / n - 1) / spread
     serial = F.abs(F.col("_cov") / F.greatest(F.col("_var"), F.lit(1e-9)) + 1 / n) * F.sqrt(n)
-    refuted = F.greatest(runs, serial) > 3.2905  # two-sided, a thousandth
-    return df.select(*tokens.columns, p.alias("p"), F.least(n, F.lit(float(LONG))).alias("weight"), refuted.alias("refuted"))
+    deviates = (uniform, runs - F.col("_shifts")[1] * F.sqrt(n), serial - F.col("_shifts")[2] * F.sqrt(n))
+    z = sum((w * x for w, x in zip(BATTERY, deviates)), F.lit(0.0)) / math.sqrt(sum(w * w for w in BATTERY))
+    return df.select(*tokens.columns, _normal_tail(z).alias("p"), F.least(n, F.lit(float(LONG))).alias("weight"))
 
 
 def discoveries(tokens: DataFrame, rate: float = RATE) -> DataFrame:
@@ -112,14 +132,18 @@ def discoveries(tokens: DataFrame, rate: float = RATE) -> DataFrame:
     rank = F.sum("_n").over(Window.partitionBy(F.lit(1)).orderBy(F.col("_bin").desc()))
     passed = bins.withColumn("_rank", rank).filter(F.pow(F.lit(10.0), -F.col("_bin") / BINS) <= rate * F.col("_rank") / max(n, 1))
     edge = passed.agg(F.min("_bin")).first()[0]
-    return held.filter(F.lit(False) if edge is None else (F.col("_bin") >= edge) & ~F.col("refuted")).select(*tokens.columns)
+    return held.filter(F.lit(False) if edge is None else F.col("_bin") >= edge).select(*tokens.columns)
 
 
 def all_spans(docs: DataFrame, rate: float = RATE) -> DataFrame:
     """(_key, kind, start, end): base spans, and random ones that don't overlap them."""
     every = cut(spans(docs), "secret-spans")
     base = every.filter("kind < 3").select("_key", "kind", "start", "end")
-    extra = discoveries(every.filter("kind = 3"), rate).select("_key", "kind", "start", "end")
+    extra = discoveries(every.filter("kind >= 3"), rate).select("_key", "kind", "start", "end")
+    # Tokens don't overlap one another, nor do parts; a part lies in one token, and that one comes before it if found.
+    whole = Window.partitionBy("_key").orderBy("start", "kind").rowsBetween(Window.unboundedPreceding, -1)
+    extra = extra.withColumn("_over", F.max(F.when(F.col("kind") == 3, F.col("end"))).over(whole))
+    extra = extra.filter((F.col("kind") == 3) | ~F.coalesce(F.col("_over") >= F.col("end"), F.lit(False))).withColumn("kind", F.lit(3)).drop("_over")
     both = base.unionByName(extra)
     by = Window.partitionBy("_key").orderBy("start", "kind")
     reach = F.max(F.when(F.col("kind") < 3, F.col("end")))
