@@ -4,16 +4,22 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections.abc import Iterator
+
+import numpy as np
 
 #: Kinds of elements; fixed values of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe xmp noembed noframes".split())
-BLOCKS = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
+RAW = frozenset("script style textarea title template iframe xmp noembed noframes".split())
+BLOCKS = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul xmp".split())
+#: Cells of a table of sums that is kept at once.
+TABLE = 4_000_000
 #: An element that opens closes those still open, up to the barrier.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)([^>\"']*(?:(?:\"[^\"]*\"|'[^']*')[^>\"']*)*)>", re.S)
 _ATTRIBUTE = re.compile(r"([A-Za-z_:][-\w:.]*)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))|([A-Za-z_:][-\w:.]*)")
+_ENDS = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in RAW}
 _NAMED = re.compile("class|id|role|label|hidden|style", re.I)
 
 
@@ -86,9 +92,13 @@ def parse(page: str) -> Node:
                 elif key == "hidden" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
                     hidden = True
         if tag in RAW:
-            end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
+            end = _ENDS[tag].search(page, at)
+            child = Node(tag, names, node, tag != "xmp")
+            if tag == "xmp":  # shown as it stands
+                child.children.append((page[at : end.start()] if end else page[at:]).replace("&", "&amp;"))
             at = end.end() if end else size
-            node.children.append(Node(tag, names, node, True))
+            node.children.append(child)
+            every.append(child)
             continue
         child = Node(tag, names, node, hidden)
         node.children.append(child)
@@ -106,13 +116,50 @@ def tidy(text: str) -> str:
     return " ".join((entities.unescape(text) if "&" in text else text).split())
 
 
-def align(a: Node, b: Node, most: int = 250_000) -> int:
+def _best_rows(weights: np.ndarray, xs: np.ndarray, ys: np.ndarray) -> Iterator[np.ndarray]:
+    """The rows of the table of best sums: entry j of row i is that of xs[:i] and ys[:j]."""
+    row = np.zeros(len(ys) + 1, "i8")
+    yield row
+    for x in xs:
+        later = row.copy()
+        np.maximum(row[1:], row[:-1] + weights[x][ys], out=later[1:])
+        row = np.maximum.accumulate(later)
+        yield row
+
+
+def matched(weights: np.ndarray, xs: np.ndarray, ys: np.ndarray) -> list[tuple[int, int]]:
+    """The pairs (i, j), rising in both, of which the sum of weights[xs[i], ys[j]] is largest. Tables above TABLE cells are
+    halved along xs until each part fits, which takes twice the time and keeps memory bounded."""
+    n, m = len(xs), len(ys)
+    if not n or not m:
+        return []
+    if n > 1 and n * m > TABLE:
+        half = n // 2
+        for head in _best_rows(weights, xs[:half], ys):
+            pass
+        for tail in _best_rows(weights, xs[half:][::-1], ys[::-1]):
+            pass
+        at = int(np.argmax(head + tail[::-1]))
+        return matched(weights, xs[:half], ys[:at]) + [(i + half, j + at) for i, j in matched(weights, xs[half:], ys[at:])]
+    best = np.stack(list(_best_rows(weights, xs, ys)))
+    i, j, out = n, m, []
+    while i and j:
+        if best[i, j] == best[i - 1, j]:
+            i -= 1
+        elif best[i, j] == best[i, j - 1]:
+            j -= 1
+        else:
+            i, j = i - 1, j - 1
+            out.append((i, j))
+    return out[::-1]
+
+
+def align(a: Node, b: Node) -> int:
     """Simple tree matching of two trees: the number of nodes matched. Each matched node of `a` whose whole text is
     that of its partner gets constant += 1.
 
     Children match in order, by dynamic programming over the sizes of their own matches. Pairs of one shape at the head
-    of both lists match first: no other match of either is larger, so nothing is lost. Lists whose product is over
-    `most` match by runs of tags.
+    of both lists match first: no other match of either is larger, so nothing is lost.
     """
     if a.tag != b.tag or a.names != b.names:
         return 0
@@ -144,30 +191,31 @@ def align(a: Node, b: Node, most: int = 250_000) -> int:
         xs, ys = xs[k:i], ys[k:j]
         if not xs or not ys:
             return total, out
-        if len(xs) * len(ys) > most:
-            j = 0
+        if len(xs) * len(ys) <= 64:  # the same table, without the cost of arrays
+            n, m = len(xs), len(ys)
+            best = [[0] * (m + 1)]
             for x in xs:
-                hit = next((i for i in range(j, min(j + 64, len(ys))) if ys[i].tag == x.tag and ys[i].names == x.names), None)
-                if hit is not None:
-                    total, j = total + size(x, ys[hit]), hit + 1
-                    out.append((x, ys[hit]))
-            return total, out
-        n, m = len(xs), len(ys)
-        best = [[0] * (m + 1) for _ in range(n + 1)]
-        for i in range(n):
-            row, up = best[i + 1], best[i]
-            for j in range(m):
-                row[j + 1] = max(up[j + 1], row[j], up[j] + size(xs[i], ys[j]))
-        i, j, found = n, m, []
-        while i and j:
-            if best[i][j] == best[i - 1][j]:
-                i -= 1
-            elif best[i][j] == best[i][j - 1]:
-                j -= 1
-            else:
-                i, j = i - 1, j - 1
-                found.append((xs[i], ys[j]))
-        return total + best[n][m], out + found[::-1]
+                up, row = best[-1], [0]
+                for k, y in enumerate(ys):
+                    row.append(max(up[k + 1], row[k], up[k] + size(x, y)))
+                best.append(row)
+            i, j, found = n, m, []
+            while i and j:
+                if best[i][j] == best[i - 1][j]:
+                    i -= 1
+                elif best[i][j] == best[i][j - 1]:
+                    j -= 1
+                else:
+                    i, j = i - 1, j - 1
+                    found.append((xs[i], ys[j]))
+            return total + best[n][m], out + found[::-1]
+        # Nodes of one shape weigh the same: one weight for each pair of shapes.
+        left, right = {x.shape: x for x in xs}, {y.shape: y for y in ys}
+        weights = np.array([[size(x, y) for y in right.values()] for x in left.values()], "i8")
+        rows, columns = ({s: k for k, s in enumerate(side)} for side in (left, right))
+        i, j = np.array([rows[x.shape] for x in xs]), np.array([columns[y.shape] for y in ys])
+        found = matched(weights, i, j)
+        return total + sum(int(weights[i[p], j[q]]) for p, q in found), out + [(xs[p], ys[q]) for p, q in found]
 
     total, stack = 0, [(a, b)]
     while stack:

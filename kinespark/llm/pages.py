@@ -3,19 +3,23 @@
 For each host up to PARTNERS pages with different contents are exemplars (those of the smallest content hashes). A
 page's tree is aligned with each exemplar's by simple tree matching. Nodes whose text is the same in more than half of
 the alignments are template; the others are slots, which vary. The content root is the page's `article` or `main`
-element (the one with most slot text), or else the deepest element that holds most of the slot text. Below it, navigation,
-headers and footers of the page, sidebars, forms, adverts, notices and reader comments are left out by element and by
-the words of their class, id and role, and so are template blocks; the rest is the text, block by block.
+element (the one with most slot text), or else the deepest element that holds most of the slot text. Below it,
+navigation, footers, sidebars, forms, adverts, notices and reader comments are left out by element and role; a class or id
+counts as a role if each of its words is the name of one or a word for a place or container (`comment-list`, but not
+`share-price`). All other text below an `article` or `main` stays, whether constant or not. Where the root had to be
+found, constant containers in it are template, too; constant paragraphs and headings among slots stay.
 
 Exemplars that a copy of the page may be among can't turn its article into template: a block is template only in more
 than half of at least two alignments. A page without partners keeps all blocks of its content root.
 
 Defined results: a null or empty page gives an empty text; a null or odd url has the host ''; repeated rows each get
-their result; `br` is white space; an empty table gives an empty result.
+their result, and copies of a page are one exemplar; `br` is white space; of roots with equal slot text the outer one is
+taken, of equal alignments one that leaves out the later node (ties); pages of any length and depth are read whole; an
+empty table gives an empty result; other columns, of whatever names, are ignored.
 
 Scale: the exemplars of a host are chosen among hashes of its distinct pages, and copies of one are combined within each
 task before the exchange, so that a host with a third of all pages sends few texts; they are written, and pages meet them
-by a join on the host that Spark can split.
+by a join on the host that Spark can split. Aligning two lists of siblings costs their product in time.
 """
 
 from __future__ import annotations
@@ -30,10 +34,13 @@ from pyspark.sql import functions as F
 from .common import cut
 from .dom import BLOCKS, Node, align, parse, tidy
 
-PARTNERS = 3
-#: Elements and words of class, id or role that aren't main text; fixed values.
-DROPPED = frozenset("nav aside form button select option input footer dialog menu svg canvas audio video object embed head script style template noscript iframe".split())
-WORDS = frozenset("ad ads advert adverts advertisement advertising adbox adsbygoogle banner sponsor sponsored promo promotion promoted nav navbar navigation menu breadcrumb breadcrumbs sidebar side-bar aside rail widget widgets footer masthead site-header page-header topbar cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login comment comments comment-list respond disqus replies reply related recommended recommendations share sharing social toolbar pagination pager search skip-link contentinfo complementary search-form copyright legal".split())
+PARTNERS = 5
+#: Elements that aren't main text, names of such roles, and words for places and containers; fixed values.
+DROPPED = frozenset("nav aside form button select option input footer dialog menu svg canvas audio video object embed head script style template iframe".split())
+ROLES = frozenset("ad ads advert adverts advertisement advertising adsbygoogle banner sponsor sponsored promo promotion promoted nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar aside widget widgets footer masthead topbar cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login comment comments respond disqus replies reply related recommended recommendations share sharing social toolbar pagination pager search skip contentinfo complementary".split())
+PLACES = frozenset("site page main top bottom left right side upper lower inner outer header head body bar box block list item items area section container wrapper wrap content links link buttons button form posts post reader readers user users thread unit slot zone panel group row col column primary secondary global fixed sticky".split())
+#: Blocks of running text.
+FLOW = frozenset("p h1 h2 h3 h4 h5 h6 li dd dt blockquote pre td th figcaption caption address".split())
 
 
 def host(url: Column) -> Column:
@@ -47,8 +54,8 @@ def _named_out(names: str) -> bool:
     if len(_known) > 10_000:
         _known.clear()
     if names not in _known:
-        words = set(names.replace("_", "-").split())
-        _known[names] = bool(words & WORDS) or any(w.split("-")[0] in WORDS or w.split("-")[-1] in WORDS for w in words if "-" in w)
+        words = [[w.rstrip("0123456789") for w in name.replace("_", "-").split("-")] for name in names.split()]
+        _known[names] = any(ROLES.intersection(w) and ROLES.union(PLACES, [""]).issuperset(w) for w in words)
     return _known[names]
 
 
@@ -58,9 +65,13 @@ def _left_out(node: Node, inside: bool) -> bool:
     return bool(node.names) and _named_out(node.names)
 
 
+def _constant(node: Node, partners: int) -> bool:
+    return partners >= 2 and 2 * node.constant > partners
+
+
 def _slots(node: Node, partners: int, sizes: dict) -> int:
     """The characters of slot text below each node that isn't left out."""
-    total, constant = 0, partners >= 2 and 2 * node.constant > partners
+    total, constant = 0, _constant(node, partners)
     for child in node.children:
         if isinstance(child, str):
             total += 0 if constant else len(child.strip())
@@ -70,7 +81,8 @@ def _slots(node: Node, partners: int, sizes: dict) -> int:
     return total
 
 
-def _root(page: Node, partners: int) -> Node:
+def _root(page: Node, partners: int) -> tuple[Node, bool]:
+    """The content root, and whether the page itself names it."""
     sizes: dict = {}
     _slots(page, partners, sizes)
     best, stack = None, [page]
@@ -81,17 +93,17 @@ def _root(page: Node, partners: int) -> Node:
                 stack.append(child)
                 if (child.tag in ("article", "main") or "main" in child.names.split()) and (best is None or sizes[id(child)] > sizes[id(best)]):
                     best = child
-    if best is not None and sizes[id(best)]:
-        return best
+    if best is not None and (sizes[id(best)] or best.children):
+        return best, True
     node = page
     while True:
         most = max((c for c in node.elements() if c.tag in BLOCKS and id(c) in sizes), key=lambda c: sizes[id(c)], default=None)
         if most is None or most.tag in ("p", "li", "h1", "h2", "h3") or sizes[id(most)] <= 0.6 * sizes[id(node)]:
-            return node
+            return node, False
         node = most
 
 
-def _blocks(root: Node, partners: int) -> list[str]:
+def _blocks(root: Node, named: bool, partners: int) -> list[str]:
     out: list[str] = []
     parts: list[str] = []
 
@@ -113,7 +125,7 @@ def _blocks(root: Node, partners: int) -> list[str]:
         elif x.tag == "br":
             parts.append(" ")
         elif x.tag in BLOCKS:
-            if x is not root and partners >= 2 and 2 * x.constant > partners:
+            if x is not root and not named and _constant(x, partners) and not (x.tag in FLOW and any(c.tag in FLOW and not _constant(c, partners) for c in x.parent.elements())):
                 close()
                 continue
             close()
@@ -137,7 +149,7 @@ def extract(page: str | None, partners: list[Node] = ()) -> str:
         if partner.key != tree.key:
             align(tree, partner)
             used += 1
-    return "\n".join(_blocks(_root(tree, used), used))
+    return "\n".join(_blocks(*_root(tree, used), used))
 
 
 def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
