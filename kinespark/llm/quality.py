@@ -9,11 +9,13 @@ share.
 
 Defined results: a null or empty text has no words, fails the base rule and isn't kept; a null source is a host of its
 own; repeated rows count once for a line and each get their own result row; an empty table gives an empty result;
-columns beyond doc_id, text and source pass through `clean` and are ignored by `measure`.
+columns beyond doc_id, text and source, of whatever names, pass through `clean` and are ignored by `measure`; a line as
+frequent as the limits (ties) stays; very long texts are counted whole.
 
-Scale: the text is read once (twice by `clean`) and never shuffled; the counts and line hashes go to the shared folder.
-What is shuffled are (host, line, document) hashes, combined before the exchange. A host has at most `1 / share` times its mean lines a document of frequent lines; they come back as one
-array a host, by a join whose form Spark chooses by size.
+Scale: the text is read once and never shuffled; the counts and line hashes (in `clean` with the texts that may stay) go
+to the shared folder. What is shuffled are (host, line, document) hashes, combined before the exchange. A host has at
+most `1 / share` times its mean lines a document of frequent lines; they come back as one array a host, by a join whose
+form Spark chooses by size.
 """
 
 from __future__ import annotations
@@ -105,7 +107,10 @@ def measure(docs: DataFrame, share: float = SHARE, least: int = LEAST, remain: f
 def clean(docs: DataFrame, share: float = SHARE, least: int = LEAST, remain: float = REMAIN) -> DataFrame:
     """The documents that stay, with the columns of docs; frequent lines are taken out of their texts."""
     names, keep = docs.columns, ("doc_id", "source", "text")
-    out = _judged(counts(tuck(docs, *keep)), share, least, remain).filter("kept")
+    # Written with the texts that may stay, so that all texts are counted once.
+    counted = counts(tuck(docs, *keep)).withColumn("text", F.when(~F.col("base_failed"), F.col("text")))
+    counted = cut(counted.drop("word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"), "quality")
+    out = _judged(counted, share, least, remain).filter("kept")
     gone = lambda i: F.coalesce(F.array_contains(F.col("_frequent"), F.get("_lines", i)["h"]), F.lit(False))
     stays = F.filter(F.split("text", "\n"), lambda x, i: ~gone(i))
     out = out.withColumn("text", F.when(F.col("removed_words") > 0, F.array_join(stays, "\n")).otherwise(F.col("text")))
