@@ -12,8 +12,10 @@ if they share one, and at most 65 can. Pairs of a dense cell have both their fin
 lost. Links among a class are fewer than its pairs, but its components are the same.
 
 Defined results: a text without words (or null) has fingerprint 0, which is linked like others; equal fingerprints are
-one node; a null doc_id has a fingerprint and a component but is the smallest of none that has another id; an empty
-table gives an empty result; columns beyond doc_id and text pass through `dedup`.
+one node; a null doc_id has a fingerprint and a component but is the smallest of none that has another id; rows that
+share a doc_id are linked by their texts only, and `dedup` keeps one row of each component, of the smallest doc_id and
+of equal ones (ties) the smallest hash of the text; very long texts are read whole; an empty table gives an empty result;
+columns beyond doc_id and text, of whatever names, pass through `dedup` and are ignored by `classes`.
 
 Scale: texts are read once, in Arrow batches, and never shuffled by `classes`; distinct fingerprints are shuffled six
 times as rows of 40 bytes, dense ones 65 times as rows of 16.
@@ -28,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, row_key, tuck, untuck
 from .components import components
 
 SEED, SHINGLE, MOST, DENSE, PIVOTS, SEGMENTS = 42, 3, 2, 32, 12, 4
@@ -56,19 +58,19 @@ def fingerprint(text: str | None, size: int = SHINGLE, seed: int = SEED) -> int:
     return int(np.packbits(votes * 2 > n).view(">i8")[0])
 
 
-def _batches(size: int, seed: int):
+def _batches(size: int, seed: int, keep: tuple):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             marks = [fingerprint(t, size, seed) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(marks, pa.int64())], ["doc_id", "mark"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(marks, pa.int64())], [*keep, "mark"])
 
     return run
 
 
-def fingerprints(docs: DataFrame, size: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """(doc_id, mark) for each document; mark is the fingerprint as a signed long."""
-    schema = docs.select("doc_id").schema.simpleString()[7:-1].replace(":", " ")
-    return docs.select("doc_id", "text").mapInArrow(_batches(size, seed), f"{schema}, mark long")
+def fingerprints(docs: DataFrame, size: int = SHINGLE, seed: int = SEED, keep: tuple = ("doc_id",)) -> DataFrame:
+    """The columns `keep` and mark, the fingerprint as a signed long, for each document."""
+    schema = docs.select(*keep).schema.add("mark", "long")
+    return docs.select(*keep, "text").mapInArrow(_batches(size, seed, keep), schema)
 
 
 def _segment(mark: Column, s: int) -> Column:
@@ -113,26 +115,35 @@ def links(marks: DataFrame, most: int = MOST, dense: int = DENSE) -> DataFrame:
     return pairs.union(stars)
 
 
-def classes(docs: DataFrame, size: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """One row a document: doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id reachable)."""
-    marks = cut(fingerprints(docs, size, seed), "fingerprints")
+def _rooted(docs: DataFrame, size: int, seed: int, keep: tuple) -> DataFrame:
+    """The columns `keep`, mark, root (a mark that stands for the component) and component_id of each document."""
+    marks = cut(fingerprints(docs, size, seed, keep), "fingerprints")
     nodes = cut(marks.groupBy("mark").agg(F.min("doc_id").alias("first")), "marks")
     roots = components(links(nodes.select("mark")))
     rooted = nodes.join(roots, nodes["mark"] == roots["node"], "left").select("mark", "first", F.coalesce("root", "mark").alias("root"))
     # Components of one fingerprint need no further step.
     alone, linked = rooted.join(roots.select("root").distinct(), "root", "left_anti"), rooted.join(roots.select("root").distinct(), "root", "left_semi")
     least = linked.groupBy("root").agg(F.min("first").alias("component_id"))
-    linked = linked.join(least, "root").select("mark", "component_id")
-    found = linked.union(alone.select("mark", F.col("first").alias("component_id")))
-    out = marks.join(found, "mark")
+    linked = linked.join(least, "root").select("mark", "root", "component_id")
+    found = linked.union(alone.select("mark", "root", F.col("first").alias("component_id")))
+    return marks.join(found, "mark").select(*keep, "mark", "root", "component_id")
+
+
+def classes(docs: DataFrame, size: int = SHINGLE, seed: int = SEED) -> DataFrame:
+    """One row a document: doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id reachable)."""
+    out = _rooted(docs, size, seed, ("doc_id",))
     return out.select("doc_id", F.lower(F.lpad(F.hex("mark"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def dedup(docs: DataFrame) -> DataFrame:
+def dedup(docs: DataFrame, size: int = SHINGLE, seed: int = SEED) -> DataFrame:
     """One document of each component, that of the smallest doc_id, with the columns of docs."""
-    found = cut(classes(docs), "classes")
-    first = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    ids = first.select(F.col("doc_id").alias("_id")).distinct()
-    kept = docs.join(ids, docs["doc_id"].eqNullSafe(ids["_id"]), "left_semi")
-    rows, unique = first.agg(F.count(F.lit(1)), F.count_distinct(F.struct("doc_id"))).first()
-    return kept if rows == unique else kept.dropDuplicates(["doc_id"])
+    names, keep = docs.columns, ("doc_id", "text")
+    held = tuck(docs, *keep).withColumn("_key", row_key("text"))
+    found = cut(_rooted(held, size, seed, ("doc_id", "_key")).select("doc_id", "_key", "root"), "classes")
+    first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("_id"), F.col("_key").alias("_k"))).alias("x"))
+    first = cut(first.select("x._id", "x._k"), "first")
+    same = lambda df: df.join(first, df["doc_id"].eqNullSafe(first["_id"]) & (df["_key"] == first["_k"]), "left_semi")
+    kept = same(held)
+    if same(found).count() > first.count():  # rows that are equal in id and text
+        kept = kept.dropDuplicates(["doc_id", "_key"])
+    return untuck(kept, names, *keep)
