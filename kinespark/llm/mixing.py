@@ -7,9 +7,12 @@ shards the same way by the shards' words. A shard is the documents whose seeded
 its line of words it gives whole passes, and for what is left an arc of blocks that starts at a seeded block.
 
 Defined results: a null or empty text has size 0 and gives nothing; a null source is a source of its own, last; rows
-that repeat are separate documents; with no words all targets are 0; an empty table gives an empty result.
+that repeat are separate documents; quotients and hashes that tie go by source, shard and id; with no words all targets
+are 0; very long texts are counted whole; an empty table gives an empty result; other columns, of whatever names, are
+ignored by `mix`, and `blend` keeps them but for those with the names of its own.
 
-Scale: the text is read once; (id, source, size, hash) rows go to the shared folder. Sources have up to `most_shards`
+Scale: the text is read once; (id, source, size, hash) rows go to the shared folder. `blend` also writes the documents
+with a number for each row, by which its part of the mix returns to it; that shuffles the texts once. Sources have up to `most_shards`
 shards, so that a source with a third of all rows is spread; only the table of sources (one row each, a few more for
 quotients near the cut) meets in one task, and only a source's table of shards (at most `most_shards`) in another.
 """
@@ -19,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, words
+from .common import cut, tuck, words
 
 WEIGHTS, SHARE, LIMIT, BLOCK, SHARD_WORDS, MOST_SHARDS, SEED = (5, 2, 1), 1.5, 2.0, 16, 32768, 4096, 42
 
@@ -64,11 +67,11 @@ def _overlap(a: Column, b: Column, c: Column, d: Column) -> Column:
     return F.greatest(F.lit(0), F.least(b, d) - F.greatest(a, c))
 
 
-def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, limit: float = LIMIT, block: int = BLOCK, shard_words: int = SHARD_WORDS, most_shards: int = MOST_SHARDS, seed: int = SEED) -> DataFrame:
-    """One row a document: doc_id, source, size, source_size, target (its source's) and taken."""
+def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, limit: float = LIMIT, block: int = BLOCK, shard_words: int = SHARD_WORDS, most_shards: int = MOST_SHARDS, seed: int = SEED, also: tuple = ()) -> DataFrame:
+    """One row a document: the columns `also`, doc_id, source, size, source_size, target (its source's) and taken."""
     src = F.when(F.col("source").isNull(), F.lit("null")).otherwise(F.concat(F.lit("="), F.col("source")))
     mark = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text"))
-    slim = docs.select("doc_id", "source", src.alias("_src"), F.size(words(F.col("text"))).cast("bigint").alias("size"), mark.alias("_mark"))
+    slim = docs.select(*also, "doc_id", "source", src.alias("_src"), F.size(words(F.col("text"))).cast("bigint").alias("size"), mark.alias("_mark"))
     slim = cut(slim.withColumn("_cell", F.pmod(F.xxhash64(F.lit("cell"), F.col("_mark")), F.lit(most_shards)).cast("int")), "mixing")
     cells = slim.groupBy("_src", "source", "_cell").agg(F.sum("size").alias("_words"))
     wanted = targets(cells.groupBy("_src", "source").agg(F.sum("_words").alias("source_size")), weights, share, limit)
@@ -90,4 +93,13 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, limit:
     arc = _overlap(F.col("_from"), F.col("_to"), F.col("_arc"), F.least("_end", "_some"))
     arc = arc + _overlap(F.col("_from"), F.col("_to"), F.lit(0), F.col("_end") - F.col("_some"))
     taken = (F.col("_passes") * F.col("size") + arc).cast("bigint")
-    return df.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"))
+    return df.select(*also, "doc_id", "source", "size", "source_size", "target", taken.alias("taken"))
+
+
+def blend(docs: DataFrame, **options) -> DataFrame:
+    """docs with size, source_size, target and taken: the mixed corpus, in which a document's words count `taken`."""
+    keep, own = ("doc_id", "text", "source"), ("size", "source_size", "target", "taken")
+    names = [c for c in docs.columns if c not in own]
+    held = cut(tuck(docs, *keep).withColumn("_number", F.monotonically_increasing_id()), "blend")
+    found = mix(held, also=("_number",), **options).select("_number", F.struct(*own).alias("_mix"))
+    return held.join(found, "_number").select(*[(F.col(c) if c in keep else F.col("_row")[c]).alias(c) for c in names], "_mix.*")
