@@ -1,16 +1,17 @@
 """Benchmark decontamination by the q-gram lemma.
 
 Texts and benchmark items are normalised: lower case, each run of characters that are neither letters nor digits to one
-space. An item of m characters occurs in a text if some region is within `e = floor(BUDGET * m)` edits of it (fewer for
-items under 56 characters, so that the lemma keeps a threshold of 4). Such a region shares at least m - Q + 1 - Q * e
-q-grams with the item on diagonals (place in the text less place in the item) at most e apart. Shared q-grams are
-counted in bands of diagonals 2 (e + 1) wide that overlap by half; bands that meet the threshold are verified by
-aligning the item within the band's window, a column of the alignment at a time in integers of m bits, which also gives
-the region and its edits.
-
-Defined results: a null or empty text, and a null item or one of fewer than Q normalised characters, match nothing;
-an item that occurs more than once in a text gives its best region (fewest edits, then first) and the number of them;
-repeated items count once; repeated rows each get their result; an empty table gives an empty result.
+space. An item of m characters occurs in a text if some region is within `e = floor(BUDGET * m)` edits of it. Such a
+region shares at least m - q + 1 - q * e q-grams with the item on diagonals (place in the text less place in the item) at
+most e apart; q is 8, 4 for items under SHORT characters and 1 for those under 4, so that this stays positive. Shared
+q-grams are counted in bands of diagonals 2 (e + 1) wide that overlap by half; bands that meet the threshold are verified
+by aligning the item within the band's window, a column of the alignment at a time in integers of m bits, which also
+gives the region and its edits. Items without an edit to spend (under 10 characters) must stand as whole words.
+
+Defined results: a null or empty text, and a null item or one without letters and digits, match nothing; an item that
+occurs more than once in a text gives its best region (fewest edits, then first: ties) and the number of them; repeated
+items count once; texts of any length are read whole; repeated rows each get their result; an empty table gives an empty
+result; other columns, of whatever names, pass through `clean` and are ignored by `matches`.
 
 Scale: documents are read once for each block of items and never shuffled; whole texts are scanned in pieces of bounded
 size that overlap by more than an item. The items of a block, at most BLOCK characters, are what is sent to executors.
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-Q, BUDGET, BLOCK, PIECE = 8, 0.10, 4_000_000, 1 << 20
+SHORT, BUDGET, BLOCK, PIECE = 56, 0.10, 4_000_000, 1 << 20
 _BITS, _ODD = 22, np.uint64(0x9E3779B97F4A7C15)
 _cache: dict = {}
 
@@ -42,38 +43,54 @@ def normal(text: str) -> tuple[np.ndarray, np.ndarray]:
     """The normalised characters of a text and the place of each in the text."""
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
     low = np.where(codes < 0x10000, _fold()[np.minimum(codes, 0xFFFF)], codes)
+    for u in np.unique(codes[codes >= 0x10000]).tolist():
+        low[codes == u] = ord(chr(u).lower()) if chr(u).isalnum() else 32
     blank = low == 32
     keep = np.flatnonzero(~(blank & np.concatenate(([True], blank[:-1])))) if len(low) else np.zeros(0, "i8")
     return low[keep], keep
 
 
-def _grams(codes: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the Q characters from each place on (Q is 8: three doublings)."""
-    h = codes.astype("u8") + np.uint64(1)
-    h = h[:-1] * np.uint64(0x100000001B3) + h[1:]
-    h = h[:-2] * np.uint64(0xC2B2AE3D27D4EB4F) + h[2:]
-    h = h[:-4] * np.uint64(0x9FB21C651E98DF25) + h[4:]
+def _grams(codes: np.ndarray, q: int) -> np.ndarray:
+    """A 64-bit hash of the q characters from each place on; q is a power of two, and each doubling is a step."""
+    h, size = codes.astype("u8") + np.uint64(1), 1
+    for factor in (0x100000001B3, 0xC2B2AE3D27D4EB4F, 0x9FB21C651E98DF25):
+        if size < q:
+            h = h[:-size] * np.uint64(factor) + h[size:]
+            size *= 2
     return (h ^ (h >> np.uint64(29))) * _ODD
 
 
 class Index:
-    """The q-grams of a block of items."""
+    """A block of items, with the q-grams of each class of lengths."""
 
     def __init__(self, items: list[tuple], budget: float = BUDGET):
         made = [(i, normal(t)[0]) for i, t in items]
         made = [(i, c[:-1] if len(c) and c[-1] == 32 else c) for i, c in made]
-        made = [(i, c) for i, c in made if len(c) >= Q]
+        made = [(i, c) for i, c in made if len(c)]
         self.ids, self.codes = [i for i, _ in made], [c for _, c in made]
         self.lists = [c.tolist() for c in self.codes]
         self.bits = [masks(c) for c in self.lists]
-        m = np.array([len(c) for c in self.codes] or [0], "i8")
-        self.m, self.e = m, np.maximum(0, np.minimum((budget * m).astype("i8"), (m - Q + 1 - 4) // Q))
-        self.least = np.maximum(1, m - Q + 1 - Q * self.e)
-        self.reach = int((m + 4 * self.e).max()) + 8
-        grams = [_grams(c) for c in self.codes]
-        every = np.concatenate(grams) if grams else np.zeros(0, "u8")
-        item = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
-        place = np.concatenate([np.arange(len(g)) for g in grams]) if grams else np.zeros(0, "i8")
+        self.m = np.array([len(c) for c in self.codes] or [0], "i8")
+        self.e = (budget * self.m).astype("i8")
+        self.reach = int((self.m + 4 * self.e).max()) + 8
+        sizes = [8 if len(c) >= SHORT else 4 if len(c) >= 4 else 1 for c in self.codes]
+        self.classes = [_Grams(self, q, [k for k, x in enumerate(sizes) if x == q]) for q in (8, 4, 1) if q in sizes]
+
+    def regions(self, codes: np.ndarray) -> list[tuple[int, int]]:
+        """(item, first diagonal) of each band that meets its item's threshold."""
+        return [x for grams in self.classes for x in grams.regions(codes)]
+
+
+class _Grams:
+    """The q-grams of the items of one class."""
+
+    def __init__(self, index: Index, q: int, items: list[int]):
+        self.q, self.e, self.reach = q, index.e, index.reach
+        self.least = np.maximum(1, index.m - q + 1 - q * index.e)
+        grams = [_grams(index.codes[k], q) for k in items]
+        every = np.concatenate(grams)
+        item = np.repeat(np.array(items), [len(g) for g in grams])
+        place = np.concatenate([np.arange(len(g)) for g in grams])
         order = np.argsort(every, kind="stable")
         self.item, self.place = item[order], place[order]
         self.keys, self.start = np.unique(every[order], return_index=True)
@@ -82,10 +99,9 @@ class Index:
         self.seen[(self.keys >> np.uint64(64 - _BITS)).astype("i8")] = True
 
     def regions(self, codes: np.ndarray) -> list[tuple[int, int]]:
-        """(item, first diagonal) of each band that meets its item's threshold."""
-        if len(codes) < Q or not self.ids:
+        if len(codes) < self.q:
             return []
-        grams = _grams(codes)
+        grams = _grams(codes, self.q)
         at = np.flatnonzero(self.seen[(grams >> np.uint64(64 - _BITS)).astype("i8")])
         found = np.searchsorted(self.keys, grams[at])
         good = self.keys[np.minimum(found, len(self.keys) - 1)] == grams[at]
@@ -153,6 +169,18 @@ def align(item: list[int], text: list[int], first: int, band: int, most: int, bi
     return edits, low + end - used, low + end
 
 
+def _words(item: list[int], text: list[int], first: int, before: bool, after: bool) -> list[tuple[int, int, int]]:
+    """(0, start, end) where the item stands as whole words on the first two diagonals from `first`; where the text goes
+    on before or after, its edges are no ends of words."""
+    m, out = len(item), []
+    for d in range(max(0, first), first + 2):
+        left = text[d - 1] == 32 if d else not before
+        right = text[d + m] == 32 if d + m < len(text) else not after
+        if left and right and text[d : d + m] == item:
+            out.append((0, d, d + m))
+    return out
+
+
 def find(index: Index, text: str | None) -> dict:
     """For each item found in a text: (edits, start, end, regions), in code points of the text."""
     found: dict = {}
@@ -165,9 +193,13 @@ def find(index: Index, text: str | None) -> dict:
         text_codes = codes.tolist() if bands else []
         for k, first in bands:
             e = int(index.e[k])
-            if (best := align(index.lists[k], text_codes, first, 2 * (e + 1), e, index.bits[k])) and best[2] > best[1]:
-                start, end = at + int(places[best[1]]), at + int(places[best[2] - 1]) + 1
-                found.setdefault(index.ids[k], set()).add((best[0], start, end))
+            if not e:
+                spots = _words(index.lists[k], text_codes, first, at > 0, at + len(piece) < len(text))
+            else:
+                best = align(index.lists[k], text_codes, first, 2 * (e + 1), e, index.bits[k])
+                spots = [best] if best and best[2] > best[1] else []
+            for edits, start, end in spots:
+                found.setdefault(index.ids[k], set()).add((edits, at + int(places[start]), at + int(places[end - 1]) + 1))
     return {k: (*min(v), _apart(v)) for k, v in found.items()}
 
 
