@@ -1,15 +1,17 @@
 """Personal data: fixed patterns and a semi-Markov conditional random field.
 
 Base kinds: email, ip, card, phone. The field scores whole segments of up to LONGEST units (runs of letters, runs of
-digits, single other characters) as one of the kinds by features of the whole span: number of digits and groups,
-group lengths, separators, Luhn's sum, parts of an address, brackets, and cue words before it. Bounded-entity dynamic
-programming finds boundaries and kinds together, segments and the units outside any segment; units far from digits, `@`
-and spelled-out `at` score 0 outside, so that the whole text's best path is that of its islands. The weights are fitted
-by a structured perceptron, averaged, on sentences made here from a fixed seed. What it finds is added where it
-overlaps no base span.
-
-Defined results: a null or empty text has no span; repeated rows each get their result; base spans of different kinds
-may overlap and all stay; an empty table gives an empty result; columns beyond doc_id and text are ignored.
+digits, single other characters; a spelled-out address is one segment of any length) as one of the kinds by features of
+the whole span: number of digits and groups, group lengths, separators, Luhn's sum, parts of an address, brackets, cue
+words before it, and the kind of the segment before. Bounded-entity dynamic programming finds boundaries and kinds
+together, segments and the units outside any segment; units far from runs of digits and from addresses score 0 outside,
+so that the whole text's best path is that of its islands. The weights maximise the conditional likelihood (forward and
+backward sums over all segmentations, with a Gaussian prior) of sentences made here from a fixed seed. What the field
+finds is added where it overlaps no base span.
+
+Defined results: a null or empty text has no span; numbers and texts of any length are read whole; repeated rows each get
+their result; base spans of different kinds may overlap and all stay; of equal paths the one with fewer segments is
+taken (ties); an empty table gives an empty result; columns beyond doc_id and text, of whatever names, are ignored.
 
 Scale: one pass in Arrow batches, no shuffle; patterns are laid out so that long runs cost linear time; the field's
 weights, a few hundred numbers, are what is sent to executors.
@@ -18,8 +20,10 @@ weights, a few hundred numbers, are what is sent to executors.
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
+from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -27,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 KINDS = ("email", "ip", "card", "phone")
-LONGEST, SENTENCES, ROUNDS, SEED = 13, 700, 4, 7
+LONGEST, SENTENCES, ROUNDS, SEED, PRIOR, STEP = 13, 700, 5, 7, 0.02, 0.3
 
 # A match of these patterns never starts within a run of digits, so they look behind: long runs cost linear time.
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -49,6 +53,12 @@ def _digits(text: str) -> str:
     return "".join([c for c in text if "0" <= c <= "9"])
 
 
+def _small(number: str) -> bool:
+    """Whether a number of any length is at most 255."""
+    number = number.lstrip("0")
+    return len(number) < 3 or len(number) == 3 and number <= "255"
+
+
 def base(text: str) -> list[tuple[int, int, int]]:
     """(kind, start, end) of the fixed patterns, by kind, then start."""
     out = []
@@ -62,7 +72,7 @@ def base(text: str) -> list[tuple[int, int, int]]:
             out.append((0, start, last))
         at = text.find("@", max(at + 1, last))
     for m in _IP.finditer(text):
-        if all(len(x.lstrip("0")) <= 3 and int(x) <= 255 for x in m.groups()):
+        if all(_small(x) for x in m.groups()):
             out.append((1, *m.span()))
     for m in _CARD.finditer(text):
         if m.end() - m.start() <= 37 and 13 <= len(d := _digits(m[0])) <= 19 and luhn(d):
@@ -74,16 +84,14 @@ def base(text: str) -> list[tuple[int, int, int]]:
 
 
 _UNIT = re.compile(r"[A-Za-zÀ-ɏ]+|[0-9]+|\s+|[^A-Za-zÀ-ɏ0-9\s]")
-_SEED = re.compile(r"[0-9][0-9]|@|[(\[{]\s?at\s?[)\]}]|\bat\s[A-Za-z0-9-]+\s(?:dot|\(dot\)|\[dot\])\s", re.I)
-_TAIL = re.compile(r"(?:@|[(\[{]\s?at\s?[)\]}]|at\s)\s?[A-Za-z0-9-]+(?:(?:\.|\s?[(\[{]\s?dot\s?[)\]}]\s?|\sdot\s)[A-Za-z0-9-]+)+", re.I)
-_NEAR = re.compile(r"[\s().+/:-]*")
-_MARK = re.compile(r"\s?(?:@|[(\[{]\s?at\s?[)\]}]|\bat\b)\s?", re.I)
-_SPELLED = re.compile(r"([A-Za-z0-9._%+-]+)\s?(?:@|[(\[{]\s?at\s?[)\]}]|\sat\s)\s?([A-Za-z0-9-]+(?:(?:\.|\s?[(\[{]\s?dot\s?[)\]}]\s?|\sdot\s)[A-Za-z0-9-]+)+)", re.I)
+_NUMBER = re.compile("[0-9]{2,}")
+_AT = re.compile(r"@|[(\[{]\s?at\s?[)\]}]|\bat\s(?=[A-Za-z0-9-]+\s(?:dot|\(dot\)|\[dot\])\s)", re.I)
+_TAIL = re.compile(r"\s?[A-Za-z0-9-]+(?:(?:\.|\s?[(\[{]\s?dot\s?[)\]}]\s?|\sdot\s)[A-Za-z0-9-]+)+", re.I)
 #: Words that announce a kind; fixed values.
 CUES = {"phone": 3, "tel": 3, "telephone": 3, "call": 3, "mobile": 3, "cell": 3, "fax": 3, "card": 2, "visa": 2, "mastercard": 2, "amex": 2, "credit": 2, "email": 0, "mail": 0, "contact": 0, "ip": 1, "server": 1, "host": 1, "address": 1, "order": 9, "invoice": 9, "version": 9, "id": 9, "isbn": 9, "date": 9, "page": 9}
 
 
-def features(span: str, before: str, after: str, cue: int | None) -> list[str]:
+def features(span: str, before: str, after: str, cue: int | None, mail: bool = False) -> list[str]:
     """The features of a whole span, given the characters beside it and the kind that a word before it announces."""
     groups = re.findall("[0-9]+", span)
     digits = "".join(groups)
@@ -96,7 +104,7 @@ def features(span: str, before: str, after: str, cue: int | None) -> list[str]:
     if re.fullmatch(r"\d+\s?\.\s?\d+\s?\.\s?\d+\s?\.\s?\d+", span):
         out.append("parts" if all(int(g) < 256 for g in groups if len(g) < 9) else "parts-large")
     if re.search("[A-Za-z]", span):
-        out.append("spelled" if _SPELLED.fullmatch(span) else "letters")
+        out.append("spelled" if mail else "letters")
     if re.fullmatch(r"(?:1[5-9]|20)\d\d([-/.])\d\d?\1\d\d?|\d\d?([-/.])\d\d?\2\d{2,4}", span):
         out.append("date")
     out.append("closed" if span.count("(") == span.count(")") else "open")
@@ -105,21 +113,28 @@ def features(span: str, before: str, after: str, cue: int | None) -> list[str]:
     return out
 
 
-def _islands(text: str) -> Iterator[tuple[int, int]]:
-    """The stretches of text near digits, `@` and spelled-out `at`; all segments lie in them. Each seed has its own
-    window, those that meet are one, and none ends within a run of letters or digits or a spelled-out address."""
+def _mails(text: str) -> list[tuple[int, int]]:
+    """Addresses, plain or spelled out: what stands before and after an `@` or an `at`, of any length."""
+    out, last = [], 0
+    for m in _AT.finditer(text):
+        if m.start() >= last and (tail := _TAIL.match(text, m.end())):
+            start = m.start() - (m.start() > last and text[m.start() - 1].isspace())
+            end = start
+            while start > last and text[start - 1] in _LOCAL:
+                start -= 1
+            if start < end:
+                last = tail.end()
+                out.append((start, last))
+    return out
+
+
+def _islands(text: str, mails: list[tuple[int, int]] | None = None) -> Iterator[tuple[int, int]]:
+    """The stretches of text near runs of digits and addresses; all segments lie in them. Each has its own window, those
+    that meet are one, and none ends within a run of letters or digits."""
+    near = [(max(0, m.start() - 4), min(len(text), m.start() + 30)) for m in _NUMBER.finditer(text)]
+    near += _mails(text) if mails is None else mails
     start = end = -1
-    for m in _SEED.finditer(text):
-        mail = text[m.start()] not in "0123456789"
-        a, b = m.span()
-        if mail:
-            a = max(0, a - 64)
-            b = min(len(text), b + 96)
-            if tail := _TAIL.match(text, m.start()):
-                b = max(b, tail.end())
-        else:
-            a = max(0, a - 4)
-            b = min(len(text), b + 28)
+    for a, b in sorted(near):
         while a > max(end, 0) and text[a - 1].isalnum() and text[a].isalnum():
             a -= 1
         while 0 < end < a and text[end - 1].isalnum() and text[end].isalnum():
@@ -135,7 +150,7 @@ def _islands(text: str) -> Iterator[tuple[int, int]]:
         yield start, end
 
 
-def _segments(text: str, start: int, end: int) -> tuple[list[tuple[int, int]], list[tuple[int, int, list[str]]]]:
+def _segments(text: str, start: int, end: int, mails: list[tuple[int, int]] | None = None) -> tuple[list[tuple[int, int]], list[tuple[int, int, list[str]]]]:
     """The units of an island and its segments (first unit, unit after, features)."""
     units = [m.span() for m in _UNIT.finditer(text, start, end)]
     # Units at the island's edge may be cut; whole words and numbers only.
@@ -145,7 +160,7 @@ def _segments(text: str, start: int, end: int) -> tuple[list[tuple[int, int]], l
         units.pop()
     kinds = ["9" if "0" <= text[a] <= "9" else "a" if text[a].isalpha() else " " if text[a].isspace() else text[a] for a, _ in units]
     out = []
-    mails = {m.span() for m in _SPELLED.finditer(text, start, end)}
+    mails = [x for x in (_mails(text) if mails is None else mails) if start <= x[0] and x[1] <= end]
     for i, (a, _) in enumerate(units):
         if kinds[i] not in "9+(":
             continue
@@ -177,33 +192,90 @@ def _segments(text: str, start: int, end: int) -> tuple[list[tuple[int, int]], l
             if a in firsts and b in lasts:
                 words = re.findall("[A-Za-z]+", text[max(0, a - 32) : a].lower())[-3:]
                 cue = next((CUES[w] for w in reversed(words) if w in CUES), -1)
-                out.append((firsts[a], lasts[b] + 1, features(text[a:b], text[a - 1] if a else "", text[b] if b < len(text) else "", cue)))
+                out.append((firsts[a], lasts[b] + 1, features(text[a:b], text[a - 1] if a else "", text[b] if b < len(text) else "", cue, True)))
     return units, sorted(out, key=lambda s: (s[1], s[0]))
 
 
-def _best(units: list, segments: list, weights: dict, extra=None) -> list[tuple[int, int, int, list[str]]]:
+NONE = len(KINDS)  # the state before an island's first segment
+_STATES = range(NONE + 1)
+
+
+def _scores(segments: list, weights: dict) -> list[list[float]]:
+    """For each segment and kind the sum of its features' weights."""
+    return [[sum([weights.get((k, f), 0.0) for f in fs]) for k in range(NONE)] for _, _, fs in segments]
+
+
+def _steps(weights: dict) -> list[list[float]]:
+    """For each kind and that of the segment before, the weight of the pair."""
+    return [[weights.get((k, f"after={l}"), 0.0) for l in _STATES] for k in range(NONE)]
+
+
+def _best(units: list, segments: list, weights: dict) -> list[tuple[int, int, int, list[str]]]:
     """The best segments and kinds of an island: (kind, first unit, unit after, features)."""
-    value, back, at = [0.0] * (len(units) + 1), [None] * (len(units) + 1), 0
+    scores, steps = _scores(segments, weights), _steps(weights)
+    low = float("-inf")
+    value = [[low] * NONE + [0.0]]
+    back: list[list] = [[None] * (NONE + 1)]
+    at = 0
     for j in range(1, len(units) + 1):
-        value[j] = value[j - 1]
+        now, how = list(value[j - 1]), [None] * (NONE + 1)
         while at < len(segments) and segments[at][1] == j:
-            i, _, fs = segments[at]
-            for k in range(len(KINDS)):
-                score = value[i] + sum([weights.get((k, f), 0.0) for f in fs]) + (extra(k, i, j) if extra else 0.0)
-                if score > value[j]:
-                    value[j], back[j] = score, (k, i, fs)
+            before = value[segments[at][0]]
+            for k in range(NONE):
+                score, state = max([(before[l] + steps[k][l], -l) for l in _STATES])
+                if score + scores[at][k] > now[k]:
+                    now[k], how[k] = score + scores[at][k], (at, -state)
             at += 1
+        value.append(now)
+        back.append(how)
     out, j = [], len(units)
+    state = max(_STATES, key=lambda l: (value[j][l], l))
     while j > 0:
-        if back[j] is None:
+        if back[j][state] is None:
             j -= 1
         else:
-            k, i, fs = back[j]
-            out.append((k, i, j, fs))
-            j = i
+            n, before = back[j][state]
+            i, _, fs = segments[n]
+            out.append((state, i, j, fs))
+            j, state = i, before
     return out[::-1]
 
 
+def _log_sum(values: list[float]) -> float:
+    top = max(values)
+    return top + math.log(sum([math.exp(v - top) for v in values])) if top > float("-inf") else top
+
+
+def _expected(units: list, segments: list, weights: dict) -> tuple[float, dict]:
+    """(log of the sum over all segmentations, the probability of each (segment, kind, kind before))."""
+    scores, steps = _scores(segments, weights), _steps(weights)
+    n, low = len(units), float("-inf")
+    ahead, behind = [[low] * NONE + [0.0]], [[0.0] * (NONE + 1) for _ in range(n + 1)]
+    at = 0
+    for j in range(1, n + 1):
+        terms = [[x] for x in ahead[j - 1]]
+        while at < len(segments) and segments[at][1] == j:
+            before = ahead[segments[at][0]]
+            for k in range(NONE):
+                terms[k].append(scores[at][k] + _log_sum([before[l] + steps[k][l] for l in _STATES]))
+            at += 1
+        ahead.append([_log_sum(t) for t in terms])
+    by = defaultdict(list)
+    for m, (i, _, _) in enumerate(segments):
+        by[i].append(m)
+    for i in range(n - 1, -1, -1):
+        behind[i] = [_log_sum([behind[i + 1][l], *[steps[k][l] + scores[m][k] + behind[segments[m][1]][k] for m in by[i] for k in range(NONE)]]) for l in _STATES]
+    whole = behind[0][NONE]
+    found = {}
+    for m, (i, j, _) in enumerate(segments):
+        for k in range(NONE):
+            for l in _STATES:
+                p = math.exp(min(0.0, ahead[i][l] + steps[k][l] + scores[m][k] + behind[j][k] - whole))
+                if p > 1e-6:
+                    found[m, k, l] = p
+    return whole, found
+
+
 def _made(rng: random.Random) -> tuple[str, list[tuple[int, int, int]]]:
     """A sentence with labelled spans, and with numbers that are nobody's."""
     d = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
@@ -236,32 +308,38 @@ _fitted: dict = {}
 
 
 def fit(sentences: int = SENTENCES, rounds: int = ROUNDS, seed: int = SEED) -> dict[tuple[int, str], float]:
-    """The averaged weights of a structured perceptron over sentences made from the seed."""
+    """The weights of the field, by stochastic gradients of the penalised likelihood of sentences made from the seed."""
     if (sentences, rounds, seed) in _fitted:
         return _fitted[sentences, rounds, seed]
     rng = random.Random(seed)
-    data = [_made(rng) for _ in range(sentences)]
     islands = []
-    for text, spans in data:
+    for text, spans in [_made(rng) for _ in range(sentences)]:
         for a, b in _islands(text):
             units, segments = _segments(text, a, b)
-            gold = [(k, i, j, fs) for i, j, fs in segments for k, x, y in spans if (units[i][0], units[j - 1][1]) == (x, y)]
-            islands.append((units, segments, gold))
-    weights, total, step = defaultdict(float), defaultdict(float), 1
+            gold, last, reach = [], NONE, 0
+            for m, (i, j, _) in enumerate(segments):
+                for k, x, y in spans:
+                    if (units[i][0], units[j - 1][1]) == (x, y) and i >= reach:
+                        gold.append((m, k, last))
+                        last, reach = k, j
+            if segments:
+                islands.append((units, segments, gold))
+    weights, squares = {}, defaultdict(lambda: 1e-3)
     for _ in range(rounds):
         rng.shuffle(islands)
         for units, segments, gold in islands:
-            true = {(k, i, j) for k, i, j, _ in gold}
-            # A margin: what isn't true gets a bonus, so that the right path must win clearly.
-            found = _best(units, segments, weights, lambda k, i, j, true=true: 0.0 if (k, i, j) in true else 1.0)
-            if {x[:3] for x in found} != true:
-                for sign, path in ((1.0, gold), (-1.0, found)):
-                    for k, _, _, fs in path:
-                        for f in fs:
-                            weights[k, f] += sign
-                            total[k, f] += sign * step
-            step += 1
-    out = {key: round(w - total[key] / step, 4) for key, w in weights.items()}
+            slope = defaultdict(float)
+            for m, k, l in gold:
+                for f in (*segments[m][2], f"after={l}"):
+                    slope[k, f] += 1.0
+            for (m, k, l), p in _expected(units, segments, weights)[1].items():
+                for f in (*segments[m][2], f"after={l}"):
+                    slope[k, f] -= p
+            for key, g in slope.items():
+                g -= PRIOR * weights.get(key, 0.0)
+                squares[key] += g * g
+                weights[key] = weights.get(key, 0.0) + STEP * g / math.sqrt(squares[key])
+    out = {key: round(w, 4) for key, w in weights.items()}
     _fitted[sentences, rounds, seed] = out
     return out
 
@@ -271,14 +349,26 @@ def find(text: str | None, weights: dict) -> tuple[list[tuple[int, int, int]], l
     if not text:
         return [], []
     fixed = base(text)
-    taken = sorted((a, b) for _, a, b in fixed)
-    more = []
-    for a, b in _islands(text):
-        units, segments = _segments(text, a, b)
+    # Spans that are free of one another in order of their starts, so that a look at the nearest ones will do.
+    taken: list[list[int]] = []
+    for a, b in sorted((a, b) for _, a, b in fixed):
+        if taken and a < taken[-1][1]:
+            taken[-1][1] = max(taken[-1][1], b)
+        else:
+            taken.append([a, b])
+    starts = [a for a, _ in taken]
+    more, mails, at = [], _mails(text), 0
+    for a, b in _islands(text, mails):
+        held = at
+        while held < len(mails) and mails[held][1] <= b:
+            held += 1
+        units, segments = _segments(text, a, b, mails[at:held])
+        at = held
         if segments:
             for k, i, j, _ in _best(units, segments, weights):
                 x, y = units[i][0], units[j - 1][1]
-                if not any(p < y and x < q for p, q in taken):
+                n = bisect_left(starts, y) - 1
+                if n < 0 or taken[n][1] <= x:
                     more.append((k, x, y))
     return fixed, sorted(set(fixed + more))
 

@@ -307,8 +307,16 @@ def test_field_is_the_best_path():
             for picked in range(1 << len(segments)):
                 chosen = [s for k, s in enumerate(segments) if picked >> k & 1]
                 if all(x[1] <= y[0] or y[1] <= x[0] for i, x in enumerate(chosen) for y in chosen[:i]):
-                    best = max(best, sum(max(sum(weights.get((k, f), 0.0) for f in fs) for k in range(4)) for _, _, fs in chosen))
-            got = sum(sum(weights.get((k, f), 0.0) for f in fs) for k, _, _, fs in pii._best(units, segments, weights))
+                        # All kinds of all segments, given the kind before.
+                    paths = {pii.NONE: 0.0}
+                    for _, _, fs in sorted(chosen):
+                        own = [sum(weights.get((k, f), 0.0) for f in fs) for k in range(4)]
+                        paths = {k: own[k] + max(v + weights.get((k, f"after={l}"), 0.0) for l, v in paths.items()) for k in range(4)}
+                    best = max(best, *paths.values())
+            got, last = 0.0, pii.NONE
+            for k, _, _, fs in pii._best(units, segments, weights):
+                got += sum(weights.get((k, f), 0.0) for f in (*fs, f"after={last}"))
+                last = k
             assert got == pytest.approx(best)
 
 
@@ -468,7 +476,7 @@ def test_pages(spark):
 
 def test_copies_of_a_page_leave_its_host_all_exemplars(spark):
     body = lambda k: page(k, f"<div class='box'><div>Standing line of the site</div><div><p>{'text of the page ' * 5}{k}</p><p>{'and another part ' * 4}{k}</p></div></div>")
-    rows = [(10 * k + n, "https://plain.example.com/p", body(k)) for k in range(4) for n in range(8)]
+    rows = [(10 * k + n, "https://plain.example.com/p", body(k)) for k in range(7) for n in range(8)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
     found = pages.exemplars(df).collect()
     assert [len(set(r["_others"])) for r in found] == [pages.PARTNERS]
