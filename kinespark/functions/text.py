@@ -105,16 +105,62 @@ def _lcs(a: list[str], b: list[str]) -> int:
 
 
 _VOWELS = "aeiou"
+#: Suffixes and what replaces them where a vowel and consonant go before; Porter's published steps 2 and 3, fixed values.
+_STEP_2 = {
+    "ational": "ate",
+    "tional": "tion",
+    "enci": "ence",
+    "anci": "ance",
+    "izer": "ize",
+    "bli": "ble",
+    "alli": "al",
+    "entli": "ent",
+    "eli": "e",
+    "ousli": "ous",
+    "ization": "ize",
+    "ation": "ate",
+    "ator": "ate",
+    "alism": "al",
+    "iveness": "ive",
+    "fulness": "ful",
+    "ousness": "ous",
+    "aliti": "al",
+    "iviti": "ive",
+    "biliti": "ble",
+    "logi": "log",
+}
+_STEP_3 = {"icate": "ic", "ative": "", "alize": "al", "iciti": "ic", "ical": "ic", "ful": "", "ness": ""}
+#: Suffixes that go where two such groups go before; step 4, fixed values.
+_STEP_4 = dict.fromkeys("al ance ence er ic able ible ant ement ment ent ion ou ism ate iti ous ive ize".split(), "")
+
+
+def _shape(word: str) -> str:
+    """c or v for each letter; y is a vowel after a consonant."""
+    out = ""
+    for k, c in enumerate(word):
+        out += "v" if c in _VOWELS or c == "y" and k and out[-1] == "c" else "c"
+    return out
+
+
+def _measure(word: str) -> int:
+    return _shape(word).count("vc")
+
+
+def _short(word: str) -> bool:
+    return _shape(word)[-3:] == "cvc" and word[-1] not in "wxy"
+
+
+def _swap(word: str, rules: dict[str, str], least: int) -> str:
+    """The longest suffix of the rules replaced, if what stays has a measure above `least`."""
+    end = max((e for e in rules if word.endswith(e)), key=len, default=None)
+    if end is None:
+        return word
+    rest = word[: -len(end)]
+    return rest + rules[end] if _measure(rest) > least and (end != "ion" or rest[-1:] in ("s", "t")) else word
 
 
 def stem(word: str) -> str:
-    """A suffix stemmer after Porter's published algorithm (steps 1a to 1c, which decide most overlaps)."""
-
-    def measure(w: str) -> int:
-        shape = "".join("v" if c in _VOWELS or c == "y" and k and w[k - 1] not in _VOWELS else "c" for k, c in enumerate(w))
-        return sum(1 for x, y in zip(shape, shape[1:]) if x == "v" and y == "c")
-
-    has_vowel = lambda w: any(c in _VOWELS or c == "y" and k for k, c in enumerate(w))
+    """A word's stem by Porter's published algorithm, with its author's later `bli` and `logi`; up to three letters stay."""
     if len(word) <= 3:
         return word
     for end, new in (("sses", "ss"), ("ies", "i"), ("ss", "ss"), ("s", "")):
@@ -122,17 +168,23 @@ def stem(word: str) -> str:
             word = word[: len(word) - len(end)] + new
             break
     if word.endswith("eed"):
-        word = word[:-1] if measure(word[:-3]) > 0 else word
+        word = word[:-1] if _measure(word[:-3]) > 0 else word
     else:
-        for end in ("ed", "ing"):
-            if word.endswith(end) and has_vowel(word[: -len(end)]):
-                word = word[: -len(end)]
-                if word.endswith(("at", "bl", "iz")):
-                    word += "e"
-                elif len(word) > 1 and word[-1] == word[-2] and word[-1] not in "lsz":
-                    word = word[:-1]
-                break
-    return word[:-1] + "i" if word.endswith("y") and has_vowel(word[:-1]) else word
+        end = next((e for e in ("ed", "ing") if word.endswith(e) and "v" in _shape(word[: -len(e)])), None)
+        if end:
+            word = word[: -len(end)]
+            if word.endswith(("at", "bl", "iz")):
+                word += "e"
+            elif len(word) > 1 and word[-1] == word[-2] and _shape(word)[-1] == "c" and word[-1] not in "lsz":
+                word = word[:-1]
+            elif _measure(word) == 1 and _short(word):
+                word += "e"
+    if word.endswith("y") and "v" in _shape(word[:-1]):
+        word = word[:-1] + "i"
+    word = _swap(_swap(_swap(word, _STEP_2, 0), _STEP_3, 0), _STEP_4, 1)
+    if word.endswith("e") and (_measure(word[:-1]) > 1 or _measure(word[:-1]) == 1 and not _short(word[:-1])):
+        word = word[:-1]
+    return word[:-1] if word.endswith("ll") and _measure(word[:-1]) > 1 else word
 
 
 def rouge(pred: str, gold: str) -> float:

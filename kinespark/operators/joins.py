@@ -14,11 +14,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def nearest_join(probe: DataFrame, build: DataFrame, keys: list[str], tolerance: float, probe_id: list[str]) -> DataFrame:
+def nearest_join(probe: DataFrame, build: DataFrame, keys: list[str], tolerance: float, probe_id: list[str], same: list[str] = ()) -> DataFrame:
     """Each probe row with the build row nearest in time, strictly within the tolerance; the earlier `ord` on ties.
 
     probe has t and probe_id, build has t and ord; build's columns come with the prefix `near_`. Probes without a match
-    are dropped.
+    are dropped, and so are those of which the nearest row differs in a column of `same`: none falls back to another.
     """
     width = float(tolerance)
     b = build.select(*[F.col(c) if c in keys else F.col(c).alias(f"near_{c}") for c in build.columns])
@@ -29,7 +29,10 @@ def nearest_join(probe: DataFrame, build: DataFrame, keys: list[str], tolerance:
     best = F.min_by(F.struct(*near), F.struct("_apart", "near_ord"))
     rest = [c for c in probe.columns if c not in probe_id]
     out = met.groupBy(*probe_id).agg(*[F.first(c).alias(c) for c in rest], best.alias("_n"))
-    return out.select(*probe_id, *rest, "_n.*")
+    out = out.select(*probe_id, *rest, "_n.*")
+    for c in same:
+        out = out.filter(F.col(c) == F.col(f"near_{c}"))
+    return out
 
 
 def one_sided_nearest(times: Column, t: Column, tolerance: float = 1.0) -> Column:

@@ -24,15 +24,25 @@ def grouping_sets(df: DataFrame, dims: list[str], aggregates: list[Column]) -> D
     return out.withColumn("dimension", which).withColumn("value", value).drop("_gid", *dims)
 
 
-def nearest_rank(df: DataFrame, keys: list[str], value: str, percents: list[int]) -> DataFrame:
+def nearest_rank(df: DataFrame, keys: list[str], value: str, percents: list[int], splits: int = 64) -> DataFrame:
     """For each key and percent p the value at place min(floor(n p / 100), n - 1) of the sorted values.
 
-    Places come from a window that Spark spills, not from a collected list.
+    Equal values are counted before the shuffle. A key's values are cut at `splits` approximate quantiles, so that no task
+    sorts a whole key; exact counts of the parts give each part's first place, wherever the cuts fall.
     """
-    order = Window.partitionBy(*keys).orderBy(value)
-    ranked = df.filter(F.col(value).isNotNull()).withColumns({"_i": F.row_number().over(order) - 1, "_n": F.count(F.lit(1)).over(Window.partitionBy(*keys))})
+    held = df.filter(F.col(value).isNotNull()).select(F.struct(*keys).alias("_k"), F.col(value).alias("_v"))
+    cuts = held.groupBy("_k").agg(F.percentile_approx("_v", [k / splits for k in range(1, splits)], 1000).alias("_cuts"), F.count(F.lit(1)).alias("_n"))
+    counts = held.groupBy("_k", "_v").agg(F.count(F.lit(1)).alias("_c")).join(cuts, "_k")
+    counts = counts.withColumn("_part", F.size(F.filter("_cuts", lambda x: x < F.col("_v")))).drop("_cuts")
+    before = Window.partitionBy("_k").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = counts.groupBy("_k", "_part").agg(F.sum("_c").alias("_held"))
+    parts = parts.select("_k", "_part", F.coalesce(F.sum("_held").over(before), F.lit(0)).alias("_from"))
+    within = Window.partitionBy("_k", "_part").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    placed = counts.join(parts, ["_k", "_part"]).withColumn("_end", F.col("_from") + F.sum("_c").over(within))
     place = lambda p: F.least(F.floor(F.col("_n") * p / 100), F.col("_n") - 1)
-    return ranked.groupBy(*keys).agg(*[F.max(F.when(F.col("_i") == place(p), F.col(value))).alias(f"p{p}") for p in percents])
+    holds = lambda p: (place(p) < F.col("_end")) & (place(p) >= F.col("_end") - F.col("_c"))
+    out = placed.groupBy("_k").agg(*[F.max(F.when(holds(p), F.col("_v"))).alias(f"p{p}") for p in percents])
+    return out.select("_k.*", *[f"p{p}" for p in percents])
 
 
 def weighted_vote(df: DataFrame, keys: list[str], choice: str, weight: str) -> DataFrame:

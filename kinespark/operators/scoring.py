@@ -108,9 +108,14 @@ def motion_grounding(dir: Column, speed: Column, scale: Column, masked_dir: Colu
 def format_score(content: Column, task: Column, **_: Column) -> Column:
     """0 without paired think and answer tags or with odd tags in the thought; 1 with the grounding the task asks for,
     else a half. Self-closing motion tags count as motion."""
-    think = P.block(content, "think")
+    # Bound once: a plain column would be parsed anew wherever it is named.
+    parts = F.struct(P.block(content, "think").alias("think"), P.block(content, "answer").alias("answer"))
+    return F.get(F.transform(F.array(parts), lambda x: _format(content, task, x["think"], x["answer"])), 0)
+
+
+def _format(content: Column, task: Column, think: Column, answer: Column) -> Column:
     paired = lambda t, where: _count(where, f"<{t}>") == _count(where, f"</{t}>")
-    ok = think.isNotNull() & P.block(content, "answer").isNotNull() & paired("think", content) & paired("answer", content)
+    ok = think.isNotNull() & answer.isNotNull() & paired("think", content) & paired("answer", content)
     for t in ("obj", "t", "box", "motion"):
         ok = ok & F.coalesce(paired(t, think), F.lit(False))
     n = lambda t: F.coalesce(_count(think, f"<{t}>"), F.lit(0.0))

@@ -201,9 +201,9 @@ def w14(spark, d):
     return observations(spark, d).select("ord", (1 - before).alias("mask"))
 
 
-@query("W17_first_winner", "WITH m AS (SELECT source, min(doc_id) AS doc_id FROM documents WHERE lang = 'en' GROUP BY source) SELECT source, doc_id, substr(text, 1, 40) AS head FROM m JOIN documents USING (source, doc_id)")
+@query("W17_first_winner", "WITH m AS (SELECT source, min(doc_id) AS doc_id FROM documents WHERE lang = 'en' GROUP BY source) SELECT source, doc_id, text AS head FROM m JOIN documents USING (source, doc_id)")
 def w17(spark, d):
-    df = table(spark, d, "documents").filter("lang = 'en'").groupBy("source").agg(F.min_by(F.struct("doc_id", F.substring("text", 1, 40).alias("head")), "doc_id").alias("m"))
+    df = table(spark, d, "documents").filter("lang = 'en'").groupBy("source").agg(F.min_by(F.struct("doc_id", F.col("text").alias("head")), "doc_id").alias("m"))
     return df.select("source", "m.doc_id", "m.head")
 
 

@@ -38,9 +38,11 @@ def j02(spark, d):
     return lines.join(kf, "ok", "full").select("ok", F.round(F.coalesce("t", F.col("ok") / 30.0), 4).alias("t"), F.coalesce("lines", F.lit(0).cast("bigint")).alias("lines"))
 
 
-@query("J03_nearest_symmetric", f"WITH {FC} SELECT claim, obj, ord AS frame, round(abs(cl.t - fr.t), 3) AS apart FROM cl JOIN fr USING (obj) WHERE abs(cl.t - fr.t) < 20000 QUALIFY row_number() OVER (PARTITION BY claim ORDER BY abs(cl.t - fr.t), ord) = 1")
+@query("J03_nearest_symmetric", f"WITH {FC}, n AS (SELECT claim, cl.obj, fr.obj AS found, ord AS frame, abs(cl.t - fr.t) AS apart FROM cl JOIN fr ON cl.obj // 4 = fr.obj // 4 WHERE abs(cl.t - fr.t) < 20000 QUALIFY row_number() OVER (PARTITION BY claim ORDER BY abs(cl.t - fr.t), ord) = 1) SELECT claim, obj, frame, round(apart, 3) AS apart FROM n WHERE obj = found")
 def j03(spark, d):
-    out = J.nearest_join(claims(spark, d), frames(spark, d), ["obj"], 20000, ["claim"])
+    # A sample is a group of four objects; the nearest frame of the sample must show the claim's object.
+    sample = F.floor(F.col("obj") / 4).alias("sample")
+    out = J.nearest_join(claims(spark, d).select("*", sample), frames(spark, d).select("*", sample), ["sample"], 20000, ["claim"], ["obj"])
     return out.select("claim", "obj", F.col("near_ord").alias("frame"), F.round(F.abs(F.col("t") - F.col("near_t")), 3).alias("apart"))
 
 
@@ -80,7 +82,9 @@ def j07(spark, d):
 
 @query("J08_T09_greedy_match")
 def j08(spark, d):
-    df = table(spark, d, "documents").filter("doc_id % 20 = 0") if False else table(spark, d, "benchmark").select("item_id", F.slice(F.split("text", " "), 1, 4).alias("gold"), F.slice(F.split("text", " "), 3, 4).alias("found"))
+    # Every word of an item against its words from the third on, so that names repeat and shift.
+    words = F.split("text", " ")
+    df = table(spark, d, "benchmark").select("item_id", words.alias("gold"), F.slice(words, 3, F.greatest(F.lit(1), F.size(words))).alias("found"))
     return df.select("item_id", F.array_join(J.greedy_match_udf("gold", "found").cast("array<string>"), ",").alias("matches"))
 
 

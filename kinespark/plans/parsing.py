@@ -57,16 +57,15 @@ def t05(spark, d):
     return turns(spark, d).select("conv_id", "turn", r6(X.token_f1(F.col("q"), F.col("r"))).alias("f1"))
 
 
-@query("T04_simple_accuracy", f"WITH {TURNS}, t AS (SELECT conv_id, turn, list_distinct(list_filter(string_split_regex(trim(lower(substr(q, 1, 30))), '\\s+'), lambda w: w <> '')) AS a, list_distinct(list_filter(string_split_regex(trim(lower(substr(q, 1, 24 + turn % 7))), '\\s+'), lambda w: w <> '')) AS b, trim(lower(substr(q, 1, 30))) AS x, trim(lower(substr(q, 1, 24 + turn % 7))) AS y FROM p) SELECT conv_id, turn, CASE WHEN x = y OR len(list_intersect(a, b)) * 1.0 / len(list_distinct(list_concat(a, b))) >= 0.6 THEN 1.0 ELSE 0.0 END::DOUBLE AS acc FROM t")
+@query("T04_simple_accuracy", f"WITH {TURNS}, c AS (SELECT conv_id, turn, q, CASE WHEN turn % 3 = 0 THEN r ELSE regexp_replace(q, '\\s+\\S+$', '') END AS o FROM p), t AS (SELECT conv_id, turn, list_distinct(list_filter(string_split_regex(trim(lower(q)), '\\s+'), lambda w: w <> '')) AS a, list_distinct(list_filter(string_split_regex(trim(lower(o)), '\\s+'), lambda w: w <> '')) AS b, trim(lower(q)) AS x, trim(lower(o)) AS y FROM c) SELECT conv_id, turn, CASE WHEN x = y OR len(list_intersect(a, b)) * 1.0 / len(list_distinct(list_concat(a, b))) >= 0.6 THEN 1.0 ELSE 0.0 END::DOUBLE AS acc FROM t")
 def t04(spark, d):
-    b = F.expr("substring(q, 1, 24 + cast(turn % 7 as int))")
-    return turns(spark, d).select("conv_id", "turn", X.simple_accuracy(F.substring("q", 1, 30), b).alias("acc"))
+    other = F.when(F.col("turn") % 3 == 0, F.col("r")).otherwise(F.regexp_replace("q", "\\s+\\S+$", ""))
+    return turns(spark, d).select("conv_id", "turn", X.simple_accuracy(F.col("q"), other).alias("acc"))
 
 
-@query("T07_levenshtein", f"WITH {TURNS} SELECT conv_id, turn, round(1 - levenshtein(substr(q, 1, 40), substr(r, 1, 40)) / greatest(length(substr(q, 1, 40)), length(substr(r, 1, 40))), 6) AS near FROM p WHERE q SIMILAR TO '[ -~\\n]*' AND r SIMILAR TO '[ -~\\n]*' AND q <> '' AND r <> ''")
+@query("T07_levenshtein")  # SQL's distance counts other characters than code points; tests hold it against brute force
 def t07(spark, d):
-    df = turns(spark, d).filter(F.col("q").rlike("^[ -~\\n]+$") & F.col("r").rlike("^[ -~\\n]+$"))
-    return df.select("conv_id", "turn", r6(X.closeness(F.substring("q", 1, 40), F.substring("r", 1, 40))).alias("near"))
+    return turns(spark, d).select("conv_id", "turn", r6(X.closeness(F.col("q"), F.col("r"))).alias("near"))
 
 
 @query("T08_rouge")
@@ -181,11 +180,35 @@ def r12(spark, d):
     return df.select("id", (F.col("step") + 1).alias("step"), "body")
 
 
-@query("R17_R19_choose_option")
-def r17(spark, d):
+def _choices(spark, d):
+    """Free answers in every form that the parsers know, and in some that they don't."""
+    letter = F.element_at(F.array(*[F.lit(x) for x in "ABCD"]), (F.col("event_id") % 4 + 1).cast("int"))
+    shapes = ["Answer: {}.", "I pick ({}) now", "**{}**", "{}", "A. no, B: no, {} yes", "maybe {} or not", "it must be that which shows a tall tree here", "none of them, nothing to see at all", "", "API Error", "(A) at first, then ({})"]
+    text = F.element_at(F.array(*[F.replace(F.lit(x), F.lit("{}"), letter) for x in shapes]), (F.col("event_id") % len(shapes) + 1).cast("int"))
     options = F.array(F.lit("a red cup"), F.lit("a blue plate"), F.lit("a tall tree"), F.lit("a dog"))
-    s = F.concat(F.lit("I think the answer is "), P.block(F.col("s"), "answer"), F.lit(" because of that"))
-    return answers(spark, d).select("id", P.choose_udf(F.coalesce(s, F.lit("it must be that which shows a tall tree here")), options).alias("choice"))
+    return table(spark, d, "events").select(F.col("event_id").alias("id"), text.alias("s"), options.alias("options"))
+
+
+@query("R17_R30_choose_option")
+def r17(spark, d):
+    return _choices(spark, d).select("id", P.choose_udf("s", "options").alias("choice"))
+
+
+@query("R18_choose_staged")
+def r18(spark, d):
+    return _choices(spark, d).select("id", P.choose_staged_udf("s", "options").alias("choice"))
+
+
+@query("R19_choose_or_first")
+def r19(spark, d):
+    return _choices(spark, d).select("id", P.choose_or_first_udf("s", "options").alias("choice"))
+
+
+@query("R25_judged")
+def r25(spark, d):
+    chosen = P.judge_choice(P.choose_udf("s", "options"), F.array(F.lit("A"), F.lit("C")))
+    said = F.concat(F.lit("We add. So the total is "), (F.col("id") % 5).cast("string"), F.lit(" cups"))
+    return _choices(spark, d).select("id", chosen.alias("chosen"), P.judge_open_udf(said, F.array(F.lit("3"), F.lit("4 cups"))).alias("open"))
 
 
 @query("R20_R28_option_letter", "SELECT event_id AS id, ['A','B','C','D'][event_id % 4 + 1] AS letter FROM events WHERE event_id % 11 > 0")
@@ -199,7 +222,7 @@ def r21(spark, d):
     return table(spark, d, "lineitem").select(F.col("l_orderkey").alias("ok"), F.col("l_linenumber").alias("n"), (F.array_position(options, F.lower(F.trim("l_returnflag"))) - 1).cast("int").alias("idx"))
 
 
-@query("R22_R25_open_answers")
+@query("R22_open_answers")
 def r22(spark, d):
     s = F.concat(F.lit("We add. So the total is "), F.floor("value").cast("string"), F.lit(" cups"))
     return table(spark, d, "events").select(F.col("event_id").alias("id"), F.array_join(P.open_answers_udf(s), "|").alias("answers"))
@@ -258,9 +281,9 @@ def p08(spark, d):
     return table(spark, d, "documents").filter(F.col("lang").isin(*wanted)).select("doc_id")
 
 
-@query("P13_P14_messages", "SELECT conv_id, turn, CASE role WHEN 'user' THEN '[user] ' || substr(text, 1, 20) ELSE '<think></think>' || chr(10) || '<answer>' || substr(text, 1, 20) || '</answer>' END AS message FROM conversations")
+@query("P13_P14_messages", "SELECT conv_id, turn, CASE role WHEN 'user' THEN '[user] ' || text ELSE '<think></think>' || chr(10) || '<answer>' || text || '</answer>' END AS message FROM conversations")
 def p13(spark, d):
-    head = F.substring("text", 1, 20)
+    head = F.col("text")
     message = F.when(F.col("role") == "user", F.concat(F.lit("[user] "), head)).otherwise(F.concat(F.lit("<think></think>\n<answer>"), head, F.lit("</answer>")))
     return table(spark, d, "conversations").select("conv_id", "turn", message.alias("message"))
 

@@ -12,7 +12,12 @@ from .registry import query
 
 
 def scratch(spark, name):
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/kinespark"
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        master = spark.conf.get("spark.master", "")
+        if master.startswith("local-cluster") or not master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        root = f"file://{tempfile.gettempdir()}/kinespark"
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}/{name}"
 
 

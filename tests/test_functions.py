@@ -122,3 +122,83 @@ def test_rollups(spark):
 
 def test_lone_gap(spark):
     assert math.isclose(-(math.log(0.5) + math.log(0.8) + math.log(0.9)) / 3, 0.340550, abs_tol=1e-6)
+
+
+def test_stems_of_the_published_examples():
+    want = "caresses:caress ponies:poni agreed:agre plastered:plaster motoring:motor conflated:conflat troubled:troubl hopping:hop falling:fall hissing:hiss filing:file happy:happi relational:relat conditional:condit digitizer:digit radically:radic vietnamization:vietnam operator:oper feudalism:feudal decisiveness:decis hopefulness:hope formality:formal triplicate:triplic formative:form electrical:electr goodness:good revival:reviv allowance:allow adjustment:adjust adoption:adopt homologous:homolog effective:effect rate:rate cease:ceas controlling:control roll:roll happiness:happi"
+    for pair in want.split():
+        word, stem = pair.split(":")
+        assert X.stem(word) == stem, word
+
+
+def test_choices_by_stage():
+    options = dict(zip("ABCD", ("a red cup", "a blue plate", "a tall tree", "a dog")))
+    table = [
+        # response, by any form, by stage, any form without content or else the first
+        ("The answer is (B).", "B", "B", "B"),
+        ("B", "B", "B", "B"),
+        ("A. no, then (C)", "C", "A", "C"),
+        ("A: x, B. y", "B", "B", "B"),
+        ("B. x, A: y", "A", "B", "A"),
+        ("(D) first, then (A)", "A", "A", "A"),
+        ("we see a dog and a tall tree in it", "C", "C", "A"),
+        ("a dog", "No Answer Found", "No Answer Found", "A"),
+        ("**C**", "C", "No Answer Found", "C"),
+        ("", "API Error", "API Error", "API Error"),
+        ("API Error", "API Error", "API Error", "API Error"),
+    ]
+    for text, one, two, three in table:
+        got = (P.choose(text, "ABCD", options), P.choose_staged(text, "ABCD", options), P.choose(text, "ABCD", options, False, "A"))
+        assert got == (one, two, three), text
+
+
+def test_open_answers_are_judged():
+    assert P.judge_open("We add. So the total is 1,200 cups", ["1200"])
+    assert P.judge_open("x = 3.456", ["3.46"]) and not P.judge_open("x = 3.5", ["3"])
+    assert P.judge_open("the animal is a brown dog", ["dog", "cat"]) and not P.judge_open("the animal is a brown dog", ["horse"])
+    assert not P.judge_open("it is abc", ["b"]) and P.judge_open("it is b or so", ["b"])
+    assert not P.judge_open("", ["x"]) and P.open_answers("") == ["API Error"]
+
+
+def test_the_nearest_row_must_agree_and_none_falls_back(spark):
+    probe = spark.createDataFrame([(1, 0, 10.0, "a"), (2, 0, 20.0, "a")], "id int, k int, t double, obj string")
+    build = spark.createDataFrame([(0, 0, 11.0, "b"), (1, 0, 12.0, "a"), (2, 0, 21.0, "a")], "ord int, k int, t double, obj string")
+    got = J.nearest_join(probe, build, ["k"], 5.0, ["id"], ["obj"]).collect()
+    assert [(r["id"], r["near_ord"]) for r in got] == [(2, 2)]
+
+
+def test_closeness_is_the_edit_distance_of_whole_texts(spark):
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            new = [i]
+            for j, y in enumerate(b, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+            row = new
+        return row[-1]
+
+    pairs = [("naïve café", "naive cafe"), ("a" * 70, "a" * 30 + "b" * 50), ("kitten", "sitting"), ("x", "y"), ("same", "same")]
+    got = spark.createDataFrame(pairs, "a string, b string").select("a", "b", X.closeness(F.col("a"), F.col("b")).alias("c")).collect()
+    for r in got:
+        assert r["c"] == pytest.approx(1 - edits(r["a"], r["b"]) / max(len(r["a"]), len(r["b"])))
+
+
+def test_nearest_rank_with_ties_and_a_heavy_key(spark):
+    import random
+
+    rng = random.Random(2)
+    rows = [("heavy", float(rng.choice((1, 2, 2, 2, 3)))) for _ in range(700)] + [("wide", rng.random()) for _ in range(900)] + [(None, 5.0), ("one", 7.0), ("none", None)]
+    got = {r["k"]: r for r in R.nearest_rank(spark.createDataFrame(rows, "k string, x double"), ["k"], "x", [0, 5, 50, 99, 100]).collect()}
+    for key in ("heavy", "wide", None, "one"):
+        held = sorted(x for k, x in rows if k == key and x is not None)
+        for p in (0, 5, 50, 99, 100):
+            assert got[key][f"p{p}"] == held[min(len(held) * p // 100, len(held) - 1)]
+    assert "none" not in got
+
+
+def test_boxes_in_prose_are_scaled_and_repaired(spark):
+    text = "see <box>[10, 20.5, 30, 40]</box>, <box>[x]</box> and <box>[]</box>"
+    assert value(spark, X.rescale_boxes_udf(F.lit(text), F.lit(0.5))) == "see <box>[5.0, 10.25, 15.0, 20.0]</box>, <box>[x]</box> and <box>[]</box>"
+    assert P.repaired_boxes("Here: {'3': [1, 2, 3, 4]") == {"3": [1.0, 2.0, 3.0, 4.0]}
+    assert P.repaired_boxes("```json\n[{\"1\": [0, 0, 1, 1]}, {\"2\": [1]}]\n```") == {"1": [0.0, 0.0, 1.0, 1.0]}
+    assert P.repaired_boxes("no boxes") == {} and P.repaired_boxes("[oops") == {}
