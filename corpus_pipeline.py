@@ -1,4 +1,11 @@
-"""A corpus pipeline over `documents`: quality rules, near-dedup, decontamination, secret scans, mixing."""
+"""A corpus pipeline over `documents`: quality rules, near-dedup, decontamination, secret scans, mixing.
+
+Each stage works on all that the one before kept, which is written and read again. Defined results: null and empty texts
+fail the quality rules and go; rows equal in id and text, and copies under other ids, are one document after the
+near-dedup, that of the smallest id (ties: the smallest hash of the text); a null source is a host and a source of its
+own; very long texts go through whole; all columns of the input stay in every stage, but the last replaces any that have
+the names of its own (size, source_size, target, taken); an empty table gives an empty result.
+"""
 
 from __future__ import annotations
 
