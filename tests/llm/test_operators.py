@@ -146,8 +146,6 @@ def test_simhash(docs, rows, empty):
             least[found[m]] = min(least.get(found[m], r[0]), r[0])
     want = Counter((r[0], f"{m:016x}", least.get(found[m])) for r, m in zip(rows, marks))
     assert Counter(map(tuple, simhash.classes(docs).collect())) == want
-    kept = simhash.dedup(docs).collect()
-    assert sorted(r["doc_id"] for r in kept) == sorted(set(least.values()))
     assert simhash.classes(empty).count() == 0 and simhash.dedup(empty).columns == empty.columns
 
 

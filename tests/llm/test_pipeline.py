@@ -1,7 +1,9 @@
 """The pipeline against its stages' own results on a small table."""
 
 import corpus_pipeline
-from kinespark.llm import decontaminate, mixing, quality, secrets, simhash
+from kinespark.llm import decontaminate, mixing, quality, secrets
+
+from test_similar import classes
 
 DATA = "/root/testdata/sf0.001"
 
@@ -13,7 +15,7 @@ def test_pipeline(spark):
     kept = quality.clean(docs)
     good = {r["doc_id"] for r in quality.measure(docs).collect() if r["kept"]}
     assert {r["doc_id"] for r in kept.collect()} == good
-    first = {r["component_id"] for r in simhash.classes(kept).collect()}
+    first = set(classes([(r["doc_id"], r["text"]) for r in kept.collect()]).values())
     index = decontaminate.Index([tuple(r) for r in bench.collect()])
     text = {r["doc_id"]: r["text"] for r in kept.collect()}
     clean = {k for k in first if not decontaminate.find(index, text[k])}
