@@ -64,7 +64,7 @@ def shared_dir(spark: SparkSession) -> str:
         if master.startswith("local-cluster") or not master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='kinespark-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
+        spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
