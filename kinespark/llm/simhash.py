@@ -17,7 +17,9 @@ pivot tables can't propose pairs. Documents meet by bands of minimal shingle has
 at 0.8 misses once in 2,900. Of the pairs that meet, those whose sizes differ too far or whose largest coordinate
 differences sum to more than RADIUS are discarded, and survivors are verified on all bits and then on the whole sets, so
 a link is exact. Rows of a band of more than CROWD are set beside the band's smallest; then every row outside the band's
-largest component is set beside all rows of other components, so no pair that could join two components is left out.
+largest component is asked against all rows of other components, so no pair that could join two components is left out.
+That is done on whole sets, in blocks of BLOCK shingles, without a row for each pair: time grows with a crowded band's rows
+times those outside its largest component, rows and bytes with their number times the band's blocks.
 
 Defined results: a text without words (or null) has fingerprint 0, which is linked like others by `classes`, and all such
 texts are one class of `similar`; equal fingerprints are one node; a null doc_id has a fingerprint and a component but is the smallest of none that has another id; rows that
@@ -49,6 +51,8 @@ SEED, SHINGLE, MOST, DENSE, PIVOTS, SEGMENTS = 42, 3, 2, 32, 12, 4
 WORDS, SIMILAR, RADIUS, CROWD = 5, 0.8, 28, 8
 #: Bands of minima, and minima a band.
 BANDS, DEPTH = 20, 5
+#: Shingles of a block of a crowded band: 4 MB.
+BLOCK = 1 << 19
 #: Reference segments, drawn once.
 REFERENCES = [[random.Random(f"{s}.{r}").getrandbits(16) for r in range(PIVOTS)] for s in range(SEGMENTS)]
 
@@ -205,35 +209,78 @@ def _near(p: str, q: str) -> Column:
     return sizes & (_bound(a, b) <= RADIUS) & (F.bit_count(a.bitwiseXOR(b)) <= RADIUS)
 
 
+def _codes(members: DataFrame, held: DataFrame, nodes: DataFrame, size: int, seed: int) -> DataFrame:
+    """node and codes, its set of shingles, of each node of `members`."""
+    texts = cut(nodes.join(members, "node", "left_semi").select("node", F.col("first").alias("_first")), "members")
+    texts = held.join(texts, held["_key"] == texts["_first"]).select("node", "text").dropDuplicates(["node"])
+    return cut(texts.mapInArrow(_sets(size, seed), "node binary, codes array<bigint>"), "sets")
+
+
 def _verified(pairs: DataFrame, held: DataFrame, nodes: DataFrame, size: int, seed: int) -> DataFrame:
     """The pairs (a, b) whose shingle sets have a Jaccard similarity of at least SIMILAR."""
     pairs = cut(pairs.distinct(), "candidates")
-    members = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    texts = cut(nodes.join(members, "node", "left_semi").select("node", F.col("first").alias("_first")), "members")
-    texts = held.join(texts, held["_key"] == texts["_first"]).select("node", "text").dropDuplicates(["node"])
-    sets = cut(texts.mapInArrow(_sets(size, seed), "node binary, codes array<bigint>"), "sets")
+    sets = _codes(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), held, nodes, size, seed)
     both = pairs.join(sets.select(F.col("node").alias("b"), F.col("codes").alias("y")), "b")
     both = both.join(sets.select(F.col("node").alias("a"), F.col("codes").alias("x")), "a")
     common = F.size(F.array_intersect("x", "y"))
     return cut(both.filter(common / (F.size("x") + F.size("y") - common) >= SIMILAR).select("a", "b"), "similar")
 
 
-def _rest(met: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs (a, b) of crowded bands' rows that aren't in one component yet.
+def _block(rows: pa.Table) -> pa.Table:
+    """Links (a, b) that join the components (root) of a block's asked rows with those of its other rows, no more than do.
 
-    Pairs within a component need no further link. Of the others at least one isn't in its band's largest component, so
-    each row outside that one is set beside the band's other rows: no pair is lost, and few are made.
+    A set of n shingles that is similar to another shares at least `need` of them with it, so it shares one of any
+    n - need + 1: rows that share none of an asked row's rarest ones aren't counted.
     """
-    known = met.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    known = cut(known, "known")
-    largest = known.groupBy("x", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("x").agg(F.max(F.struct("c", "root")).alias("m"), F.count(F.lit(1)).alias("roots"))
-    largest = largest.filter("roots > 1").select("x", F.col("m.root").alias("main"))
-    mixed = cut(known.join(largest, "x"), "mixed")
-    pairs = mixed.filter("root != main").alias("p").join(mixed.alias("q"), "x").filter(F.col("p.root") != F.col("q.root")).filter(_near("p", "q"))
-    return pairs.select(F.least("p.node", "q.node").alias("a"), F.greatest("p.node", "q.node").alias("b"))
+    import numpy as np
 
+    nodes, asked = rows["node"].to_pylist(), rows["asked"].to_numpy(zero_copy_only=False)
+    group = np.unique(np.array([r.hex() for r in rows["root"].to_pylist()]), return_inverse=True)[1]
+    held = rows["codes"].combine_chunks()
+    ends, codes = held.offsets.to_numpy(), held.values.to_numpy()
+    lengths = np.diff(ends)
+    owners = np.repeat(np.arange(len(nodes)), lengths)
+    beside = ~asked[owners]
+    order = np.argsort(codes[ends[0] : ends[-1]][beside], kind="stable")
+    known, owners = codes[ends[0] : ends[-1]][beside][order], owners[beside][order]
+    out = []
+    for u in np.flatnonzero(asked):
+        own, n = codes[ends[u] : ends[u + 1]], lengths[u]
+        low, high = np.searchsorted(known, own, "left"), np.searchsorted(known, own, "right")
+        need = int(np.ceil(SIMILAR * n - 1e-9))
+        rare = np.argsort(high - low, kind="stable")[: n - need + 1]
+        if not any((group[owners[low[k] : high[k]]] != group[u]).any() for k in rare):
+            continue
+        common = np.bincount(np.concatenate([owners[i:j] for i, j in zip(low, high)]), minlength=len(nodes))
+        for v in np.flatnonzero((common / (n + lengths - common) >= SIMILAR) & ~asked):
+            if group[v] != group[u]:
+                out.append((nodes[u], nodes[v]))
+                group[group == group[u]] = group[v]
+    return pa.table({"a": pa.array([x for x, _ in out], pa.binary()), "b": pa.array([y for _, y in out], pa.binary())})
+
+
+def _rest(met: DataFrame, roots: DataFrame, held: DataFrame, nodes: DataFrame, size: int, seed: int, block: int = BLOCK) -> DataFrame:
+    """Links (a, b) among crowded bands' rows that aren't in one component yet, judged on whole sets.
 
-def similar(docs: DataFrame, size: int = WORDS, seed: int = SEED, dense: int = CROWD) -> DataFrame:
+    Pairs within a component need no further link. Of the others at least one isn't in its band's largest component, so
+    each row outside that one is asked against the band's other rows. A band is cut into blocks of about `block` shingles,
+    and each block of asked rows meets each block of all rows in a task of its own; only links leave it.
+    """
+    known = cut(met.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "known")
+    sizes = known.groupBy("x", "root").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("n"))
+    bands = sizes.groupBy("x").agg(F.max(F.struct("c", "root")).alias("m"), F.count(F.lit(1)).alias("roots"), F.ceil(F.sum("n") / block).cast("int").alias("k"))
+    bands = bands.filter("roots > 1").select("x", "k", F.col("m.root").alias("main"))
+    mixed = known.join(bands, "x").select("x", "k", "node", "root", (F.col("root") != F.col("main")).alias("out"), F.pmod(F.xxhash64("node"), "k").cast("int").alias("own"))
+    mixed = cut(mixed, "mixed")
+    sets = _codes(mixed.select("node").distinct(), held, nodes, size, seed)
+    each = F.explode(F.sequence(F.lit(0), F.col("k") - 1))
+    asked = mixed.filter("out").select("x", F.col("own").alias("i"), each.alias("j"), F.lit(True).alias("asked"), "node", "root")
+    beside = mixed.select("x", each.alias("i"), F.col("own").alias("j"), F.lit(False).alias("asked"), "node", "root")
+    rows = asked.union(beside).join(sets, "node")
+    return rows.groupBy("x", "i", "j").applyInArrow(_block, "a binary, b binary")
+
+
+def similar(docs: DataFrame, size: int = WORDS, seed: int = SEED, dense: int = CROWD, block: int = BLOCK) -> DataFrame:
     """doc_id, _key, node and root of each document (doc_id, text, _key): node names its set of shingles, root its class.
 
     Classes are the components of links between sets whose Jaccard similarity is at least SIMILAR.
@@ -253,10 +300,9 @@ def similar(docs: DataFrame, size: int = WORDS, seed: int = SEED, dense: int = C
     stars = stars.select(F.col("q.node").alias("a"), F.col("p.node").alias("b"))
     found = _verified(pairs.union(stars), held, nodes, size, seed)
     roots = cut(components(found), "roots")
-    rest = cut(_rest(many.drop("q"), roots).distinct(), "rest")
+    rest = cut(_rest(many.drop("q"), roots, held, nodes, size, seed, block).distinct(), "rest")
     if not rest.isEmpty():
-        more = _verified(rest, held, nodes, size, seed)
-        roots = cut(components(found.union(more)), "roots")
+        roots = cut(components(found.union(rest)), "roots")
     rooted = marks.join(roots, "node", "left")
     return rooted.select("doc_id", "_key", "node", F.coalesce("root", "node").alias("root"))
 

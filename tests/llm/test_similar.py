@@ -44,9 +44,9 @@ def change(rng, text, n):
     return " ".join(w)
 
 
-def found(spark, rows, dense=simhash.CROWD):
+def found(spark, rows, dense=simhash.CROWD, block=simhash.BLOCK):
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("_key", common.row_key("text"))
-    got = simhash.similar(df, dense=dense).groupBy("root").agg(F.collect_set("doc_id").alias("ids")).collect()
+    got = simhash.similar(df, dense=dense, block=block).groupBy("root").agg(F.collect_set("doc_id").alias("ids")).collect()
     return {k: min(r["ids"]) for r in got for k in r["ids"]}
 
 
@@ -74,8 +74,8 @@ def documents():
 def test_similar_classes_equal_brute_force(spark):
     rows = documents()
     want = classes(rows)
-    for dense in (simhash.CROWD, 2):
-        assert found(spark, rows, dense) == want
+    for dense, block in ((simhash.CROWD, simhash.BLOCK), (2, 3000)):  # the latter in many blocks a band
+        assert found(spark, rows, dense, block) == want
 
 
 def test_pairs_at_the_limit_are_found(spark):
