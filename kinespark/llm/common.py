@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -68,6 +70,11 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: What cut() has written, for each scratch() that is open; and for former stages.
+_made: list[list[DataFrame]] = []
+_left: list[DataFrame] = []
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write a frame to the shared folder and read it back: its lineage ends there, and a lost executor loses nothing."""
     spark = df.sparkSession
@@ -75,6 +82,8 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._cut_path = path
+    if _made:
+        _made[-1].append(out)
     return out
 
 
@@ -83,3 +92,37 @@ def discard(df: DataFrame) -> None:
     spark, path = df.sparkSession, df._cut_path
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextmanager
+def scratch() -> Iterator[list[DataFrame]]:
+    """Deletes at its end what cut() wrote within, but for the frames put in the list that it gives."""
+    keep: list[DataFrame] = []
+    _made.append([])
+    try:
+        yield keep
+    finally:
+        made = _made.pop()
+        for df in made:
+            if not any(df is k for k in keep):
+                discard(df)
+        if _made:
+            _made[-1] += [k for k in keep if any(k is df for df in made)]
+
+
+def stage(run: Callable[[], DataFrame], docs: DataFrame) -> DataFrame:
+    """run(), a stage of a pipeline over docs, which is a table or the former stage's result written and read again.
+
+    First the tables that former stages left are deleted, but for those that docs itself reads.
+    """
+    read = {f.rsplit("/", 2)[-2] for f in docs.inputFiles()}
+    gone = [df for df in _left if df._cut_path.rsplit("/", 1)[-1] not in read]
+    _left[:] = [df for df in _left if not any(df is x for x in gone)]
+    for df in gone:
+        if df.sparkSession is docs.sparkSession:  # another session may have ended
+            discard(df)
+    _made.append([])
+    try:
+        return run()
+    finally:
+        _left.extend(_made.pop())

@@ -102,4 +102,5 @@ def blend(docs: DataFrame, **options) -> DataFrame:
     names = [c for c in docs.columns if c not in own]
     held = cut(tuck(docs, *keep).withColumn("_number", F.monotonically_increasing_id()), "blend")
     found = mix(held, also=("_number",), **options).select("_number", F.struct(*own).alias("_mix"))
+    found = cut(found, "taken")  # as in secrets.redact: texts are shuffled only if it is large
     return held.join(found, "_number").select(*[(F.col(c) if c in keep else F.col("_row")[c]).alias(c) for c in names], "_mix.*")

@@ -172,6 +172,8 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", rate: float = RATE) -> DataF
     cuts = all_spans(docs, rate).withColumn("_reach", F.coalesce(F.max("end").over(before), F.lit(0))).filter("end > _reach")
     cuts = cuts.select("_key", (F.greatest("start", "_reach")).alias("start"), "end", "_reach")
     cuts = cuts.groupBy("_key").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("_s"))
+    # Written first: Spark then knows its size when it plans the join, and shuffles texts only if it is large.
+    cuts = cut(cuts, "secret-cuts")
     out = tuck(docs, *keep).withColumn("_key", row_key("doc_id", "text")).join(cuts, "_key", "left")
     start = lambda i: F.when(i > 0, F.get("_s", i - 1)["end"]).otherwise(F.lit(0))
     glue = lambda s, i: F.when((i > 0) & (s["start"] == start(i)), F.lit("")).otherwise(F.lit(mark))

@@ -43,7 +43,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
-from .common import cut, row_key, tuck, untuck
+from .common import cut, row_key, scratch, tuck, untuck
 from .components import components
 
 SEED, SHINGLE, MOST, DENSE, PIVOTS, SEGMENTS = 42, 3, 2, 32, 12, 4
@@ -311,7 +311,9 @@ def dedup(docs: DataFrame, size: int = WORDS, seed: int = SEED) -> DataFrame:
     """One document of each class of `similar`, that of the smallest doc_id, with the columns of docs."""
     names, keep = docs.columns, ("doc_id", "text")
     held = tuck(docs, *keep).withColumn("_key", row_key("text"))
-    found = cut(similar(held, size, seed), "classes")
+    with scratch() as stays:
+        found = cut(similar(held, size, seed), "classes")
+        stays.append(found)
     first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("_id"), F.col("_key").alias("_k"))).alias("x"))
     first = cut(first.select("x._id", "x._k"), "first")
     same = lambda df: df.join(first, df["doc_id"].eqNullSafe(first["_id"]) & (df["_key"] == first["_k"]), "left_semi")
