@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, licences, mixing, pages, passages, pii, quality, secrets, simhash, tokens
+from . import decontaminate, licences, mixing, pages, passages, phrases, pii, quality, resample, secrets, simhash, tokens, vectors
 from .common import table
 
 
@@ -50,6 +50,18 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.measure(table(spark, sf_dir, "documents"))
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.draw(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.links(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_substring_dedup": op2_substring_dedup,
@@ -61,6 +73,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_decontamination": op9_decontamination,
     "op10_quality_rules": op10_quality_rules,
+    "op11_phrase_collocations": op11_phrase_collocations,
+    "op12_importance_resampling": op12_importance_resampling,
+    "op13_embedding_dedup": op13_embedding_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {"op5_license_scan": licences.sql()}
+ORACLE_SQL: dict[str, str] = {
+    "op5_license_scan": licences.sql(),
+    "op11_phrase_collocations": phrases.sql(),
+    "op12_importance_resampling": resample.sql(),
+    "op13_embedding_dedup": vectors.sql(),
+}
