@@ -38,7 +38,7 @@ DEPTH, LEAST, TOP = 4, 30, 2000
 #: A phrase is dropped where WITHIN hundredths of its occurrences lie in a longer one; scores are floor(UNIT a / (l + r)).
 WITHIN, UNIT = 80, 2000000
 #: Words of a task's trie; nodes of a block, of a range, and ranges; groups that a language's first phrases are chosen in.
-WORDS, BLOCK, PART, MOST_RANGES, GROUPS = 1 << 20, 1 << 15, 1 << 20, 4096, 64
+WORDS, BLOCK, PART, MOST_RANGES, GROUPS = 1 << 19, 1 << 15, 1 << 20, 4096, 64
 UNKNOWN = "und"
 SPACES, BREAKS = b" \t", b".,;:!?\n\x0b\f\r"
 
@@ -70,14 +70,20 @@ class Trie:
         on_path = above[keep].ravel()
         held = np.zeros(len(self.depth), bool)
         held[on_path[on_path >= 0]] = True
-        used, step = np.unique(self.step[held], return_inverse=True)
-        names = pa.DictionaryArray.from_arrays(pa.array(step.astype("i4")), self.names.take(pa.array(used)))
-        count = np.where(keep, self.count, 0)[held]
-        batch = pa.RecordBatch.from_arrays([pa.array(self.depth[held]), names, pa.array(count)], ["depth", "step", "count"])
-        sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-            out.write_batch(batch)
-        return sink.getvalue().to_pybytes()
+        return _written(self.depth[held], self.step[held], np.where(keep, self.count, 0)[held], self.names)
+
+
+def _written(depth, step, count, names: pa.Array) -> bytes:
+    """A trie in order, serialised with the names that it uses."""
+    import numpy as np
+
+    used, step = np.unique(step, return_inverse=True)
+    steps = pa.DictionaryArray.from_arrays(pa.array(step.astype("i4")), names.take(pa.array(used)))
+    batch = pa.RecordBatch.from_arrays([pa.array(depth), steps, pa.array(count)], ["depth", "step", "count"])
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
 
 
 def _read(part: bytes) -> Trie:
@@ -111,25 +117,26 @@ def _summed(key, count):
     return held[fresh], sums, place
 
 
-def _in_order(levels: list[tuple], names: pa.Array) -> Trie:
-    """One trie of levels (parent's place in the level above, step, count), each sorted by parent and step."""
+def _in_order(levels: list[tuple], names: pa.Array) -> tuple:
+    """One trie of levels (parent's place in the level above, step, count), each sorted by parent and step; and each node's parent."""
     import numpy as np
 
     sizes = [np.ones(len(x[0]), "i8") for x in levels]
     for d in range(len(levels) - 1, 0, -1):
         np.add.at(sizes[d - 1], levels[d][0], sizes[d])
-    depth, step, count = (np.zeros(sum(map(len, sizes)), t) for t in ("u1", "i8", "i8"))
+    depth, step, count, over = (np.zeros(sum(map(len, sizes)), t) for t in ("u1", "i4", "i8", "i4"))
     at = np.zeros(1, "i8")
     for d, (parent, steps, counts) in enumerate(levels):
         before = np.concatenate([[0], np.cumsum(sizes[d])])
         eldest = np.searchsorted(parent, np.arange(len(at)))
-        at = at[parent] + (d > 0) + before[:-1] - before[eldest[parent]]
-        depth[at], step[at], count[at] = d, steps, counts
-    return Trie(depth, step, count, names)
+        up = at[parent]
+        at = up + (d > 0) + before[:-1] - before[eldest[parent]]
+        depth[at], step[at], count[at], over[at] = d, steps, counts, up
+    return Trie(depth, step, count, names), over
 
 
-def _grown(langs, words, pieces, names: pa.Array, depth: int) -> Trie:
-    """The trie of a run of words: for each its language and word (places in `names`) and its piece, never falling."""
+def _grown(langs, words, pieces, names: pa.Array, depth: int) -> tuple:
+    """_in_order of a run of words: for each its language and word (places in `names`) and its piece, never falling."""
     import numpy as np
 
     n, size = len(words), len(names)
@@ -163,12 +170,12 @@ def _words(texts: pa.Array) -> Iterator[tuple]:
         yield row, owner, (breaks[starts] if len(starts) else starts) + owner, held
 
 
-def _tries(batches: Iterator[pa.RecordBatch], depth: int, words: int) -> Iterator[Trie]:
+def _tries(batches: Iterator[pa.RecordBatch], depth: int, words: int) -> Iterator[tuple]:
     import numpy as np
 
     held, size = [], 0
 
-    def grown() -> Trie:
+    def grown() -> tuple:
         sizes = np.cumsum([len(w) for _, _, w, _ in held])
         names, place = _ordered(pa.concat_arrays([w for _, _, w, _ in held] + [x for *_, x in held]))
         langs, at = [], sizes[-1]
@@ -200,17 +207,17 @@ def tries(docs: DataFrame, depth: int = DEPTH, words: int = WORDS, block: int =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        for trie in _tries(batches, depth, words):
-            above = trie.above()
+        for trie, over in _tries(batches, depth, words):
             for at in range(0, len(trie.depth), block):
-                keep = np.zeros(len(trie.depth), bool)
-                keep[at : at + block] = True
-                low = int(above[at][0])  # parts of the arrays: a block's paths begin at its language
-                near = Trie(trie.depth[low : at + block], trie.step[low : at + block], trie.count[low : at + block], trie.names)
-                own = above[low : at + block]
-                made = near.part(np.where(own >= 0, own - low, -1), keep[low : at + block])
-                first = [list(trie.path(above, at))]
-                yield pa.RecordBatch.from_arrays([pa.array(first, pa.list_(pa.binary())), pa.array([int(keep.sum())], pa.int64()), pa.array([made], pa.binary())], ["first", "n", "part"])
+                path = []
+                for _ in range(trie.depth[at]):
+                    path.insert(0, int(over[path[0]] if path else over[at]))
+                held = np.concatenate([np.array(path, "i8"), np.arange(at, min(at + block, len(trie.depth)))])
+                count = trie.count[held]
+                count[: len(path)] = 0
+                first = [trie.names[int(trie.step[x])].as_py() for x in (*path, at)]
+                made = [pa.array([first], pa.list_(pa.binary())), pa.array([len(held) - len(path)], pa.int64()), pa.array([_written(trie.depth[held], trie.step[held], count, trie.names)], pa.binary())]
+                yield pa.RecordBatch.from_arrays(made, ["first", "n", "part"])
 
     return docs.select("text", "lang").mapInArrow(run, "first array<binary>, n long, part binary")
 
