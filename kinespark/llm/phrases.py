@@ -37,8 +37,9 @@ from .common import cut, discard
 DEPTH, LEAST, TOP = 4, 30, 2000
 #: A phrase is dropped where WITHIN hundredths of its occurrences lie in a longer one; scores are floor(UNIT a / (l + r)).
 WITHIN, UNIT = 80, 2000000
-#: Words of a task's trie; nodes of a block, of a range, and ranges; groups that a language's first phrases are chosen in.
-WORDS, BLOCK, PART, MOST_RANGES, GROUPS = 1 << 19, 1 << 15, 1 << 20, 4096, 64
+#: Bytes of text that are split at once; words of a task's trie; nodes of a block, of a range, and ranges; groups that a
+#: language's first phrases are chosen in.
+SLICE, WORDS, BLOCK, PART, MOST_RANGES, GROUPS = 1 << 20, 1 << 18, 1 << 15, 1 << 19, 4096, 64
 UNKNOWN = "und"
 SPACES, BREAKS = b" \t", b".,;:!?\n\x0b\f\r"
 
@@ -63,14 +64,19 @@ class Trie:
     def path(self, above, node: int) -> tuple[bytes, ...]:
         return tuple(self.names[int(self.step[x])].as_py() for x in above[node] if x >= 0)
 
-    def part(self, above, keep) -> bytes:
-        """The nodes `keep` and, with a count of 0, those on their paths, serialised."""
+    def part(self, above, at: int, end: int, keep=None) -> bytes:
+        """The nodes at <= node < end, of them `keep` if it is given, serialised; those on their paths come with a count of 0."""
         import numpy as np
 
-        on_path = above[keep].ravel()
-        held = np.zeros(len(self.depth), bool)
-        held[on_path[on_path >= 0]] = True
-        return _written(self.depth[held], self.step[held], np.where(keep, self.count, 0)[held], self.names)
+        path = above[at][: int(self.depth[at])]
+        held = np.concatenate([path, np.arange(at, end)])
+        count = self.count[held]
+        count[: len(path)] = 0
+        if keep is not None:
+            count[len(path) :][~keep[at:end]] = 0
+            on_path = np.concatenate([above[at:end][keep[at:end]].ravel(), path])
+            held, count = held[fits := np.isin(held, on_path)], count[fits]
+        return _written(self.depth[held], self.step[held], count, self.names)
 
 
 def _written(depth, step, count, names: pa.Array) -> bytes:
@@ -160,7 +166,7 @@ def _words(texts: pa.Array) -> Iterator[tuple]:
 
     kind = np.zeros(256, "u1")
     kind[list(SPACES)], kind[list(BREAKS)] = 1, 2
-    for row, last, offsets, data in A.slices(texts):
+    for row, last, offsets, data in A.slices(texts, SLICE):
         kinds = kind[data]
         starts, ends = A.runs(kinds == 0, offsets)
         owner = np.repeat(np.arange(last - row), np.diff(np.searchsorted(starts, offsets)))
@@ -234,10 +240,10 @@ def _ranged(edges: list[tuple[bytes, ...]], groups: int):
             for part in batch.column("part").to_pylist():
                 trie = _read(part)
                 above, n = trie.above(), len(trie.depth)
-                own = range(n)  # a block's own nodes follow one another; those before them are on the first one's path
+                own = int(np.argmax(trie.count > 0))  # a block's nodes; those before them are on the first one's path
                 path = lambda k: trie.path(above, k)  # noqa: B023, E731
-                low, high = bisect_right(edges, path(0)), bisect_right(edges, path(n - 1))
-                at = [0, *[bisect_left(own, e, key=path) for e in edges[low:high]], n]
+                low, high = bisect_right(edges, path(own)), bisect_right(edges, path(n - 1))
+                at = [own, *[bisect_left(range(n), e, own, key=path) for e in edges[low:high]], n]
                 if groups > 1:
                     marks = np.array([zlib.crc32(x) for x in trie.names.to_pylist()], "u8")[trie.step]
                     mark = np.zeros(n, "u8")
@@ -245,11 +251,11 @@ def _ranged(edges: list[tuple[bytes, ...]], groups: int):
                         mark = np.where(above[:, d] >= 0, (mark + marks[above[:, d]]) * np.uint64(0x9E3779B97F4A7C15), mark)
                     mark = (mark >> np.uint64(33)) % np.uint64(groups)
                 for k in range(len(at) - 1):
-                    inside = (np.arange(n) >= at[k]) & (np.arange(n) < at[k + 1]) & (trie.count > 0)
-                    for g in range(groups):
-                        keep = inside & (mark == g) if groups > 1 else inside
-                        if keep.any():
-                            yield pa.RecordBatch.from_arrays([pa.array([low + k], pa.int32()), pa.array([g], pa.int32()), pa.array([trie.part(above, keep)], pa.binary())], ["range", "deal", "part"])
+                    begin, end = max(at[k], own), at[k + 1]
+                    for g in range(groups if begin < end else 0):
+                        keep = mark == g if groups > 1 else None
+                        if keep is None or keep[begin:end].any():
+                            yield pa.RecordBatch.from_arrays([pa.array([low + k], pa.int32()), pa.array([g], pa.int32()), pa.array([trie.part(above, begin, end, keep)], pa.binary())], ["range", "deal", "part"])
 
     return run
 
