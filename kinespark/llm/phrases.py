@@ -39,7 +39,7 @@ DEPTH, LEAST, TOP = 4, 30, 2000
 WITHIN, UNIT = 80, 2000000
 #: Bytes of text that are split at once; words of a task's trie; nodes of a block, of a range, and ranges; groups that a
 #: language's first phrases are chosen in.
-SLICE, WORDS, BLOCK, PART, MOST_RANGES, GROUPS = 1 << 20, 1 << 18, 1 << 15, 1 << 19, 4096, 64
+SLICE, WORDS, BLOCK, PART, MOST_RANGES, GROUPS = 1 << 20, 1 << 18, 1 << 15, 1 << 20, 4096, 64
 UNKNOWN = "und"
 SPACES, BREAKS = b" \t", b".,;:!?\n\x0b\f\r"
 
@@ -80,22 +80,27 @@ class Trie:
 
 
 def _written(depth, step, count, names: pa.Array) -> bytes:
-    """A trie in order, serialised with the names that it uses."""
+    """A trie in order with the names that it uses: sizes, then the arrays one after another, compressed."""
     import numpy as np
 
     used, step = np.unique(step, return_inverse=True)
-    steps = pa.DictionaryArray.from_arrays(pa.array(step.astype("i4")), names.take(pa.array(used)))
-    batch = pa.RecordBatch.from_arrays([pa.array(depth), steps, pa.array(count)], ["depth", "step", "count"])
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-        out.write_batch(batch)
-    return sink.getvalue().to_pybytes()
+    held = names.take(pa.array(used))
+    ends = np.frombuffer(held.buffers()[1], "i8", len(held) + 1)
+    raw = b"".join([count.tobytes(), ends.tobytes(), step.astype("u4").tobytes(), depth.tobytes(), bytes(held.buffers()[2] or b"")[: ends[-1]]])
+    return np.array([len(raw), len(depth), len(held)], "i8").tobytes() + pa.compress(raw, "zstd", asbytes=True)
 
 
 def _read(part: bytes) -> Trie:
-    batch = pa.ipc.open_stream(part).read_next_batch()
-    step = batch["step"]
-    return Trie(batch["depth"].to_numpy(), step.indices.to_numpy(), batch["count"].to_numpy(), step.dictionary)
+    import numpy as np
+
+    size, nodes, names = (int(x) for x in np.frombuffer(part, "i8", 3))
+    raw, at, out = pa.decompress(part[24:], size, "zstd", asbytes=True), 0, []
+    for kind, n in (("i8", nodes), ("i8", names + 1), ("u4", nodes), ("u1", nodes)):
+        out.append(np.frombuffer(raw, kind, n, at))
+        at += out[-1].nbytes
+    count, ends, step, depth = out
+    held = pa.LargeBinaryArray.from_buffers(pa.large_binary(), names, [None, pa.py_buffer(ends), pa.py_buffer(raw[at:])])
+    return Trie(depth, step.astype("i4"), count, held)
 
 
 def _ordered(names: pa.Array):
