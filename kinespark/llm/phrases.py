@@ -39,7 +39,7 @@ DEPTH, LEAST, TOP = 4, 30, 2000
 WITHIN, UNIT = 80, 2000000
 #: Bytes of text that are split at once; words of a task's trie; nodes of a block, of a range, and ranges; groups that a
 #: language's first phrases are chosen in.
-SLICE, WORDS, BLOCK, PART, MOST_RANGES, GROUPS = 1 << 20, 1 << 18, 1 << 15, 1 << 20, 4096, 64
+SLICE, WORDS, BLOCK, PART, MOST_RANGES, GROUPS = 1 << 19, 1 << 18, 1 << 15, 1 << 19, 4096, 64
 UNKNOWN = "und"
 SPACES, BREAKS = b" \t", b".,;:!?\n\x0b\f\r"
 
@@ -208,6 +208,7 @@ def _tries(batches: Iterator[pa.RecordBatch], depth: int, words: int) -> Iterato
             if size >= words:
                 yield grown()
                 held, size = [], 0
+                pa.default_memory_pool().release_unused()
     if held:
         yield grown()
 
@@ -297,6 +298,7 @@ def _merged(least: int):
             phrases = [b" ".join(x) for x in zip(*words)] if d else [b""] * len(kept)
             made = [names.take(pa.array(levels[0][1][at])).cast(pa.binary()), pa.array(np.full(len(kept), d), pa.int32()), pa.array(phrases, pa.binary()), pa.array(levels[d][2][kept], pa.int64())]
             out.append(pa.table(made, names=["lang", "depth", "phrase", "f"]))
+        pa.default_memory_pool().release_unused()
         return pa.concat_tables(out)
 
     return run
