@@ -79,28 +79,37 @@ class Trie:
         return _written(self.depth[held], self.step[held], count, self.names)
 
 
+def _narrow(values):
+    """Numbers from 0 up, as the narrowest unsigned integers that hold them."""
+    import numpy as np
+
+    return values.astype(np.min_scalar_type(int(values.max(initial=0))))
+
+
 def _written(depth, step, count, names: pa.Array) -> bytes:
-    """A trie in order with the names that it uses: sizes, then the arrays one after another, compressed."""
+    """A trie in order with the names that it uses: sizes and widths, then the arrays one after another, compressed."""
     import numpy as np
 
     used, step = np.unique(step, return_inverse=True)
     held = names.take(pa.array(used))
     ends = np.frombuffer(held.buffers()[1], "i8", len(held) + 1)
-    raw = b"".join([count.tobytes(), ends.tobytes(), step.astype("u4").tobytes(), depth.tobytes(), bytes(held.buffers()[2] or b"")[: ends[-1]]])
-    return np.array([len(raw), len(depth), len(held)], "i8").tobytes() + pa.compress(raw, "zstd", asbytes=True)
+    arrays = [_narrow(count), _narrow(step), _narrow(np.diff(ends)), depth]
+    raw = b"".join([*[x.tobytes() for x in arrays], bytes(held.buffers()[2] or b"")[: ends[-1]]])
+    return np.array([len(raw), *[n for x in arrays for n in (len(x), x.itemsize)]], "i8").tobytes() + pa.compress(raw, "zstd", asbytes=True)
 
 
 def _read(part: bytes) -> Trie:
     import numpy as np
 
-    size, nodes, names = (int(x) for x in np.frombuffer(part, "i8", 3))
-    raw, at, out = pa.decompress(part[24:], size, "zstd", asbytes=True), 0, []
-    for kind, n in (("i8", nodes), ("i8", names + 1), ("u4", nodes), ("u1", nodes)):
-        out.append(np.frombuffer(raw, kind, n, at))
+    size, *shapes = (int(x) for x in np.frombuffer(part, "i8", 9))
+    raw, at, out = pa.decompress(part[72:], size, "zstd", asbytes=True), 0, []
+    for n, width in zip(shapes[::2], shapes[1::2]):
+        out.append(np.frombuffer(raw, f"u{width}", n, at))
         at += out[-1].nbytes
-    count, ends, step, depth = out
-    held = pa.LargeBinaryArray.from_buffers(pa.large_binary(), names, [None, pa.py_buffer(ends), pa.py_buffer(raw[at:])])
-    return Trie(depth, step.astype("i4"), count, held)
+    count, step, lengths, depth = out
+    ends = np.concatenate([[0], np.cumsum(lengths, dtype="i8")])
+    names = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(ends), pa.py_buffer(raw[at:])])
+    return Trie(depth, step.astype("i4"), count.astype("i8"), names)
 
 
 def _ordered(names: pa.Array):
