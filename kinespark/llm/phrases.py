@@ -27,6 +27,7 @@ from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import pairwise
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -39,7 +40,7 @@ DEPTH, LEAST, TOP = 4, 30, 2000
 WITHIN, UNIT = 80, 2000000
 #: Bytes of text that are split at once; words of a task's trie; nodes of a block, of a range, and ranges; groups that a
 #: language's first phrases are chosen in.
-SLICE, WORDS, BLOCK, PART, MOST_RANGES, GROUPS = 1 << 19, 1 << 18, 1 << 15, 1 << 19, 4096, 64
+SLICE, WORDS, BLOCK, PART, MOST_RANGES, GROUPS = 1 << 19, 1 << 18, 1 << 15, 1 << 20, 4096, 64
 UNKNOWN = "und"
 SPACES, BREAKS = b" \t", b".,;:!?\n\x0b\f\r"
 
@@ -226,14 +227,18 @@ def tries(docs: DataFrame, depth: int = DEPTH, words: int = WORDS, block: int =
     """(first, n, part): blocks of the tasks' tries, the path to each one's first node, and its number of nodes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zlib
+
         import numpy as np
 
         for trie, over in _tries(batches, depth, words):
-            for at in range(0, len(trie.depth), block):
+            # Tries are much alike: the first block's length is drawn by content, so that their blocks begin at different places.
+            drawn = zlib.crc32(np.ascontiguousarray(trie.step)) % block
+            for at, end in pairwise([0, *range(drawn + 1, len(trie.depth), block), len(trie.depth)]):
                 path = []
                 for _ in range(trie.depth[at]):
                     path.insert(0, int(over[path[0]] if path else over[at]))
-                held = np.concatenate([np.array(path, "i8"), np.arange(at, min(at + block, len(trie.depth)))])
+                held = np.concatenate([np.array(path, "i8"), np.arange(at, end)])
                 count = trie.count[held]
                 count[: len(path)] = 0
                 first = [trie.names[int(trie.step[x])].as_py() for x in (*path, at)]
