@@ -40,8 +40,8 @@ def numbered(df: DataFrame, order: list[Column], name: str = "number", partition
     return out.withColumn(name, number).drop("_part", "_place", "_start")
 
 
-def chunked(df: DataFrame, order: list[Column], chunks: int, rule: str = "remainder", name: str = "chunk", **options) -> DataFrame:
-    """df with `name`, the contiguous chunk (from 0) of each row, and its row number.
+def chunked(held: DataFrame, chunks: int, rule: str = "remainder", name: str = "chunk", number: str = "number") -> DataFrame:
+    """A frame of `numbered` with `name`, the contiguous chunk (from 0) of each row.
 
     rule "remainder": sizes differ by at most one, and the first rows % chunks chunks are the larger ones; "ceil": all
     chunks have ceil(rows / chunks) rows but the last, and some may be empty; "floor": all have floor(rows / chunks) but
@@ -49,11 +49,9 @@ def chunked(df: DataFrame, order: list[Column], chunks: int, rule: str = "remain
     """
     if rule not in ("remainder", "ceil", "floor"):
         raise ValueError(f"no rule named {rule}")
-    held = numbered(df, order, "number", **options)
-    total = held.agg(F.count(F.lit(1)).alias("_total"))
-    total = total.select("_total", F.lit(1).alias("_one"))
+    total = held.agg(F.count(F.lit(1)).alias("_total")).withColumn("_one", F.lit(1))
     out = held.withColumn("_one", F.lit(1)).join(F.broadcast(total), "_one")  # one row
-    at, k = F.col("number") - 1, F.lit(chunks).cast("bigint")
+    at, k = F.col(number) - 1, F.lit(chunks).cast("bigint")
     small = F.expr(f"_total div {chunks}")
     if rule == "remainder":
         more = F.col("_total") % k

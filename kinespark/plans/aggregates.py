@@ -244,11 +244,6 @@ def l10(spark, d):
     return df.select("ok", F.array_join(few.cast("array<string>"), ",").alias("crops"))
 
 
-@query("L12_range_partition", "SELECT o_orderkey AS k FROM orders")
-def l12(spark, d):
-    return table(spark, d, "orders").select(F.col("o_orderkey").alias("k")).repartitionByRange("k")
-
-
 @query("U01_U02_union_all", "SELECT 'event' AS part, event_id AS k FROM events UNION ALL SELECT 'order', o_orderkey FROM orders")
 def u01(spark, d):
     a = table(spark, d, "events").select(F.lit("event").alias("part"), F.col("event_id").alias("k"))

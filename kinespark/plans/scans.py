@@ -1,24 +1,16 @@
 """Source and sink queries (S and K of the survey). What is written goes to the folder that executors share."""
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from kinespark.sources import readers as R
+from kinespark.sources.shared import shared_path
 from kinespark.sources.tables import table
 
 from .registry import query
 
 
 def scratch(spark, name):
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        master = spark.conf.get("spark.master", "")
-        if master.startswith("local-cluster") or not master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        root = f"file://{tempfile.gettempdir()}/kinespark"
-    return f"{root.rstrip('/')}/{uuid.uuid4().hex}/{name}"
+    return f"{shared_path(spark, 'scan')}/{name}"
 
 
 SMALL = "SELECT c_custkey AS k, c_name AS name, c_acctbal AS bal FROM customer"
@@ -42,16 +34,6 @@ for _name, _ending in (("S03_K02_jsonl_round_trip", "jsonl"), ("S04_S05_parquet_
     query(_name, SMALL)(_through(_ending))
 
 
-@query("S01_S02_K01_json_array", SMALL)
-def s01(spark, d):
-    # One array in one file, as an annotation tool writes it, with elements that aren't records.
-    path = scratch(spark, "array")
-    rows = customers(spark, d).select(F.to_json(F.struct("k", "name", "bal")).alias("value"))
-    whole = rows.groupBy().agg(F.concat(F.lit("["), F.array_join(F.collect_list("value"), ","), F.lit(",null]")).alias("value"))
-    whole.write.text(path)
-    return R.load_records(spark, path, SCHEMA)
-
-
 @query("S06_S09_U02_partitions_as_one", "SELECT 'even' AS part, c_custkey AS k FROM customer WHERE c_custkey % 2 = 0 UNION ALL SELECT 'odd', c_custkey FROM customer WHERE c_custkey % 2 = 1")
 def s06(spark, d):
     paths = {}
@@ -85,7 +67,7 @@ def s13(spark, d):
     return table(spark, d, "documents").select("doc_id").join(side, "doc_id", "left").select("doc_id", F.coalesce(F.nullif(F.trim("text"), F.lit("")), F.lit("No transcript.")).alias("transcript"))
 
 
-@query("S17_K08_census", "SELECT lang, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 2) AS pct FROM documents GROUP BY lang")
+@query("K08_census", "SELECT lang, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 2) AS pct FROM documents GROUP BY lang")
 def s17(spark, d):
     docs = table(spark, d, "documents")
     total = docs.agg(F.count(F.lit(1)).alias("total"), F.lit(1).alias("one"))
@@ -98,7 +80,7 @@ def s20(spark, d):
     return table(spark, d, "documents").select("doc_id", F.concat_ws("/", R.route(F.col("source"), {"src1": "/first", "src2": "/second"}, {"src": "/rest"}), "lang").alias("root"))
 
 
-@query("K03_K04_K07_metrics", "SELECT l_returnflag AS rf, round(avg(l_discount), 6) AS score, count(*) AS n FROM lineitem GROUP BY l_returnflag")
+@query("K03_metrics", "SELECT l_returnflag AS rf, round(avg(l_discount), 6) AS score, count(*) AS n FROM lineitem GROUP BY l_returnflag")
 def k03(spark, d):
     path = scratch(spark, "metrics.json")
     m = table(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("rf")).agg(F.round(F.avg("l_discount"), 6).alias("score"), F.count(F.lit(1)).alias("n"))

@@ -45,12 +45,6 @@ def dump(df: DataFrame, path: str, fmt: str | None = None) -> None:
     WRITERS[kind](df, path)
 
 
-def load_records(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A JSON array of objects in a whole file; elements that aren't objects are dropped."""
-    parts = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "array<string>")).alias("e"))
-    return parts.filter(F.col("e").startswith("{")).select(F.from_json("e", schema).alias("r")).select("r.*")
-
-
 def union_of(spark: SparkSession, paths: dict[str, str], schema: str, name: str) -> DataFrame:
     """Several tables as one, with a column that says which."""
     out = None
