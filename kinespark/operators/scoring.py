@@ -131,7 +131,3 @@ def weighted(name: str, weight: float) -> Callable[..., Column]:
     return lambda **columns: weight * SCORES[name](**columns)
 
 
-def geometric(spatial: Column, temporal: Column, motion: Column, caption: Column, parsed: Column) -> Column:
-    """The composite of four components behind a gate on parsing, kept within 0 and 1."""
-    total = 0.25 * spatial + 0.15 * temporal + 0.35 * motion + 0.20 * caption
-    return F.when(parsed, F.greatest(F.lit(0.0), F.least(F.lit(1.0), total))).otherwise(0.0)

@@ -1,66 +1,14 @@
-"""Further parsers, prompts and summaries (R13 to R16, R24, R27, R30, T18, P26, X01 to X03 of the survey)."""
+"""Further parsers, prompts and summaries (R16, R24, R27, T18, P26, X01 to X03 of the survey)."""
 
 from pyspark.sql import functions as F
 
 from kinespark.functions import geometry as G
 from kinespark.functions import parse as P
-
-
 from kinespark.sources.tables import OBS, observations, table
 
 from .parsing import answers
 from .registry import query
 
-STEP = "(?i)Step\\s+(\\d+):\\s*\\[([^\\]]+)\\]\\s*([^\\n]+)"
-
-
-def think_predict(text):
-    """array<struct<step, time, description, think, predict>>: headers and the bodies between them; boxes in 0 to 1."""
-    part = lambda k: F.regexp_extract_all(text, F.lit(STEP), F.lit(k))
-    bodies = F.split(text, STEP)
-    steps = F.arrays_zip(part(1).alias("n"), part(2).alias("t"), part(3).alias("d"), F.slice(bodies, 2, F.size(bodies)).alias("b"))
-
-    def boxes(body, word):
-        pattern = f"{word}:\\s*\\((\\d+),(\\d+)\\),\\((\\d+),(\\d+)\\)"
-        z = F.arrays_zip(*[F.regexp_extract_all(body, F.lit(pattern), F.lit(k)).alias(f"v{k}") for k in (1, 2, 3, 4)])
-        return F.transform(z, lambda p: F.array(*[p[f"v{k}"].cast("int") / 1000.0 for k in (1, 2, 3, 4)]))
-
-    made = lambda s: F.struct(s["n"].cast("int").alias("step"), F.replace(s["t"], F.lit("s"), F.lit("")).try_cast("double").alias("time"), F.trim(s["d"]).alias("description"), boxes(s["b"], "Think").alias("think"), boxes(s["b"], "Predict").alias("predict"))
-    return F.transform(F.filter(steps, lambda s: s["n"].isNotNull()), made)
-
-
-def final_answer(text):
-    """The answer a text names, without its final marks; else its last sentence."""
-    pattern = "(?i)(?:final\\s+)?answer[:\\s]+(.+?)(?:\\n|$)"
-    named = F.trim(F.regexp_replace(F.trim(F.regexp_extract(text, pattern, 1)), "[.!?]+$", ""))
-    last = F.trim(F.element_at(F.split(text, "[.!?]\\s+"), -1))
-    return F.when(F.coalesce(text, F.lit("")) == "", "").when(named != "", named).otherwise(last)
-
-
-@query("R13_think_predict", "SELECT event_id AS id, CAST(i AS INTEGER) AS step, event_id % 50 + i * 0.5 AS time, (event_id % 900) / 1000.0 AS x1, CAST(i - 1 AS INTEGER) AS predicted FROM events, unnest(range(1, 3)) t(i)")
-def r13(spark, d):
-    e = F.col("event_id")
-    head = lambda i: F.concat(F.lit(f"Step {i}: ["), (e % 50 + i * 0.5).cast("string"), F.lit("s] it moves\nThink: ("), (e % 900).cast("string"), F.lit(",10),(950,990)\n"))
-    s = F.concat(head(1), head(2), F.lit("Predict: (1,2),(3,4)\nMotion: right"))
-    df = table(spark, d, "events").select(e.alias("id"), F.explode(think_predict(s)).alias("s"))
-    return df.select("id", "s.step", "s.time", F.get(F.get("s.think", F.lit(0)), F.lit(0)).alias("x1"), F.size("s.predict").alias("predicted"))
-
-
-@query("R14_R30_final_answer", "SELECT event_id AS id, CASE event_id % 3 WHEN 0 THEN 'cup ' || event_id WHEN 1 THEN 'then ' || event_id ELSE '' END AS answer FROM events")
-def r14(spark, d):
-    e = F.col("event_id")
-    s = F.when(e % 3 == 0, F.concat(F.lit("Look.\nFinal answer: cup "), e.cast("string"), F.lit("!!\nend"))).when(e % 3 == 1, F.concat(F.lit("First. then "), e.cast("string"))).otherwise("")
-    return table(spark, d, "events").select(e.alias("id"), final_answer(s).alias("answer"))
-
-
-@query("R15_W16_format_valid", "SELECT event_id AS id, event_id % 2 = 0 AS valid FROM events")
-def r15(spark, d):
-    e = F.col("event_id")
-    s = F.concat(F.lit("Step 1: [0.5–1.5] a <bbox>[1,2,3,4]</bbox> Step 2: "), F.when(e % 2 == 0, "[1.0–2.5]").otherwise("[2.5–1.0]"), F.lit(" b <bbox>[5,6,7,8]</bbox>"))
-    ok = lambda p: (P.interval(p)["start"] < P.interval(p)["end"]) & (F.size(P.boxes(p)) > 0)
-    steps = P.chain_steps(s)
-    return table(spark, d, "events").select(e.alias("id"), ((F.size(steps) > 0) & F.forall(steps, ok)).alias("valid"))
-
 
 @query("R16_claims_with_motion", "SELECT event_id AS id, 'User ' || user_id || '!' AS name, round(event_id % 60 + 0.5, 2) AS t FROM events WHERE event_id % 5 > 0 AND event_id % 7 > 0 AND floor(value) <= 90")
 def r16(spark, d):

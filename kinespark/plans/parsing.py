@@ -172,14 +172,6 @@ def r10(spark, d):
     return table(spark, d, "events").select(F.col("event_id").alias("id"), f["x0"].alias("x0"), f["velocity"].alias("velocity"), f["direction"].alias("direction"))
 
 
-@query("R11_R12_chain_steps", "SELECT event_id AS id, CAST(i AS INTEGER) AS step, 'look ' || (event_id * i) AS body FROM events, unnest(range(1, 3)) t(i) WHERE event_id % 2 = 0")
-def r12(spark, d):
-    e = F.col("event_id")
-    s = F.when(e % 2 == 0, F.concat(F.lit("intro Step 1: look "), e.cast("string"), F.lit(" STEP 2: look "), (e * 2).cast("string"))).otherwise("none")
-    df = table(spark, d, "events").select(e.alias("id"), F.posexplode(P.chain_steps(s)).alias("step", "body"))
-    return df.select("id", (F.col("step") + 1).alias("step"), "body")
-
-
 def _choices(spark, d):
     """Free answers in every form that the parsers know, and in some that they don't."""
     letter = F.element_at(F.array(*[F.lit(x) for x in "ABCD"]), (F.col("event_id") % 4 + 1).cast("int"))

@@ -71,13 +71,6 @@ def q10(spark, d):
     return answers(spark, d).select("id", Q.SCORES["format"](content=F.col("s"), task=task).alias("score"))
 
 
-@query("Q11_Q12_geometric", "SELECT l_orderkey AS ok, l_linenumber AS n, round(CASE WHEN l_returnflag = 'R' THEN 0 ELSE greatest(0, least(1, .25 * l_quantity / 50 + .15 * l_tax * 12 + .35 * l_discount * 10 + .20 * l_quantity / 50)) END, 6) AS score FROM lineitem")
-def q11(spark, d):
-    c = F.col
-    s = Q.geometric(c("l_quantity") / 50, c("l_tax") * 12, c("l_discount") * 10, c("l_quantity") / 50, c("l_returnflag") != "R")
-    return table(spark, d, "lineitem").select(c("l_orderkey").alias("ok"), c("l_linenumber").alias("n"), r6(s).alias("score"))
-
-
 @query("Q14_A07_scored_advantage", f"WITH {TXT}, s AS (SELECT x.id, e.user_id AS g, CASE WHEN x.id % 11 > 0 AND x.id % 4 = 1 THEN 1.0 ELSE 0.0 END + 0.5 * CASE WHEN x.id % 7 > 0 AND x.id % 60 + 0.5 BETWEEN 10 AND 40 THEN 1.0 ELSE 0.0 END AS r FROM x JOIN events e ON e.event_id = x.id) SELECT id, round(r, 6) AS total, round((r - avg(r) OVER w) / (stddev_samp(r) OVER w + 1e-4), 5) AS advantage FROM s WINDOW w AS (PARTITION BY g)")
 def q14(spark, d):
     Q.SCORES.setdefault("half_segment", Q.weighted("thk_temporal_segment", 0.5))
