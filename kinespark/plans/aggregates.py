@@ -93,29 +93,12 @@ def a13(spark, d):
     return df.groupingSets([[F.col("rf"), F.col("cls")], [F.col("cls")]], "rf", "cls").agg(F.format_string("%.3f", score).alias("score"))
 
 
-R1 = (0.3, 0.5, 0.7)
-
-
-@query("A14_chain_rollup", f"WITH {SC} " + GS.format(agg="round(avg(reward), 6) AS vqa, round(avg(a), 6) AS tiou, round(avg(b), 6) AS siou, " + ", ".join(f"round(avg(CAST(a >= {t} AS INTEGER)), 6) AS r1_{int(t * 10)}" for t in R1) + ", round(avg(CAST(reward >= 0.5 AND a >= 0.3 AND b >= 0.1 AS INTEGER)), 6) AS chain, round((avg(reward) + avg(a) + avg(b)) / 3, 6) AS am"))
-def a14(spark, d):
-    rate = lambda c: r6(F.avg(c.cast("double")))
-    a, b, v = F.col("a"), F.col("b"), F.col("reward")
-    return R.grouping_sets(scored(spark, d), list(DIMS), [r6(F.avg(v)).alias("vqa"), r6(F.avg(a)).alias("tiou"), r6(F.avg(b)).alias("siou"), *[rate(a >= t).alias(f"r1_{int(t * 10)}") for t in R1], rate((v >= 0.5) & (a >= 0.3) & (b >= 0.1)).alias("chain"), r6((F.avg(v) + F.avg(a) + F.avg(b)) / 3).alias("am")])
-
-
 @query("A15_log_gap_mean", f"WITH {SC}, g AS (SELECT rf, avg(reward) * .9 AS x, avg(a) * .9 AS y, avg(b) * .9 AS z FROM s GROUP BY rf) SELECT rf, round(-(ln(1 - x) + ln(1 - y) + ln(1 - z)) / 3, 6) AS lgm FROM g")
 def a15(spark, d):
     g = scored(spark, d).groupBy("rf").agg(*[(F.avg(c) * 0.9).alias(k) for c, k in (("reward", "x"), ("a", "y"), ("b", "z"))])
     return g.select("rf", r6(-(F.ln(1 - F.col("x")) + F.ln(1 - F.col("y")) + F.ln(1 - F.col("z"))) / 3).alias("lgm"))
 
 
-@query("A16_condition_index", f"WITH {SC} SELECT ok, string_agg(CAST(n AS VARCHAR), ',' ORDER BY n) FILTER (a > 0.5 AND b > 0.3) AS idx FROM s GROUP BY ok")
-def a16(spark, d):
-    lines = F.sort_array(F.collect_list(F.when((F.col("a") > 0.5) & (F.col("b") > 0.3), F.col("n"))))
-    df = scored(spark, d).groupBy("ok").agg(lines.alias("l"))
-    return df.select("ok", F.when(F.size("l") > 0, F.array_join(F.col("l").cast("array<string>"), ",")).alias("idx"))
-
-
 @query("A17_confusion", "SELECT l_returnflag AS gt, count(*) FILTER (l_linestatus = 'F') AS F, count(*) FILTER (l_linestatus = 'O') AS O FROM lineitem GROUP BY l_returnflag")
 def a17(spark, d):
     return table(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("gt")).pivot("l_linestatus", ["F", "O"]).count().na.fill(0)
@@ -184,11 +167,6 @@ def a32(spark, d):
     return g.agg(r6(F.avg("m")).alias("loss"))
 
 
-@query("A34_random_baseline", "SELECT round(avg(least(1.0, (l_quantity + 1) / 51)), 6) AS full_interval, 0.0::DOUBLE AS full_box FROM lineitem")
-def a34(spark, d):
-    return table(spark, d, "lineitem").agg(r6(F.avg(F.least(F.lit(1.0), (F.col("l_quantity") + 1) / 51))).alias("full_interval"), F.lit(0.0).alias("full_box"))
-
-
 @query("W13_cap_per_subset", "SELECT source, doc_id FROM documents QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id) <= 3")
 def w13(spark, d):
     return R.cap_per_group(table(spark, d, "documents").select("source", "doc_id"), "source", ["doc_id"], 3)
