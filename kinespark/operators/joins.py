@@ -49,6 +49,26 @@ def interval_join(points: DataFrame, spans: DataFrame, keys: list[str], t: str,
     return p.join(s, [*keys, "_slot"]).filter(F.col(t).between(F.col(start), F.col(end))).drop("_slot")
 
 
+def containing_join(points: DataFrame, spans: DataFrame, keys: list[str], t: str, start: str, end: str, unit: float = 1.0) -> DataFrame:
+    """Each point with the closed intervals of its keys (if any) that hold it, whatever the intervals' lengths.
+
+    An interval lies in the grid whose cells are the power of two of `unit` next above its length, where it touches two
+    cells at most; a point looks in one cell of each grid that its key has. So an interval makes two rows, a point as many
+    as there are powers, up to 64. Empty intervals and nulls hold nothing and are held by none.
+    """
+    keys, own = (keys, False) if keys else (["_every"], True)
+    if own:
+        points, spans = points.withColumn("_every", F.lit(0)), spans.withColumn("_every", F.lit(0))
+    power = F.greatest(F.lit(0), F.ceil(F.log2(F.greatest((F.col(end) - F.col(start)) / unit, F.lit(1.0))))).cast("int")
+    cell = lambda x: F.floor(F.col(x) / (F.lit(unit) * F.pow(F.lit(2.0), F.col("_power"))))
+    s = spans.filter(F.col(start) <= F.col(end)).withColumn("_power", power)
+    s = s.withColumn("_cell", F.explode(F.array_distinct(F.array(cell(start), cell(end)))))
+    grids = s.groupBy(*keys).agg(F.collect_set("_power").alias("_powers"))
+    p = points.filter(F.col(t).isNotNull()).join(grids, keys).withColumn("_power", F.explode("_powers")).drop("_powers")
+    p = p.withColumn("_cell", cell(t))
+    return p.join(s, [*keys, "_power", "_cell"]).filter(F.col(t).between(F.col(start), F.col(end))).drop("_power", "_cell", *(["_every"] if own else []))
+
+
 def first_existing(wanted: DataFrame, key: str, candidates: list[Column], listing: DataFrame, path: str = "path") -> DataFrame:
     """Each key with the first of its candidate paths that the listing has; null if it has none."""
     tries = wanted.select(key, F.posexplode(F.array(*candidates)).alias("_k", path)).join(listing.select(path).distinct(), path, "left_semi")

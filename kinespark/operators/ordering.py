@@ -62,3 +62,15 @@ def chunked(held: DataFrame, chunks: int, rule: str = "remainder", name: str = "
     else:
         chunk = F.least(k - 1, F.floor(at / F.greatest(small, F.lit(1))))
     return out.withColumn(name, chunk.cast("int")).drop("_one", "_total")
+
+
+def pieces(df: DataFrame, keys: list[str], order: list[Column], size: int, **options) -> DataFrame:
+    """df with `piece` (from 0) and `place` in it (from 0): runs of up to `size` rows of each key's rows in order.
+
+    Rows are numbered over all keys at once, so a key with many rows is spread over as many partitions as they fill.
+    """
+    held = numbered(df, [*[F.col(k) for k in keys], *order], "_number", **options)
+    first = held.groupBy(*keys).agg(F.min("_number").alias("_first"))
+    same = [F.col(f"h.{k}").eqNullSafe(F.col(f"f.{k}")) for k in keys]
+    out = held.alias("h").join(first.alias("f"), same).select("h.*", (F.col("_number") - F.col("_first")).alias("_at"))
+    return out.withColumns({"piece": F.expr(f"_at div {size}"), "place": (F.col("_at") % size).cast("int")}).drop("_number", "_at")

@@ -3,7 +3,10 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from kinespark.operators import benchmarks as B
+from kinespark.operators import ordering
 from kinespark.operators import rollup as R
+from kinespark.sources.shared import shared_path
 from kinespark.sources.tables import OBS, observations, table
 
 from .registry import query
@@ -12,10 +15,14 @@ r6 = lambda c: F.round(c, 6)
 n_ = lambda: F.count(F.lit(1))
 
 
-@query("A01_trajectory_build", f"WITH {OBS} SELECT obj, kind, string_agg(CAST(ord AS VARCHAR), ',' ORDER BY t, ord) AS track FROM obs GROUP BY obj, kind")
+PIECE = 32
+
+
+@query("A01_trajectory_build", f"WITH {OBS}, p AS (SELECT *, (row_number() OVER (PARTITION BY obj, kind ORDER BY t, ord) - 1) // {PIECE} AS piece FROM obs) SELECT obj, kind, piece, string_agg(CAST(ord AS VARCHAR), ',' ORDER BY t, ord) AS track FROM p GROUP BY obj, kind, piece")
 def a01(spark, d):
-    df = observations(spark, d).groupBy("obj", "kind").agg(F.sort_array(F.collect_list(F.struct("t", "ord"))).alias("s"))
-    return df.select("obj", "kind", F.array_join(F.transform("s", lambda x: x["ord"].cast("string")), ",").alias("track"))
+    held = ordering.pieces(observations(spark, d), ["obj", "kind"], [F.col("t"), F.col("ord")], PIECE)
+    df = held.groupBy("obj", "kind", "piece").agg(F.sort_array(F.collect_list(F.struct("place", "ord"))).alias("s"))
+    return df.select("obj", "kind", "piece", F.array_join(F.transform("s", lambda x: x["ord"].cast("string")), ",").alias("track"))
 
 
 SOURCES = "SELECT source, count(l.doc_id) AS found, count(*) - count(l.doc_id) AS missing FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id GROUP BY source"
@@ -86,11 +93,29 @@ def a12(spark, d):
     return scored(spark, d).rollup("rf").agg(F.round(F.avg((F.col("a") > 0.5).cast("double")), 5).alias("accuracy"), n_().alias("n"))
 
 
-@query("A13_cube_slice", f"WITH {SC}, x AS (SELECT ok, n, a, rf, unnest([ls, 'L' || (n % 2)]) AS cls FROM s) SELECT rf, cls, printf('%.3f', avg(a) FILTER (a >= 0.1)) AS score FROM x GROUP BY GROUPING SETS ((rf, cls), (cls))")
+SLICES = ["rf", "ls", "dom", "grade"]
+RATED = f"WITH {SC}, y AS (SELECT CASE WHEN n % 4 = 0 THEN -1 ELSE a END AS v, CAST(n AS VARCHAR) AS dur, rf, ls, dom, CASE WHEN reward > 0.5 THEN 'high' END AS grade, ['odd' || (n % 2), 'x' || (ok % 3)] AS cls FROM s), e AS (SELECT dur, v, 'overall' AS slice, NULL AS value FROM y " + " ".join(f"UNION ALL SELECT dur, v, '{c}', {c} FROM y" for c in SLICES) + " UNION ALL SELECT dur, v, 'cls', unnest(cls) FROM y) SELECT coalesce(dur, 'overall') AS dur, slice, {value} AS value, CASE WHEN count(*) FILTER (v >= 0) = 0 THEN 'nan' ELSE printf('%.3f', avg(v) FILTER (v >= 0)) END AS rating FROM e GROUP BY GROUPING SETS ((dur, slice, value), (slice, value))"
+
+
+def _rated(spark, d):
+    n = F.col("n")
+    df = scored(spark, d).withColumns({"v": F.when(n % 4 == 0, F.lit(-1.0)).otherwise(F.col("a")), "dur": n.cast("string"), "grade": F.when(F.col("reward") > 0.5, "high")})
+    df = df.withColumn("cls", F.array(F.concat(F.lit("odd"), (n % 2).cast("string")), F.concat(F.lit("x"), (F.col("ok") % 3).cast("string"))))
+    return B.ratings(df, "dur", SLICES, "cls", "v")
+
+
+@query("A13_ratings_by_slice", RATED.replace("{value}", "value"))
 def a13(spark, d):
-    df = scored(spark, d).withColumn("cls", F.explode(F.array("ls", F.concat(F.lit("L"), (F.col("n") % 2).cast("string")))))
-    score = F.avg(F.when(F.col("a") >= 0.1, F.col("a")))
-    return df.groupingSets([[F.col("rf"), F.col("cls")], [F.col("cls")]], "rf", "cls").agg(F.format_string("%.3f", score).alias("score"))
+    return _rated(spark, d)
+
+
+@query("K04_rating_report", RATED.replace("{value}", "coalesce(value, '')"))
+def k04(spark, d):
+    path = shared_path(spark, "rating")
+    B.rating_report(_rated(spark, d), "dur").write.json(path)
+    held = spark.read.schema("dur string, report string").json(path)
+    held = held.select("dur", F.explode(F.from_json("report", "map<string,map<string,string>>")).alias("slice", "m"))
+    return held.select("dur", "slice", F.explode("m").alias("value", "rating"))
 
 
 @query("A15_log_gap_mean", f"WITH {SC}, g AS (SELECT rf, avg(reward) * .9 AS x, avg(a) * .9 AS y, avg(b) * .9 AS z FROM s GROUP BY rf) SELECT rf, round(-(ln(1 - x) + ln(1 - y) + ln(1 - z)) / 3, 6) AS lgm FROM g")
@@ -147,13 +172,22 @@ def a25(spark, d):
     return df.select("conv_id", "turn", F.size("a").alias("na"), F.size(F.array_intersect("a", "b")).alias("both"), F.size(F.array_union("a", "b")).alias("either"))
 
 
-@query("A29_A30_histograms", "SELECT CASE WHEN x > 0.01 THEN 'faster' WHEN x < -0.01 THEN 'slower' ELSE 'steady' END AS sign, count(*) AS n FROM (SELECT TRY_CAST(regexp_extract('accel: ' || printf('%+.3f', (value - 50) / 1000) || ' units', 'accel: ([+-][0-9.]+)', 1) AS DOUBLE) AS x FROM events) GROUP BY 1")
+@query("A29_sign_histogram", "SELECT CASE WHEN x > 0.01 THEN 'faster' WHEN x < -0.01 THEN 'slower' ELSE 'steady' END AS sign, count(*) AS n FROM (SELECT TRY_CAST(regexp_extract('accel: ' || printf('%+.3f', (value - 50) / 1000) || ' units', 'accel: ([+-][0-9.]+)', 1) AS DOUBLE) AS x FROM events) GROUP BY 1")
 def a29(spark, d):
     text = F.concat(F.lit("accel: "), F.format_string("%+.3f", (F.col("value") - 50) / 1000), F.lit(" units"))
     x = F.regexp_extract(text, "accel: ([+-][0-9.]+)", 1).cast("double")
     return table(spark, d, "events").groupBy(F.when(x > 0.01, "faster").when(x < -0.01, "slower").otherwise("steady").alias("sign")).agg(n_().alias("n"))
 
 
+@query("A30_tag_quality", "SELECT count(*) AS samples, count(*) FILTER (event_id % 7 > 0 AND event_id % 5 > 0) AS with_motion, sum(CASE WHEN event_id % 7 > 0 THEN event_id % 5 ELSE 0 END)::BIGINT AS tags, sum(CASE WHEN event_id % 7 IN (1, 2) THEN event_id % 5 ELSE 0 END)::BIGINT AS single_frame, sum(CASE WHEN event_id % 7 = 3 THEN event_id % 5 ELSE 0 END)::BIGINT AS stationary, sum(CASE WHEN event_id % 7 > 3 THEN event_id % 5 ELSE 0 END)::BIGINT AS moving FROM events")
+def a30(spark, d):
+    e = F.col("event_id")
+    said = F.when(e % 7 == 1, "stationary (single frame)").when(e % 7 == 2, "single frame").when(e % 7 == 3, "stationary (no significant motion)").otherwise("rightward motion")
+    tags = F.repeat(F.concat(F.lit("then <motion>"), said, F.lit("</motion> ")), (e % 5).cast("int"))
+    text = F.when(e % 7 > 0, F.concat(F.lit("<motion></motion> "), tags, F.lit("<motion>not < closed")))
+    return table(spark, d, "events").agg(*B.tag_quality(text))
+
+
 @query("A31_A33_batch_summary", f"WITH {SC} SELECT round(avg(reward), 6) AS mean, count(*) FILTER (reward > 0) AS positive, round(avg(reward) FILTER (reward > 0), 6) AS mean_positive FROM s")
 def a33(spark, d):
     pos = F.col("reward") > 0

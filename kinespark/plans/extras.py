@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from kinespark.functions import geometry as G
 from kinespark.functions import parse as P
+from kinespark.operators import ordering
 from kinespark.sources.tables import OBS, observations, table
 
 from .parsing import answers
@@ -56,10 +57,11 @@ def x01(spark, d):
     return f.select("obj", F.when(F.abs("dx") >= F.abs("dy"), "horizontal").otherwise("vertical").alias("axis"), F.round(F.sqrt(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy")), 5).alias("net"))
 
 
-@query("X02_track_path", f"WITH {OBS} SELECT obj, kind, string_agg(CAST(CAST(floor(x) AS INTEGER) AS VARCHAR), '→' ORDER BY t, ord) AS path FROM obs GROUP BY obj, kind")
+@query("X02_track_path", f"WITH {OBS}, p AS (SELECT *, (row_number() OVER (PARTITION BY obj, kind ORDER BY t, ord) - 1) // 32 AS piece FROM obs) SELECT obj, kind, piece, string_agg(CAST(CAST(floor(x) AS INTEGER) AS VARCHAR), '→' ORDER BY t, ord) AS path FROM p GROUP BY obj, kind, piece")
 def x02(spark, d):
-    df = observations(spark, d).groupBy("obj", "kind").agg(F.sort_array(F.collect_list(F.struct("t", "ord", "x"))).alias("s"))
-    return df.select("obj", "kind", F.array_join(F.transform("s", lambda p: F.floor(p["x"]).cast("int").cast("string")), "→").alias("path"))
+    held = ordering.pieces(observations(spark, d), ["obj", "kind"], [F.col("t"), F.col("ord")], 32)
+    df = held.groupBy("obj", "kind", "piece").agg(F.sort_array(F.collect_list(F.struct("place", "x"))).alias("s"))
+    return df.select("obj", "kind", "piece", F.array_join(F.transform("s", lambda p: F.floor(p["x"]).cast("int").cast("string")), "→").alias("path"))
 
 
 @query("X03_task_counts", "SELECT lang, source, count(*) AS n FROM documents GROUP BY lang, source")

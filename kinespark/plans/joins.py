@@ -65,11 +65,17 @@ def j05(spark, d):
 WIN = OBS + ", w AS (SELECT obj, min(t) + 86400 * 3 AS a, max(t) - 86400 * 3 AS b FROM obs GROUP BY obj)"
 
 
-@query("J06_interval_containment", f"WITH {WIN} SELECT obj, round(avg(CASE WHEN t BETWEEN a AND b THEN 1.0 ELSE 0 END), 6) AS inside FROM obs JOIN w USING (obj) GROUP BY obj")
+SPANS = "sp AS (SELECT o_orderkey AS k, o_custkey % 5 AS g, epoch_us(o_orderdate) / 1000000.0 AS a, epoch_us(o_orderdate) / 1000000.0 + (o_orderkey % 3000 - 100) * (o_orderkey % 3000) AS b FROM orders WHERE o_orderkey % 3 > 0)"
+
+
+@query("J06_interval_containment", f"WITH {SPANS}, po AS (SELECT o_custkey % 5 AS g, epoch_us(o_orderdate) / 1000000.0 AS t FROM orders WHERE o_orderkey % 3 = 0) SELECT k, count(*) AS inside, round(avg(t - a), 3) AS mean_offset FROM po JOIN sp ON po.g = sp.g AND t BETWEEN a AND b GROUP BY k")
 def j06(spark, d):
-    obs = observations(spark, d)
-    w = obs.groupBy("obj").agg((F.min("t") + 86400 * 3).alias("a"), (F.max("t") - 86400 * 3).alias("b"))
-    return obs.join(w, "obj").groupBy("obj").agg(r6(F.avg(F.col("t").between(F.col("a"), F.col("b")).cast("double"))).alias("inside"))
+    # Spans from seconds to months, some of them empty; the reward's hits of a span are its points.
+    orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), (F.col("o_custkey") % 5).alias("g"), seconds("o_orderdate").alias("t"))
+    length = ((F.col("k") % 3000 - 100) * (F.col("k") % 3000)).cast("double")
+    spans = orders.filter(F.col("k") % 3 > 0).select("k", "g", F.col("t").alias("a"), (F.col("t") + length).alias("b"))
+    met = J.containing_join(orders.filter(F.col("k") % 3 == 0).select("g", "t"), spans, ["g"], "t", "a", "b")
+    return met.groupBy("k").agg(F.count(F.lit(1)).alias("inside"), F.round(F.avg(F.col("t") - F.col("a")), 3).alias("mean_offset"))
 
 
 @query("J07_interval_join", f"WITH {WIN} SELECT ord, CAST(least(floor((t - a) / (b - a) * 16), 15) AS INTEGER) AS idx FROM obs JOIN w USING (obj) WHERE t BETWEEN a AND b")

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from kinespark.functions import parse as P
 from kinespark.functions import text as X
+from kinespark.operators import benchmarks as B
 from kinespark.sources.tables import table
 
 from .registry import query
@@ -226,10 +227,16 @@ def r23(spark, d):
     return table(spark, d, "events").select(F.col("event_id").alias("id"), F.array_join(P.numbers(s), "|").alias("numbers"))
 
 
-@query("R26_repaired_boxes")
+CUT = "Boxes: {\"1\": [1, 2, 3, D], 'b': [5, 6, 7, D]}, so"
+
+
+@query("R26_repaired_boxes", "SELECT event_id AS id, CASE WHEN event_id % 60 >= 24 THEN event_id % 10 END::DOUBLE AS one, CASE WHEN event_id % 60 >= 43 THEN event_id % 10 END::DOUBLE AS two FROM events")
 def r26(spark, d):
-    s = F.concat(F.lit("Here: {'"), (F.col("event_id") % 9).cast("string"), F.lit("': [1, 2, 3, "), F.floor("value").cast("int").cast("string"), F.lit("]"))
-    return table(spark, d, "events").select(F.col("event_id").alias("id"), P.repaired_boxes_udf(s).cast("string").alias("boxes"))
+    # A text of two boxes that breaks off anywhere; the last number of each stands at its 24th and 43rd character.
+    e = F.col("event_id")
+    s = F.substring(F.replace(F.lit(CUT), F.lit("D"), (e % 10).cast("string")), F.lit(1), (e % 60).cast("int"))
+    found = table(spark, d, "events").select(e.alias("id"), P.repaired_boxes_udf(s).alias("b"))
+    return found.select("id", F.get(F.try_element_at("b", F.lit("1")), F.lit(3)).alias("one"), F.get(F.try_element_at("b", F.lit("b")), F.lit(3)).alias("two"))
 
 
 @query("R29_option_map", "SELECT c_custkey AS k, 'B' AS letter, c_mktsegment AS option FROM customer")
@@ -266,11 +273,17 @@ def p07(spark, d):
     return table(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("rf")).agg(r6(F.avg(F.when(F.col("l_linenumber") >= 2, F.col("l_quantity")))).alias("mean"))
 
 
-@query("P08_category_alias", "SELECT doc_id FROM documents WHERE lang IN ('en', 'de')")
+ALIASES = {"ENGLISH": "en", "CAR": "AUTOMOBILE"}
+
+
+@query("P08_category_resolution", "WITH c AS (SELECT c_mktsegment AS category, min(c_custkey) AS place FROM customer GROUP BY 1), r AS (SELECT c_custkey AS k, CASE c_custkey % 6 WHEN 0 THEN c_mktsegment WHEN 1 THEN 'cAr' WHEN 2 THEN lower(substr(c_mktsegment, 2, 3)) WHEN 3 THEN 'none' WHEN 4 THEN 'E' ELSE '' END AS name FROM customer) SELECT k, coalesce((SELECT category FROM c WHERE category = name), CASE upper(name) WHEN 'CAR' THEN 'AUTOMOBILE' WHEN 'ENGLISH' THEN 'en' END, (SELECT min_by(category, place) FROM c WHERE contains(lower(category), lower(name))), name) AS category FROM r")
 def p08(spark, d):
-    known, alias = ["de", "en", "es", "fr"], {"ENGLISH": "en"}
-    wanted = [next((k for k in known if k == w), alias.get(w.upper()) or next((k for k in known if k in w.lower()), w)) for w in ("english", "xx-de")]
-    return table(spark, d, "documents").filter(F.col("lang").isin(*wanted)).select("doc_id")
+    c = table(spark, d, "customer")
+    known = c.groupBy(F.col("c_mktsegment").alias("category")).agg(F.min("c_custkey").alias("place"))
+    k = F.col("c_custkey") % 6
+    name = F.when(k == 0, F.col("c_mktsegment")).when(k == 1, "cAr").when(k == 2, F.lower(F.substring("c_mktsegment", 2, 3))).when(k == 3, "none").when(k == 4, "E").otherwise("")
+    asked = c.select(F.col("c_custkey").alias("k"), name.alias("name"))
+    return B.resolved(asked, "name", known, ALIASES).select("k", "category")
 
 
 @query("P13_P14_messages", "SELECT conv_id, turn, CASE role WHEN 'user' THEN '[user] ' || text ELSE '<think></think>' || chr(10) || '<answer>' || text || '</answer>' END AS message FROM conversations")

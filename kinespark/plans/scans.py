@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from kinespark.operators import benchmarks as B
 from kinespark.sources import readers as R
 from kinespark.sources.shared import shared_path
 from kinespark.sources.tables import table
@@ -43,14 +44,24 @@ def s06(spark, d):
     return R.union_of(spark, paths, SCHEMA, "part").select("part", "k")
 
 
-@query("S08_nested_records", "SELECT conv_id AS key, upper(role) AS answer, turn FROM conversations WHERE role = 'user' AND text <> ''")
+S08 = """WITH q AS (SELECT conv_id, turn, role, CASE turn % 4 WHEN 0 THEN 'NA' WHEN 1 THEN ' b ' WHEN 2 THEN '' ELSE 'nA' || turn END AS answer, CASE WHEN turn % 5 > 0 THEN printf('What of %d?\n A. this\nB.that %d\nand more', conv_id, turn) ELSE '' END AS question FROM conversations)
+SELECT conv_id AS key, CAST(turn AS VARCHAR) AS uid, CASE WHEN conv_id % 4 = 3 THEN 'v' || conv_id ELSE conv_id || '.mp4' END AS video, printf('What of %d?\nand more', conv_id) AS question, 'A:this|B:that ' || turn AS options, upper(trim(answer)) AS answer FROM q WHERE conv_id % 3 <> 1 AND question <> '' AND answer <> '' AND upper(answer) <> 'NA'"""
+
+
+@query("S08_nested_records", S08)
 def s08(spark, d):
     path = scratch(spark, "meta.jsonl")
-    qa = F.collect_list(F.struct("turn", F.col("role").alias("answer"), F.col("text").alias("question")))
-    R.dump(table(spark, d, "conversations").groupBy(F.col("conv_id").alias("key")).agg(qa.alias("qa")), path)
-    df = R.load(spark, path, "key bigint, qa array<struct<turn: bigint, answer: string, question: string>>")
-    df = df.select("key", F.explode("qa").alias("q")).filter((F.col("q.answer") == "user") & (F.col("q.question") != ""))
-    return df.select("key", F.upper("q.answer").alias("answer"), "q.turn")
+    t, k = F.col("turn"), F.col("conv_id")
+    answer = F.when(t % 4 == 0, "NA").when(t % 4 == 1, " b ").when(t % 4 == 2, "").otherwise(F.concat(F.lit("nA"), t.cast("string")))
+    question = F.when(t % 5 > 0, F.format_string("What of %d?\n A. this\nB.that %d\nand more", k, t)).otherwise("")
+    qa = F.collect_list(F.struct(t.cast("string").alias("uid"), answer.alias("answer"), question.alias("question")))
+    kinds = F.when(k % 3 == 0, "MR").when(k % 3 == 1, "AO").otherwise("RC")
+    # A conversation has few turns.
+    R.dump(table(spark, d, "conversations").groupBy(k.cast("string").alias("key"), kinds.alias("question_type"), F.when(k % 4 == 3, F.concat(F.lit("v"), k.cast("string"))).alias("video_path")).agg(qa.alias("qa")), path)
+    df = R.load(spark, path, "key string, question_type string, video_path string, qa array<struct<uid: string, answer: string, question: string>>")
+    df = B.questions(df, ["MR", "RC"])
+    options = F.array_join(F.transform("options", lambda o: F.concat(o["letter"], F.lit(":"), o["text"])), "|")
+    return df.select(F.col("key").cast("bigint").alias("key"), "uid", "video", "question", options.alias("options"), "answer")
 
 
 @query("S12_subtitles", "SELECT page_id AS id, page_id % 60 + 0.5 AS start, page_id % 60 + 62.0 AS \"end\", 'hello ' || page_id || ' there' AS text FROM pages")
