@@ -29,12 +29,6 @@ def r24(spark, d):
     return table(spark, d, "events").select(e.alias("id"), F.when(number.isNotNull(), F.format_string("%.2f", number)).otherwise(text).alias("answer"))
 
 
-@query("R27_visual_steps", "SELECT event_id AS id, CAST(CASE WHEN event_id % 7 = 0 THEN 3 ELSE 3 END AS INTEGER) AS parts FROM events")
-def r27(spark, d):
-    # Splitting beside a tag keeps it: one part before, the mention, and what follows.
-    return answers(spark, d).select("id", F.size(F.split("s", "(?=<obj>)|(?<=</obj>)")).alias("parts"))
-
-
 @query("T18_motion_sentence", "WITH v AS (SELECT event_id AS id, (value - 50) / 1000 AS x, (event_id % 60 - 30) / 1000.0 AS y, value FROM events) SELECT id, CASE WHEN sqrt(x*x + y*y) < 0.01 THEN 'stationary (no significant motion)' ELSE (CASE WHEN abs(x) > 0.02 AND abs(y) > 0.02 THEN (CASE WHEN y < 0 THEN 'up' ELSE 'down' END) || '-' || (CASE WHEN x < 0 THEN 'left' ELSE 'right' END) WHEN abs(x) > abs(y) THEN CASE WHEN x < 0 THEN 'leftward' ELSE 'rightward' END ELSE CASE WHEN y < 0 THEN 'upward' ELSE 'downward' END END) || printf(' motion (speed: %.3f units/s, ', value / 7.3) || CASE WHEN value / 100 > 0.9 THEN 'smooth' WHEN value / 100 > 0.7 THEN 'jerky' ELSE 'erratic' END || ')' END AS s FROM v")
 def t18(spark, d):
     x, y, score = (F.col("value") - 50) / 1000, (F.col("event_id") % 60 - 30) / 1000.0, F.col("value") / 100
@@ -44,12 +38,6 @@ def t18(spark, d):
     return table(spark, d, "events").select(F.col("event_id").alias("id"), s.alias("s"))
 
 
-@query("P26_P27_prompts", "SELECT p_partkey AS k, printf('The video lasts %.2f seconds at %dx%d. When does it happen?', p_size * 0.37, 640, 360) AS prompt FROM part")
-def p26(spark, d):
-    s = F.format_string("The video lasts %.2f seconds at %dx%d. When does it happen?", F.col("p_size") * 0.37, F.lit(640), F.lit(360))
-    return table(spark, d, "part").select(F.col("p_partkey").alias("k"), s.alias("prompt"))
-
-
 @query("X01_track_summary", f"WITH {OBS}, f AS (SELECT obj, last(x ORDER BY t, ord) - first(x ORDER BY t, ord) AS dx, last(y ORDER BY t, ord) - first(y ORDER BY t, ord) AS dy FROM obs GROUP BY obj) SELECT obj, CASE WHEN abs(dx) >= abs(dy) THEN 'horizontal' ELSE 'vertical' END AS axis, round(sqrt(dx * dx + dy * dy), 5) AS net FROM f")
 def x01(spark, d):
     order = F.struct("t", "ord")

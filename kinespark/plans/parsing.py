@@ -246,12 +246,6 @@ def r29(spark, d):
     return table(spark, d, "customer").select(F.col("c_custkey").alias("k"), F.lit("B").alias("letter"), F.element_at(F.map_from_arrays(letters, options), "B").alias("option"))
 
 
-@query("R31_P03_checklist", f"WITH {TXT} SELECT id, s LIKE '%<obj>%' AND s LIKE '%<box>%' AND s LIKE '%<answer>%' AS grounded, regexp_matches(s, '<motion[ >]') AS motion FROM x")
-def r31(spark, d):
-    s = F.col("s")
-    return answers(spark, d).select("id", (s.contains("<obj>") & s.contains("<box>") & s.contains("<answer>")).alias("grounded"), s.rlike("<motion[ >]").alias("motion"))
-
-
 @query("P01_P02_eligible", "SELECT event_id AS id FROM events WHERE event_type IN ('click', 'purchase') AND length(props) > 0")
 def p01(spark, d):
     return table(spark, d, "events").filter(F.col("event_type").isin("click", "purchase") & (F.length("props") > 0)).select(F.col("event_id").alias("id"))
@@ -286,20 +280,13 @@ def p08(spark, d):
     return B.resolved(asked, "name", known, ALIASES).select("k", "category")
 
 
-@query("P13_P14_messages", "SELECT conv_id, turn, CASE role WHEN 'user' THEN '[user] ' || text ELSE '<think></think>' || chr(10) || '<answer>' || text || '</answer>' END AS message FROM conversations")
-def p13(spark, d):
-    head = F.col("text")
-    message = F.when(F.col("role") == "user", F.concat(F.lit("[user] "), head)).otherwise(F.concat(F.lit("<think></think>\n<answer>"), head, F.lit("</answer>")))
-    return table(spark, d, "conversations").select("conv_id", "turn", message.alias("message"))
-
-
 @query("P15_P16_P19_frame_prompt", "SELECT p_partkey AS k, array_to_string(list_transform(range(0, p_size % 4 + 1), lambda i: printf('Frame %d at t=%.2fs', i + 1, i * 2.0)), chr(10)) AS prompt FROM part")
 def p15(spark, d):
     frames = F.transform(F.sequence(F.lit(0), F.col("p_size") % 4), lambda i: F.format_string("Frame %d at t=%.2fs", i + 1, i * F.lit(2.0)))
     return table(spark, d, "part").select(F.col("p_partkey").alias("k"), F.array_join(frames, "\n").alias("prompt"))
 
 
-@query("P17_P23_P24_options", "SELECT c_custkey AS k, '(A) ' || c_name || chr(10) || '(B) ' || c_mktsegment AS prompt FROM customer")
+@query("P17_P23_options", "SELECT c_custkey AS k, '(A) ' || c_name || chr(10) || '(B) ' || c_mktsegment AS prompt FROM customer")
 def p17(spark, d):
     lines = F.transform(F.array("c_name", "c_mktsegment"), lambda o, i: F.concat(F.lit("("), F.char(65 + i), F.lit(") "), o))
     return table(spark, d, "customer").select(F.col("c_custkey").alias("k"), F.array_join(lines, "\n").alias("prompt"))

@@ -86,7 +86,7 @@ def s17(spark, d):
     return by.join(total, "one").select("lang", "n", F.round(100.0 * F.col("n") / F.col("total"), 2).alias("pct"))
 
 
-@query("S20_S21_routing", "SELECT doc_id, CASE source WHEN 'src1' THEN '/first' WHEN 'src2' THEN '/second' ELSE '/rest' END || '/' || lang AS root FROM documents")
+@query("S20_routing", "SELECT doc_id, CASE source WHEN 'src1' THEN '/first' WHEN 'src2' THEN '/second' ELSE '/rest' END || '/' || lang AS root FROM documents")
 def s20(spark, d):
     return table(spark, d, "documents").select("doc_id", F.concat_ws("/", R.route(F.col("source"), {"src1": "/first", "src2": "/second"}, {"src": "/rest"}), "lang").alias("root"))
 

@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from kinespark.plans import aggregates, evidence, extras, files, geometry, grounding, joins, parsing, scores, scans  # noqa: F401  they register
+from kinespark.plans import aggregates, evidence, extras, files, geometry, grounding, joins, parsing, prompts, scores, scans  # noqa: F401  they register
 from kinespark.plans.registry import ORACLE_SQL, QUERIES  # noqa: F401
