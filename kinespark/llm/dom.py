@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,7 +18,8 @@ TABLE = 4_000_000
 #: An element that opens closes those still open, up to the barrier.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)([^>\"']*(?:(?:\"[^\"]*\"|'[^']*')[^>\"']*)*)>", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)", re.S)
+_STOP = re.compile("[>\"']")
 _ATTRIBUTE = re.compile(r"([A-Za-z_:][-\w:.]*)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))|([A-Za-z_:][-\w:.]*)")
 _ENDS = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in RAW}
 _NAMED = re.compile("class|id|role|label|hidden|style", re.I)
@@ -36,55 +38,86 @@ class Node:
         return self.kids
 
 
+def _tag_end(page: str, at: int, ended: dict[str, int]) -> int:
+    """Past the `>` of a tag that goes on at `at`, outside of quotes; -1 if there is none. A quote that is never closed
+    is a character like others; `ended` holds from where on a page has no more quotes of a kind."""
+    while m := _STOP.search(page, at):
+        if m[0] == ">":
+            return m.end()
+        at = m.end()
+        close = -1 if ended.get(m[0], at) < at else page.find(m[0], at)
+        if close < 0:
+            ended[m[0]] = min(ended.get(m[0], at), m.start())
+        else:
+            at = close + 1
+    return -1
+
+
+class _Open:
+    """The open elements from the page down, and where those of each tag and all blocks stand among them."""
+
+    def __init__(self, root: Node):
+        self.path, self.at, self.blocks = [root], {}, []
+
+    def push(self, node: Node) -> None:
+        self.at.setdefault(node.tag, []).append(len(self.path))
+        if node.tag in BLOCKS:
+            self.blocks.append(len(self.path))
+        self.path.append(node)
+
+    def cut(self, place: int) -> None:
+        """Closes the element at a place and those within."""
+        while len(self.path) > place:
+            node = self.path.pop()
+            self.at[node.tag].pop()
+            if node.tag in BLOCKS:
+                self.blocks.pop()
+
+    def outermost(self, tags: set[str], barrier: set[str]) -> int | None:
+        """The place of the outermost element of `tags` within the innermost of `barrier`."""
+        floor = max((x[-1] for t in barrier if (x := self.at.get(t))), default=0)
+        found = [x[k] for t in tags if (x := self.at.get(t)) and (k := bisect_right(x, floor)) < len(x)]
+        return min(found, default=None)
+
+
 def parse(page: str) -> Node:
-    """The tree of a page. Missing end tags are supplied as browsers do; raw elements keep no text.
+    """The tree of a page, in time linear in its length. Missing end tags are supplied as browsers do; raw elements keep no text.
 
     A node's key stands for all text below it, its shape for the elements: equal keys, equal texts.
     """
     root = Node("#page")
-    every = [root]
-    node, at, size = root, 0, len(page)
-    token = _TOKEN
+    every, held, ended = [root], _Open(root), {}
+    at, size = 0, len(page)
+    last = page.rfind(">")  # no tag ends beyond
     while at < size:
-        m = token.search(page, at)
-        if m is None:
+        node = held.path[-1]
+        m = _TOKEN.search(page, at) if at <= last or page.find("<!--", at) >= 0 else None
+        end = -1 if m is None else m.end() if m[2] is None else _tag_end(page, m.end(), ended)
+        if end < 0:
             node.children.append(page[at:])
             break
         if m.start() > at:
             node.children.append(page[at : m.start()])
-        at = m.end()
+        at = end
         tag = m[2]
         if tag is None:
             continue
-        tag = tag.lower()
+        tag, rest = tag.lower(), page[m.end() : end - 1]
         if m[1]:
-            up = node
-            while up is not root and up.tag != tag:
-                up = up.parent
-            if up is not root:
-                node = up.parent
+            if places := held.at.get(tag):
+                held.cut(places[-1])
             elif tag == "p":
                 node.children.append(Node("p", parent=node))
             continue
-        if tag in BLOCKS and tag != "html" and tag != "body":
+        if tag in BLOCKS and tag != "html" and tag != "body" and held.blocks and held.path[held.blocks[-1]].tag == "p":
             # A block ends an open paragraph, with the inline elements left open in it.
-            up = node
-            while up is not root and up.tag not in BLOCKS:
-                up = up.parent
-            if up.tag == "p":
-                node = up.parent
-        if tag in CLOSES:
-            ends, barrier = CLOSES[tag]
-            up, last = node, None
-            while up is not root and up.tag not in barrier:
-                if up.tag in ends:
-                    last = up
-                up = up.parent
-            if last is not None:
-                node = last.parent
+            held.cut(held.blocks[-1])
+        if tag in CLOSES and (place := held.outermost(*CLOSES[tag])) is not None:
+            held.cut(place)
+        node = held.path[-1]
         names, hidden = "", False
-        if m[3] and _NAMED.search(m[3]):
-            for a in _ATTRIBUTE.finditer(m[3]):
+        if rest and _NAMED.search(rest):
+            for a in _ATTRIBUTE.finditer(rest):
                 key = (a[1] or a[5]).lower()
                 value = next((v for v in a.groups()[1:4] if v is not None), "")
                 if key in ("class", "id", "role", "aria-label"):
@@ -92,19 +125,19 @@ def parse(page: str) -> Node:
                 elif key == "hidden" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
                     hidden = True
         if tag in RAW:
-            end = _ENDS[tag].search(page, at)
+            close = _ENDS[tag].search(page, at)
             child = Node(tag, names, node, tag != "xmp")
             if tag == "xmp":  # shown as it stands
-                child.children.append((page[at : end.start()] if end else page[at:]).replace("&", "&amp;"))
-            at = end.end() if end else size
+                child.children.append((page[at : close.start()] if close else page[at:]).replace("&", "&amp;"))
+            at = close.end() if close else size
             node.children.append(child)
             every.append(child)
             continue
         child = Node(tag, names, node, hidden)
         node.children.append(child)
         every.append(child)
-        if tag not in VOID and not m[3].rstrip().endswith("/"):
-            node = child
+        if tag not in VOID and not rest.rstrip().endswith("/"):
+            held.push(child)
     for x in reversed(every):  # children come after their parents
         x.kids = [c for c in x.children if isinstance(c, Node)]
         x.key = hash(tuple([c if isinstance(c, str) else c.key for c in x.children if isinstance(c, str) or not c.hidden]))

@@ -81,8 +81,8 @@ def _slots(node: Node, partners: int, sizes: dict) -> int:
     return total
 
 
-def _root(page: Node, partners: int) -> tuple[Node, bool]:
-    """The content root, and whether the page itself names it."""
+def _roots(page: Node, partners: int) -> tuple[list[Node], bool]:
+    """The content roots, and whether the page itself names them: an article comes with those beside it that have slots."""
     sizes: dict = {}
     _slots(page, partners, sizes)
     best, stack = None, [page]
@@ -94,12 +94,13 @@ def _root(page: Node, partners: int) -> tuple[Node, bool]:
                 if (child.tag in ("article", "main") or "main" in child.names.split()) and (best is None or sizes[id(child)] > sizes[id(best)]):
                     best = child
     if best is not None and (sizes[id(best)] or best.children):
-        return best, True
+        beside = [c for c in best.parent.elements() if c.tag == "article" and (c is best or sizes.get(id(c)))]
+        return (beside if best.tag == "article" else [best]), True
     node = page
     while True:
         most = max((c for c in node.elements() if c.tag in BLOCKS and id(c) in sizes), key=lambda c: sizes[id(c)], default=None)
         if most is None or most.tag in ("p", "li", "h1", "h2", "h3") or sizes[id(most)] <= 0.6 * sizes[id(node)]:
-            return node, False
+            return [node], False
         node = most
 
 
@@ -149,7 +150,8 @@ def extract(page: str | None, partners: list[Node] = ()) -> str:
         if partner.key != tree.key:
             align(tree, partner)
             used += 1
-    return "\n".join(_blocks(*_root(tree, used), used))
+    roots, named = _roots(tree, used)
+    return "\n".join(x for root in roots for x in _blocks(root, named, used))
 
 
 def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,6 +1,7 @@
 """HTML extraction: what stays in an article, what goes, and exact matching of long lists."""
 
 import random
+import time
 
 import numpy as np
 
@@ -61,3 +62,26 @@ def test_very_long_page(spark):
     rows = [(k, "http://three.example/", html + f"<p>{k}</p>") for k in range(3)] + [(9, None, None), (10, "", "")]
     got = {r["page_id"]: r for r in pages.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got[0]["n_chars"] == 50_000 * 26 - 1 and got[9]["text"] == got[10]["text"] == ""
+
+
+def test_articles_beside_one_another_are_all_kept():
+    page = lambda k: f"<html><body><nav>menu</nav><article><p>First story {k} goes on for a while.</p></article><article><h2>Second {k}</h2><p>It has words {k}.</p></article><footer>end</footer></body></html>"
+    others = [dom.parse(page(k)) for k in range(1, 5)]
+    want = "First story 0 goes on for a while.\nSecond 0\nIt has words 0."
+    assert pages.extract(page(0), others) == want == pages.extract(page(0))
+
+
+def test_an_unclosed_quote_leaves_no_markup():
+    assert pages.extract('<article><p>one</p>\n<a href="x>link\n</a><p>two') == "one\nlink\ntwo"
+
+
+def test_broken_markup_is_read_in_linear_time():
+    for piece, end in (('<a "x" ', ""), ('<a "x" ', '">'), ("<b>", ""), ("</i>", ""), ("<!a ", ""), ("<li><ul>", "</li>"), ("<a '>", '"')):
+        page = "<article><p>text</p>" + piece * (500_000 // len(piece)) + end * 50_000
+        began = time.time()
+        dom.parse(page)
+        assert time.time() - began < 10, piece
+    page = "<b>" * 20_000 + "<p>x</p></i>" * 20_000
+    began = time.time()
+    dom.parse(page)
+    assert time.time() - began < 10
