@@ -13,7 +13,8 @@ The matches of two documents are chained in order of both, with a cost for the g
 tree over the places in the first document. A chain is then aligned word by word from its first match to both sides, over
 insertions, deletions and changes of up to SKIP words. Where that ends, it starts again from the chain's next match
 beyond, until none is left. Each stretch is judged on its own and kept as a passage if it spans at least LEAST words in
-both documents and SIMILAR of them agree.
+both documents and SIMILAR of them agree. The words of the chain and MARGIN on either side are looked at first; a chain
+whose passage comes near their edge is aligned again with WIDER times as many, until none does or the text ends.
 
 Defined results: a null doc_id can't be named in a result and gives none; a null text, an empty one or one of fewer than
 K words has no seeds; rows that share a doc_id are one document (equal ones count once); of several holders the smallest
@@ -37,7 +38,9 @@ from pyspark.sql import functions as F
 
 from .common import cut, words
 
-K, W, LEAST, SIMILAR, SKIP, MARGIN, GAP = 5, 8, 50, 0.8, 12, 48, 0.25
+K, W, LEAST, SIMILAR, SKIP, GAP = 5, 8, 50, 0.8, 12, 0.25
+#: Words around a chain that are aligned at first, and how many times more where they don't do.
+MARGIN, WIDER = 48, 8
 #: A chain spans so many words at least; and the numbers of neighbouring seeds that are keys of their own.
 REACH, RUNS = 6, (2, 4)
 
@@ -255,22 +258,50 @@ def stretches(x: list, y: list, matches: list[tuple[int, int]]) -> Iterator[tupl
 
 
 def _verified(least: int, similar: float):
+    """The passages of each chain, given a segment of both texts; or the chain alone, `open`, where one comes so near to the
+    edge of a segment that was cut there that more words could change it."""
+    near = SKIP + 3  # words that _walk looks ahead
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for doc, first, m, m0, s, s0, p, q in zip(*[batch.column(c).to_pylist() for c in ("doc", "first", "m", "m0", "s", "s0", "p", "q")]):
+            columns = ("c", "doc", "first", "m", "m0", "s", "s0", "n", "n0", "p", "q")
+            for c, doc, first, m, m0, s, s0, n, n0, p, q in zip(*[batch.column(k).to_pylist() for k in columns]):
                 x, y = p.encode("utf-8", "surrogatepass").split(), q.encode("utf-8", "surrogatepass").split()
-                for b, e, b0, e0, same, steps in stretches(x, y, [(a - s, a0 - s0) for a, a0 in zip(m, m0)]):
+                found = list(stretches(x, y, [(a - s, a0 - s0) for a, a0 in zip(m, m0)]))
+                low, low0 = (near if s else 0), (near if s0 else 0)
+                high, high0 = len(x) - near * (len(x) == n), len(y) - near * (len(y) == n0)  # a shorter one is the text's end
+                if any(b < low or b0 < low0 or e > high or e0 > high0 for b, e, b0, e0, _, _ in found):
+                    rows.append((c, doc, None, None, None, None, None, None, None, True))
+                    continue
+                for b, e, b0, e0, same, steps in found:
                     if min(e - b, e0 - b0) >= least and same >= similar * steps:
-                        rows.append((doc, s + b, s + e, first, s0 + b0, s0 + e0, same, same / steps))
+                        rows.append((c, doc, s + b, s + e, first, s0 + b0, s0 + e0, same, same / steps, False))
             kind = batch.column("doc").type
-            kinds = [kind, pa.int64(), pa.int64(), kind, pa.int64(), pa.int64(), pa.int64(), pa.float64()]
-            names = ["doc_id", "start_word", "end_word", "first_doc_id", "first_start", "first_end", "same_words", "similarity"]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [[]] * 8, kinds)], names)
+            kinds = [pa.int64(), kind, pa.int64(), pa.int64(), kind, pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.bool_()]
+            names = ["c", "doc_id", "start_word", "end_word", "first_doc_id", "first_start", "first_end", "same_words", "similarity", "open"]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [[]] * 10, kinds)], names)
 
     return run
 
 
+def _aligned(chains: DataFrame, docs: DataFrame, margin: int, least: int, similar: float) -> DataFrame:
+    """_verified on the words of each chain and `margin` more on either side."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    edge = lambda c: F.greatest(F.lit(0), F.col(c) - margin)
+    size = lambda a, b: (F.col(b) + K + margin - edge(a)).cast("int")
+    span = lambda side, doc, a, b: F.struct(F.lit(side).alias("side"), F.col(doc).alias("id"), edge(a).alias("s"), size(a, b).alias("n"))
+    sides = chains.select("c", F.explode(F.array(span(0, "doc", "a", "b"), span(1, "first", "a0", "b0"))).alias("x")).select("c", "x.*")
+    parts = sides.join(docs, sides["id"] == docs["doc_id"])
+    parts = parts.select("c", "side", F.array_join(F.slice(words(F.col("text")), F.col("s") + 1, F.col("n")), " ").alias("t"))
+    # Two segments a chain (more if rows share a doc_id) meet by the chain's hash.
+    text = lambda side: F.collect_set(F.when(F.col("side") == side, F.col("t")))
+    pairs = parts.groupBy("c").agg(text(0).alias("p"), text(1).alias("q"))
+    both = chains.join(pairs, "c").withColumn("p", F.explode("p")).withColumn("q", F.explode("q"))
+    both = both.select("c", "doc", "first", "m", "m0", edge("a").alias("s"), edge("a0").alias("s0"), size("a", "b").alias("n"), size("a0", "b0").alias("n0"), "p", "q")
+    return both.mapInArrow(_verified(least, similar), f"c long, doc_id {kind}, start_word long, end_word long, first_doc_id {kind}, first_start long, first_end long, same_words long, similarity double, open boolean")
+
+
 def repeats(docs: DataFrame, least: int = LEAST, similar: float = SIMILAR) -> DataFrame:
     """One row for each passage that a document shares with the first document that has it: doc_id, start_word,
     end_word, first_doc_id, first_start, first_end (word places, ends exclusive), same_words, similarity."""
@@ -292,15 +323,13 @@ def repeats(docs: DataFrame, least: int = LEAST, similar: float = SIMILAR) -> Da
     more = cut(run.mapInArrow(_run_chains, schema), "run-chains")
     chains = found.filter("key is null").union(more).drop("key", "at").distinct()
     chains = chains.withColumn("c", F.xxhash64(*chains.columns))
-    edge = lambda c: F.greatest(F.lit(0), F.col(c) - MARGIN)
-    span = lambda side, doc, a, b: F.struct(F.lit(side).alias("side"), F.col(doc).alias("id"), edge(a).alias("s"), (F.col(b) + K + MARGIN).alias("e"))
-    sides = chains.select("c", F.explode(F.array(span(0, "doc", "a", "b"), span(1, "first", "a0", "b0"))).alias("x")).select("c", "x.*")
-    parts = sides.join(docs, sides["id"] == docs["doc_id"])
-    parts = parts.select("c", "side", F.array_join(F.slice(words(F.col("text")), F.col("s") + 1, F.col("e") - F.col("s")), " ").alias("t"))
-    # Two segments a chain (more if rows share a doc_id) meet by the chain's hash.
-    text = lambda side: F.collect_set(F.when(F.col("side") == side, F.col("t")))
-    pairs = parts.groupBy("c").agg(text(0).alias("p"), text(1).alias("q"))
-    both = chains.join(pairs, "c").withColumn("p", F.explode("p")).withColumn("q", F.explode("q"))
-    both = both.select("doc", "first", "m", "m0", edge("a").alias("s"), edge("a0").alias("s0"), "p", "q")
-    out = both.mapInArrow(_verified(least, similar), f"doc_id {kind}, start_word long, end_word long, first_doc_id {kind}, first_start long, first_end long, same_words long, similarity double")
-    return out.distinct()
+    # Where a passage reaches the edge of its segments, the chain is aligned again with more words around it.
+    done, margin = None, MARGIN
+    while True:
+        aligned = cut(_aligned(chains, docs, margin, least, similar), "aligned")
+        found = aligned.filter("not open").drop("c", "open")
+        done = found if done is None else done.union(found)
+        again = aligned.filter("open").select("c").distinct()
+        if again.isEmpty():
+            return done.distinct()
+        chains, margin = cut(chains.join(again, "c", "left_semi"), "open"), margin * WIDER

@@ -49,3 +49,25 @@ def test_very_long_text(spark):
     rows = [(1, " ".join([*fresh(150_000), *passage, *fresh(10)])), (2, " ".join(passage)), (3, None), (4, ""), (2, " ".join(passage))]
     got = [tuple(r) for r in passages.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
     assert got == [(2, 0, 70, 1, 150_000, 150_070, 70, 1.0)]
+
+
+def test_a_passage_reaches_beyond_its_chain(spark):
+    fresh = make(random.Random(9))
+    passage, rows = fresh(900), []
+    # Smaller ids hold snippets of nearly all of it, so that the matches of the two that share it lie far within.
+    for k in range(0, 850, 6):
+        if not 440 <= k <= 452:
+            rows.append((k, " ".join([*fresh(20), *passage[k : k + 46], *fresh(20)])))
+    rows += [(2000, " ".join([*fresh(80), *passage, *fresh(30)])), (2001, " ".join([*fresh(10), *passage, *fresh(40)]))]
+    got = {tuple(r) for r in passages.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r["first_doc_id"] == 2000}
+    assert got == {(2001, 10, 910, 2000, 80, 980, 900, 1.0)}
+
+
+def test_snippets_of_46_words_hide_none_of_120(spark):
+    fresh = make(random.Random(3))
+    passage, rows = fresh(120), []
+    for k in range(13):
+        rows.append((k, " ".join([*fresh(30), *passage[6 * k : 6 * k + 46], *fresh(30)])))
+    rows += [(100, " ".join([*fresh(80), *passage, *fresh(20)])), (101, " ".join([*fresh(80), *passage, *fresh(40)]))]
+    got = {tuple(r) for r in passages.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r["first_doc_id"] == 100}
+    assert got == {(101, 80, 200, 100, 80, 200, 120, 1.0)}
