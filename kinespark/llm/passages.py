@@ -14,7 +14,8 @@ tree over the places in the first document. A chain is then aligned word by word
 insertions, deletions and changes of up to SKIP words. Where that ends, it starts again from the chain's next match
 beyond, until none is left. Each stretch is judged on its own and kept as a passage if it spans at least LEAST words in
 both documents and SIMILAR of them agree. The words of the chain and MARGIN on either side are looked at first; a chain
-whose passage comes near their edge is aligned again with WIDER times as many, until none does or the text ends.
+whose passage comes near their edge is aligned again with WIDER times as many, until none does, the text ends, or another
+passage of the document goes on there: then all its repeated words are known, and this first holder's part stays cut.
 
 Defined results: a null doc_id can't be named in a result and gives none; a null text, an empty one or one of fewer than
 K words has no seeds; rows that share a doc_id are one document (equal ones count once); of several holders the smallest
@@ -258,8 +259,8 @@ def stretches(x: list, y: list, matches: list[tuple[int, int]]) -> Iterator[tupl
 
 
 def _verified(least: int, similar: float):
-    """The passages of each chain, given a segment of both texts; or the chain alone, `open`, where one comes so near to the
-    edge of a segment that was cut there that more words could change it."""
+    """The passages of each chain, given a segment of both texts; and an `open` row where one comes so near to the edge of a
+    segment that was cut there that more words could change it, with the word up to which it is known on that side."""
     near = SKIP + 3  # words that _walk looks ahead
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -271,9 +272,10 @@ def _verified(least: int, similar: float):
                 found = list(stretches(x, y, [(a - s, a0 - s0) for a, a0 in zip(m, m0)]))
                 low, low0 = (near if s else 0), (near if s0 else 0)
                 high, high0 = len(x) - near * (len(x) == n), len(y) - near * (len(y) == n0)  # a shorter one is the text's end
-                if any(b < low or b0 < low0 or e > high or e0 > high0 for b, e, b0, e0, _, _ in found):
-                    rows.append((c, doc, None, None, None, None, None, None, None, True))
-                    continue
+                left = [s + b for b, _, b0, _, _, _ in found if b < low or b0 < low0]
+                right = [s + e for _, e, _, e0, _, _ in found if e > high or e0 > high0]
+                if left or right:
+                    rows.append((c, doc, min(left, default=None), max(right, default=None), None, None, None, None, None, True))
                 for b, e, b0, e0, same, steps in found:
                     if min(e - b, e0 - b0) >= least and same >= similar * steps:
                         rows.append((c, doc, s + b, s + e, first, s0 + b0, s0 + e0, same, same / steps, False))
@@ -302,6 +304,19 @@ def _aligned(chains: DataFrame, docs: DataFrame, margin: int, least: int, simila
     return both.mapInArrow(_verified(least, similar), f"c long, doc_id {kind}, start_word long, end_word long, first_doc_id {kind}, first_start long, first_end long, same_words long, similarity double, open boolean")
 
 
+def _outer(found: DataFrame) -> DataFrame:
+    """The passages that lie in no other one of the same two documents."""
+    o, k = found.alias("o"), found.alias("k")
+    same = (F.col("o.doc_id") == F.col("k.doc_id")) & (F.col("o.first_doc_id") == F.col("k.first_doc_id"))
+    starts, ends = ("start_word", "first_start"), ("end_word", "first_end")
+    for c in starts:
+        same &= F.col(f"k.{c}") <= F.col(f"o.{c}")
+    for c in ends:
+        same &= F.col(f"k.{c}") >= F.col(f"o.{c}")
+    larger = sum((F.col(f"k.{e}") - F.col(f"k.{b}") for b, e in zip(starts, ends)), F.lit(0)) > sum((F.col(f"o.{e}") - F.col(f"o.{b}") for b, e in zip(starts, ends)), F.lit(0))
+    return o.join(k, same & larger, "left_anti")
+
+
 def repeats(docs: DataFrame, least: int = LEAST, similar: float = SIMILAR) -> DataFrame:
     """One row for each passage that a document shares with the first document that has it: doc_id, start_word,
     end_word, first_doc_id, first_start, first_end (word places, ends exclusive), same_words, similarity."""
@@ -323,13 +338,22 @@ def repeats(docs: DataFrame, least: int = LEAST, similar: float = SIMILAR) -> Da
     more = cut(run.mapInArrow(_run_chains, schema), "run-chains")
     chains = found.filter("key is null").union(more).drop("key", "at").distinct()
     chains = chains.withColumn("c", F.xxhash64(*chains.columns))
-    # Where a passage reaches the edge of its segments, the chain is aligned again with more words around it.
+    # Where a passage reaches the edge of its segments, the chain is aligned again with more words around it; but not where
+    # another passage of the document goes on beyond that edge: its words are found already.
     done, margin = None, MARGIN
     while True:
         aligned = cut(_aligned(chains, docs, margin, least, similar), "aligned")
-        found = aligned.filter("not open").drop("c", "open")
+        found = aligned.filter("not open").drop("open")
+        known = found.select(F.col("doc_id").alias("doc"), F.col("start_word").alias("x"), F.col("end_word").alias("y"))
+        if done is not None:
+            known = known.union(done.select(F.col("doc_id").alias("doc"), F.col("start_word").alias("x"), F.col("end_word").alias("y")))
+        known = known.distinct()
+        edges = aligned.filter("open").select("c", F.col("doc_id").alias("doc"), F.explode(F.array(F.struct(F.col("start_word").alias("w"), (F.col("start_word") - SKIP).alias("v")), F.struct(F.col("end_word").alias("w"), (F.col("end_word") + SKIP).alias("v")))).alias("p"))
+        edges = edges.select("c", "doc", "p.*").filter("w is not null").alias("o")
+        beyond = (F.col("o.doc") == F.col("k.doc")) & (F.col("k.x") <= F.least("o.w", F.greatest("o.v", F.lit(0)))) & (F.col("k.y") >= F.greatest("o.w", "o.v"))
+        again = cut(edges.join(known.alias("k"), beyond, "left_anti").select("c").distinct(), "again")
+        found = found.join(again, "c", "left_anti").drop("c")
         done = found if done is None else done.union(found)
-        again = aligned.filter("open").select("c").distinct()
         if again.isEmpty():
-            return done.distinct()
+            return _outer(cut(done.distinct(), "passages"))
         chains, margin = cut(chains.join(again, "c", "left_semi"), "open"), margin * WIDER
