@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, words
+from .common import cut, discard, words
 
 K, W, LEAST, SIMILAR, SKIP, GAP = 5, 8, 50, 0.8, 12, 0.25
 #: Words around a chain that are aligned at first, and how many times more where they don't do.
@@ -325,12 +325,17 @@ def repeats(docs: DataFrame, least: int = LEAST, similar: float = SIMILAR) -> Da
     seeds = cut(docs.mapInArrow(_seeds, f"h long, doc {kind}, at int, n int"), "all-seeds")
     held = seeds.groupBy("h").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).filter("first != last").select("h", "first")
     # Written first: a join of two plain shuffles is one that Spark can split where a seed is frequent.
-    met = cut(seeds.join(cut(held, "held"), "h"), "seeds")
+    held = cut(held, "held")
+    met = cut(seeds.join(held, "h"), "seeds")
+    discard(seeds)
+    discard(held)
     where = cut(met.filter("doc = first").groupBy("h").agg(F.min("at").alias("at0")), "first")
     matches = met.join(where, "h").select("h", "doc", "n", "at", "first", "at0")
     matches = matches.repartition("doc").sortWithinPartitions("doc", "at")
     schema = f"doc {kind}, first {kind}, a int, b int, a0 int, b0 int, m array<int>, m0 array<int>, key long, at int"
     found = cut(matches.mapInArrow(_first_chains, schema), "chains")
+    discard(met)
+    discard(where)
     keys = found.filter("key is not null").select("key", "doc", "at", "m")
     holder = keys.groupBy("key").agg(F.min(F.struct("doc", "at", "m")).alias("x"), F.max("doc").alias("last")).filter("x.doc != last")
     run = keys.join(cut(holder.select("key", F.col("x.doc").alias("first"), F.col("x.m").alias("m0")), "runs"), "key").filter("doc != first")
@@ -340,9 +345,9 @@ def repeats(docs: DataFrame, least: int = LEAST, similar: float = SIMILAR) -> Da
     chains = chains.withColumn("c", F.xxhash64(*chains.columns))
     # Where a passage reaches the edge of its segments, the chain is aligned again with more words around it; but not where
     # another passage of the document goes on beyond that edge: its words are found already.
-    done, margin = None, MARGIN
+    done, margin, texts = None, MARGIN, docs
     while True:
-        aligned = cut(_aligned(chains, docs, margin, least, similar), "aligned")
+        aligned = cut(_aligned(chains, texts, margin, least, similar), "aligned")
         found = aligned.filter("not open").drop("open")
         known = found.select(F.col("doc_id").alias("doc"), F.col("start_word").alias("x"), F.col("end_word").alias("y"))
         if done is not None:
@@ -357,3 +362,6 @@ def repeats(docs: DataFrame, least: int = LEAST, similar: float = SIMILAR) -> Da
         if again.isEmpty():
             return _outer(cut(done.distinct(), "passages"))
         chains, margin = cut(chains.join(again, "c", "left_semi"), "open"), margin * WIDER
+        # Few documents: Spark knows the size of the written ids, and needn't shuffle texts to pick theirs.
+        ids = cut(chains.select(F.col("doc").alias("doc_id")).union(chains.select("first")).distinct(), "open-ids")
+        texts = docs.join(ids, "doc_id", "left_semi")
