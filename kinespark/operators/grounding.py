@@ -49,7 +49,9 @@ def _overlap(gold: Column, answer: Column) -> Column:
 def _boxes(gold: Column, answer: Column) -> Column:
     """The overlap at each gold frame."""
     box = lambda b: F.array(*[b[k].cast("double") for k in ("xmin", "ymin", "xmax", "ymax")])
-    found = F.transform(gold, lambda b: F.coalesce(G.iou_clamped(F.try_element_at(answer, b["timestamp"].cast("string")), box(b)), F.lit(0.0)))
+    # Both boxes are bound first: their overlap names each of them many times.
+    both = F.transform(gold, lambda b: F.struct(F.try_element_at(answer, b["timestamp"].cast("string")).alias("p"), box(b).alias("g")))
+    found = F.transform(both, lambda z: F.coalesce(G.iou_clamped(z["p"], z["g"]), F.lit(0.0)))
     # A null or empty answer has no frames, but its gold frames count.
     return F.coalesce(F.when(F.coalesce(F.size(answer), F.lit(0)) > 0, found).otherwise(F.transform(gold, lambda b: F.lit(0.0))), F.array().cast("array<double>"))
 
@@ -66,9 +68,9 @@ def measured(items: DataFrame) -> DataFrame:
     out = out.withColumn("rand_tiou", _overlap(F.col("timestamps"), F.array(F.lit(0.0), length)))
     for c in CHAINS:
         answer = F.when(F.size(f"answer_temporal{c}") == 0, stated_interval(F.col(f"answer_temporal_pre{c}"))).otherwise(F.col(f"answer_temporal{c}"))
-        made = F.struct(_overlap(F.col("timestamps"), answer).alias(f"tiou{c}"), _boxes(F.col("bboxes"), F.col(f"answer_spatial{c}")).alias(f"ious{c}"))
-        out = out.select("*", F.inline(F.array(made)))  # read once
-        out = out.withColumn(f"miou{c}", G.mean(F.col(f"ious{c}")))
+        # A generator keeps what is read; a projection would read it again wherever it is named.
+        out = out.select("*", F.inline(F.array(F.struct(answer.alias("_answer"), _boxes(F.col("bboxes"), F.col(f"answer_spatial{c}")).alias(f"ious{c}")))))
+        out = out.select("*", F.inline(F.array(F.struct(_overlap(F.col("timestamps"), F.col("_answer")).alias(f"tiou{c}"), G.mean(F.col(f"ious{c}")).alias(f"miou{c}"))))).drop("_answer")
         aps = [_share(F.col(f"ious{c}"), t) for t in PRECISIONS]
         bits = F.when(F.col("score") >= RIGHT, 1).otherwise(0) + F.when(F.col(f"tiou{c}") >= LONG_ENOUGH, 2).otherwise(0) + F.when(F.col(f"miou{c}") >= WIDE_ENOUGH, 4).otherwise(0)
         out = out.withColumns({f"aps{c}": F.array(*aps), f"bits{c}": F.when(F.col("answered"), bits)})
