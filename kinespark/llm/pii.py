@@ -28,6 +28,7 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 KINDS = ("email", "ip", "card", "phone")
@@ -381,16 +382,19 @@ def _batches(weights: dict):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [find(t, weights) for t in batch.column("text").to_pylist()]
-            counts = [pa.array([sum(s[0] == k for s in every) for _, every in found], pa.int64()) for k in range(len(KINDS))]
+            counts = [pa.array([sum(s[0] == k for s in fixed) for fixed, _ in found], pa.int64()) for k in range(len(KINDS))]
+            added = [pa.array([sum(s[0] == k for s in every) for _, every in found], pa.int64()) for k in range(len(KINDS))]
+            added = [pc.subtract(a, c) for a, c in zip(added, counts)]
             sums = pa.array([hashlib.sha256(_written(fixed).encode()).hexdigest() for fixed, _ in found], pa.string())
             spans = pa.array([_written(every) for _, every in found], pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *counts, sums, spans], ["doc_id", *[f"n_{k}" for k in KINDS], "base_sha256", "spans"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *counts, sums, spans, *added], ["doc_id", *[f"n_{k}" for k in KINDS], "base_sha256", "spans", *[f"added_{k}" for k in KINDS]])
 
     return run
 
 
 def scan(docs: DataFrame, weights: dict | None = None) -> DataFrame:
-    """One row a document: doc_id, n_email, n_ip, n_card, n_phone (of all spans), base_sha256 and spans."""
+    """One row a document: doc_id, n_email, n_ip, n_card, n_phone (of the base spans), base_sha256, all spans, and added_email
+    to added_phone (how many of them the field adds)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    numbers = ", ".join(f"n_{k} long" for k in KINDS)
-    return docs.select("doc_id", "text").mapInArrow(_batches(fit() if weights is None else weights), f"doc_id {kind}, {numbers}, base_sha256 string, spans string")
+    numbers, added = [", ".join(f"{c}_{k} long" for k in KINDS) for c in ("n", "added")]
+    return docs.select("doc_id", "text").mapInArrow(_batches(fit() if weights is None else weights), f"doc_id {kind}, {numbers}, base_sha256 string, spans string, {added}")

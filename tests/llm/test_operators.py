@@ -277,6 +277,17 @@ def test_pii_base_and_field(spark, empty):
     assert pii.scan(empty).count() == 0
 
 
+def test_pii_counts_are_of_base_spans(spark):
+    texts = ["call (415) 555-0199 or mail jane.doe [at] example.com", "call (415) 555-0199, +1 (743) 555-3824, a@b.org", "1.2.3.4", None]
+    got = [r.asDict() for r in pii.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    for r, t in zip(got, texts):
+        kinds = [k for k, _, _ in pii_base(t)]
+        assert [r[f"n_{x}"] for x in pii.KINDS] == [kinds.count(k) for k in range(4)]
+        every = [x.split(":")[0] for x in r["spans"].split(",") if x]
+        assert [r[f"added_{x}"] for x in pii.KINDS] == [every.count(x) - kinds.count(k) for k, x in enumerate(pii.KINDS)]
+    assert got[0]["added_phone"] and got[0]["added_email"] and not got[0]["n_phone"]
+
+
 def test_islands_hold_every_seed_whole():
     for before in ("call 415-555-0199 or ", "born 1985, mail ", "order 12, ", "2024: "):
         for what in ("jane.doe at example dot com", "jane.doe [at] some-company.example.org", "jane (at) " + "a-long-part." * 12 + "org", "415-555-0199 and 212 555 0147", "4111 1111 1111 1111", "192.168.10.201"):
