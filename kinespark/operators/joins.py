@@ -6,13 +6,15 @@ in its own bucket and the two beside it, so that no join compares all pairs.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from kinespark.sources.shared import written
+
 
 def nearest_join(probe: DataFrame, build: DataFrame, keys: list[str], tolerance: float, probe_id: list[str], same: list[str] = ()) -> DataFrame:
     """Each probe row with the build row nearest in time, strictly within the tolerance; the earlier `ord` on ties.
@@ -69,6 +71,39 @@ def containing_join(points: DataFrame, spans: DataFrame, keys: list[str], t: str
     return p.join(s, [*keys, "_power", "_cell"]).filter(F.col(t).between(F.col(start), F.col(end))).drop("_power", "_cell", *(["_every"] if own else []))
 
 
+def contained_totals(points: DataFrame, spans: DataFrame, keys: list[str], t: str, start: str, end: str, by: list[str], write: Callable[[DataFrame, str], DataFrame] = written) -> DataFrame:
+    """For each `by` of spans: `inside`, how many points its closed intervals hold, and `offset`, the sum of how far into
+    them they lie. Those that hold none are left out.
+
+    No pair of a point and an interval is made. Points are added up by key and time; running sums over them are read at the
+    distinct starts and ends, in ranges of keys and times, each from the sum of those before it; and an interval takes the
+    difference of two. So the work grows with points and intervals, whatever these hold. Sums are kept in whole
+    microseconds, so differences of large ones are exact for times of no finer grain. Times are finite; empty intervals and
+    nulls hold nothing and are held by none.
+    """
+    micros = lambda c: F.round(F.col(c) * 1000000).cast("decimal(38,0)")
+    spans = spans.filter(F.col(start) <= F.col(end)).dropna(subset=keys)
+    number, total, none = F.count(F.lit(1)).alias("_n"), F.sum(micros("_at")).cast("decimal(38,0)").alias("_t"), F.lit(0).cast("decimal(38,0)")
+    held = points.dropna(subset=[*keys, t]).select(*keys, F.col(t).alias("_at")).groupBy(*keys, "_at").agg(number, total).withColumn("_kind", F.lit(1))
+    # At one time starts stand before the points and ends after them, as both ends are inside.
+    edge = lambda c, kind: spans.select(*keys, F.col(c).alias("_at")).distinct().select(*keys, "_at", F.lit(0).cast("bigint").alias("_n"), none.alias("_t"), F.lit(kind).alias("_kind"))
+    every = held.unionByName(edge(start, 0)).unionByName(edge(end, 2))
+    order = [*keys, "_at", "_kind"]
+    parts = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    every = write(every.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()), "running")
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = every.groupBy(*keys, "_part").agg(F.sum("_n").alias("_n"), F.sum("_t").cast("decimal(38,0)").alias("_t"))
+    sums = sums.select(*keys, "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n0"), F.coalesce(F.sum("_t").over(before).cast("decimal(38,0)"), none).alias("_t0"))
+    within = Window.partitionBy(*keys, "_part").orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    summed = every.withColumns({"_n": F.sum("_n").over(within), "_t": F.sum("_t").over(within).cast("decimal(38,0)")}).filter("_kind <> 1")
+    summed = summed.join(sums, [*keys, "_part"]).select(*keys, "_at", "_kind", (F.col("_n") + F.col("_n0")).alias("_n"), (F.col("_t") + F.col("_t0")).cast("decimal(38,0)").alias("_t"))
+    at = lambda kind, c, e: summed.filter(F.col("_kind") == kind).select(*keys, F.col("_at").alias(c), F.col("_n").alias(f"_n{e}"), F.col("_t").alias(f"_t{e}"))
+    met = spans.join(at(0, start, "a"), [*keys, start]).join(at(2, end, "b"), [*keys, end]).withColumn("_inside", F.col("_nb") - F.col("_na")).filter("_inside > 0")
+    far = (F.col("_tb") - F.col("_ta")).cast("decimal(38,0)") - micros(start) * F.col("_inside").cast("decimal(20,0)")
+    out = met.select(*by, "_inside", far.cast("decimal(38,0)").alias("_far")).groupBy(*by)
+    return out.agg(F.sum("_inside").alias("inside"), (F.sum("_far").cast("double") / 1000000).alias("offset"))
+
+
 def first_existing(wanted: DataFrame, key: str, candidates: list[Column], listing: DataFrame, path: str = "path") -> DataFrame:
     """Each key with the first of its candidate paths that the listing has; null if it has none."""
     tries = wanted.select(key, F.posexplode(F.array(*candidates)).alias("_k", path)).join(listing.select(path).distinct(), path, "left_semi")

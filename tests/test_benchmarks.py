@@ -108,6 +108,27 @@ def test_containment_equals_all_pairs_without_a_row_for_each_bucket(spark):
     assert J.containing_join(spark.range(0, 100).select(F.lit("a").alias("g"), (F.col("id") * 1e6).alias("t")), year, ["g"], "t", "a", "b", 0.1).count() == 33
 
 
+def test_totals_of_containment_equal_all_pairs_without_the_pairs(spark):
+    rng = random.Random(3)
+    at = lambda: rng.choice([float(rng.randrange(-9, 9)), rng.randrange(-(10**9), 10**9) / 1000])
+    spans = [(k % 140, rng.choice("ab"), a := at(), a + rng.choice([0.0, 0.5, 7.0, 3e5, 1e6, -1.0])) for k in range(160)] + [(900, None, 0.0, 1.0), (901, "a", None, 1.0), (902, "c", 0.0, 1.0)]
+    points = [(rng.choice(["a", "b", None]), rng.choice([at(), rng.choice(spans)[2], rng.choice(spans)[3]])) for _ in range(300)]
+    p, s = spark.createDataFrame(points, "g string, t double"), spark.createDataFrame(spans, "k long, g string, a double, b double")
+    for keys in (["g"], []):
+        want = {}
+        for k, g, a, b in spans:
+            for h, t in points:
+                if (not keys or g is not None and g == h) and None not in (a, t) and a <= t <= b:
+                    n, far = want.get(k, (0, 0.0))
+                    want[k] = n + 1, far + t - a
+        got = {r["k"]: (r["inside"], r["offset"]) for r in J.contained_totals(p.select(*keys, "t"), s, keys, "t", "a", "b", ["k"]).collect()}
+        assert got.keys() == want.keys() and all(got[k][0] == n and got[k][1] == pytest.approx(far, abs=1e-3) for k, (n, far) in want.items())
+    # 100,000 points in each of 100,000 intervals: ten thousand million pairs, a few hundred thousand rows.
+    many = spark.range(100_000).select("id", F.lit("a").alias("g"), (F.col("id") / 1000).alias("t"))
+    found = J.contained_totals(many.select("g", "t"), many.select(F.col("id").alias("k"), "g", (-1 - F.col("t")).alias("a"), (F.col("t") + 1000).alias("b")), ["g"], "t", "a", "b", ["k"])
+    assert found.filter("inside = 100000").count() == 100_000
+
+
 def test_pieces_of_a_heavy_key_are_bounded(spark):
     rows = [("heavy", k) for k in range(1000)] + [("light", k) for k in range(3)] + [(None, 7)]
     df = spark.createDataFrame(rows, "k string, v int").repartition(5)
