@@ -13,16 +13,17 @@ from .registry import query
 
 r6 = lambda c: F.round(c, 6)
 n_ = lambda: F.count(F.lit(1))
+#: Sightings in a piece of a track.
+PIECE = 1024
 
 
-PIECE = 32
-
-
-@query("A01_trajectory_build", f"WITH {OBS}, p AS (SELECT *, (row_number() OVER (PARTITION BY obj, kind ORDER BY t, ord) - 1) // {PIECE} AS piece FROM obs) SELECT obj, kind, piece, string_agg(CAST(ord AS VARCHAR), ',' ORDER BY t, ord) AS track FROM p GROUP BY obj, kind, piece")
+@query("A01_trajectory_build", f"WITH {OBS} SELECT obj, kind, string_agg(CAST(ord AS VARCHAR), ',' ORDER BY t, ord) AS track FROM obs GROUP BY obj, kind")
 def a01(spark, d):
-    held = ordering.pieces(observations(spark, d), ["obj", "kind"], [F.col("t"), F.col("ord")], PIECE)
-    df = held.groupBy("obj", "kind", "piece").agg(F.sort_array(F.collect_list(F.struct("place", "ord"))).alias("s"))
-    return df.select("obj", "kind", "piece", F.array_join(F.transform("s", lambda x: x["ord"].cast("string")), ",").alias("track"))
+    # A row is a whole track, of any length: its sightings are cut in pieces by row numbers, and the pieces' texts joined.
+    held = ordering.pieces(observations(spark, d).select("obj", "kind", "t", "ord"), ["obj", "kind"], [F.col("t"), F.col("ord")], PIECE)
+    said = lambda of: F.nullif(F.array_join(F.transform(F.sort_array(F.collect_list(of)), lambda x: x["text"]), ","), F.lit(""))
+    df = held.groupBy("obj", "kind", "piece").agg(said(F.struct("place", F.col("ord").cast("string").alias("text"))).alias("text"))
+    return df.groupBy("obj", "kind").agg(said(F.struct("piece", "text")).alias("track"))
 
 
 SOURCES = "SELECT source, count(l.doc_id) AS found, count(*) - count(l.doc_id) AS missing FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id GROUP BY source"

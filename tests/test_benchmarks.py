@@ -135,3 +135,15 @@ def test_pieces_of_a_heavy_key_are_bounded(spark):
     held = ordering.pieces(df, ["k"], [F.col("v")], 64, partitions=8)
     got = {(r.k, r.v): (r.piece, r.place) for r in held.collect()}
     assert got == {(k, v): (v // 64, v % 64) if k else (0, 0) for k, v in rows}
+
+
+def test_track_of_many_pieces_is_one_row(spark, tmp_path):
+    from kinespark.plans.aggregates import PIECE
+    from kinespark.queries import QUERIES
+
+    n = 2 * PIECE + 5
+    rows = spark.range(n).select(F.lit(1).cast("bigint").alias("user_id"), (n - F.col("id")).alias("event_id"), F.timestamp_seconds(F.col("id") % 7).cast("timestamp_ntz").alias("ts"), F.lit(0.5).alias("value"), F.lit('{"k": 1}').alias("props"), F.lit("a").alias("event_type"))
+    rows = rows.union(rows.limit(2).withColumns({"user_id": F.lit(2).cast("bigint"), "event_id": F.lit(None).cast("bigint")}))
+    rows.write.parquet(f"{tmp_path}/events.parquet")
+    got = {r["obj"]: r["track"] for r in QUERIES["A01_trajectory_build"](spark, str(tmp_path)).collect()}
+    assert got == {1: ",".join(str(x) for _, x in sorted((k % 7, n - k) for k in range(n))), 2: None}
