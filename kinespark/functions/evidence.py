@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .parse import boxes, interval
+from .parse import bound, boxes, interval
 
 #: What the forms look like; fixed values.
 HEADER = "(?i)Step \\d+:"
@@ -43,60 +43,78 @@ def step(text: Column) -> Column:
     """struct<start, end, boxes, motion, description> of one step's text."""
     lines = F.transform(F.split(text, "\n"), strip)
     line = F.get(F.filter(lines, lambda x: ~x.startswith("Motion:") & ~x.startswith("[") & (F.length(x) > SHORT)), 0)
-    said = F.when(text.rlike(DESCRIPTION), _group(text, DESCRIPTION)).otherwise(line)
+    # Patterns run only where their word stands, and what is named more than once is bound, else they run again.
+    low = F.lower(text)
+    described = F.when(low.contains("description"), F.regexp_extract(text, DESCRIPTION, 1)).otherwise("")
+    said = bound(described, lambda d: F.when(d != "", strip(d)).otherwise(line))
     time = F.coalesce(interval(text), F.struct(F.lit(0.0).alias("start"), F.lit(1.0).alias("end")))
-    # Bound once, else the patterns run again for each field.
-    made = lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), boxes(text).cast("array<array<double>>").alias("boxes"), _group(text, MOTION).alias("motion"), F.coalesce(F.nullif(said, F.lit("")), F.substring(text, 1, WHOLE)).alias("description"))
-    return F.get(F.transform(F.array(time), made), 0)
+    motion = F.when(low.contains("motion"), _group(text, MOTION)).otherwise("")
+    description = bound(said, lambda d: F.when(d != "", d).otherwise(F.substring(text, 1, WHOLE)))
+    made = lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), boxes(text).cast("array<array<double>>").alias("boxes"), motion.alias("motion"), description.alias("description"))
+    return bound(time, made)
 
 
 def _cut(text: Column) -> Column:
     """struct<body, answer>: a step's text up to its answer, and the answer after it; null if it names none."""
-    parts = F.split(text, ANSWER, 2)
-    named = F.lower(text).contains("answer:")
-    return F.struct(F.when(named, F.get(parts, 0)).otherwise(text).alias("body"), F.when(named, strip(F.get(parts, 1))).alias("answer"))
+    parts = F.when(F.lower(text).contains("answer:"), F.split(text, ANSWER, 2))
+    return bound(parts, lambda p: F.struct(F.coalesce(F.get(p, 0), text).alias("body"), strip(F.get(p, 1)).alias("answer")))
 
 
 def _parts(text: Column) -> Column:
     """array<struct<body, answer>> of the steps' texts; an answer is looked for in every headed step, or the last numbered one."""
-    headed, lines = _tail(F.split(text, HEADER)), F.split(text, NUMBERED)
-    numbered = F.transform(lines, lambda x, k: F.when(k == F.size(lines) - 1, _cut(x)).otherwise(F.struct(x.alias("body"), F.lit(None).cast("string").alias("answer"))))
-    return F.when(F.size(headed) > 0, F.transform(headed, _cut)).otherwise(numbered)
+    plain = lambda x: F.struct(x.alias("body"), F.lit(None).cast("string").alias("answer"))
+    numbered = lambda lines: F.transform(lines, lambda x, k: F.when(k == F.size(lines) - 1, _cut(x)).otherwise(plain(x)))
+    return bound(F.split(text, HEADER), lambda parts: F.when(F.size(parts) > 1, F.transform(_tail(parts), _cut)).otherwise(bound(F.split(text, NUMBERED), numbered)))
 
 
 def named_answer(text: Column) -> Column:
     """What follows `answer` to the end of its line, without final marks; '' if nothing does."""
-    return strip(F.regexp_replace(_group(text, NAMED_ANSWER), "[.!?]+$", ""))
+    found = strip(F.regexp_replace(_group(text, NAMED_ANSWER), "[.!?]+$", ""))
+    return F.when(F.lower(text).contains("answer"), found).when(text.isNotNull(), "")
+
+
+def _answer(parts: Column, whole: Column) -> Column:
+    answers = F.filter(F.transform(parts, lambda p: p["answer"]), lambda a: a.isNotNull())
+    return bound(F.try_element_at(answers, F.lit(-1)), lambda last: F.when(last != "", last).otherwise(named_answer(whole)))
+
+
+def chain_steps(text: Column) -> Column:
+    """The steps of `chain`, without its answer."""
+    return F.transform(_parts(F.coalesce(text, F.lit(""))), lambda p: step(p["body"]))
+
+
+def chain_answer(text: Column) -> Column:
+    """The answer of `chain`, without reading its steps."""
+    return bound(F.coalesce(text, F.lit("")), lambda whole: _answer(_parts(whole), whole))
 
 
 def chain(text: Column) -> Column:
     """struct<steps, answer>: the last answer that a step names, else the text's."""
-    whole = F.coalesce(text, F.lit(""))
 
-    def made(parts: Column) -> Column:
-        answers = F.filter(F.transform(parts, lambda p: p["answer"]), lambda a: a.isNotNull())
-        last = F.nullif(F.get(answers, F.size(answers) - 1), F.lit(""))
-        return F.struct(F.transform(parts, lambda p: step(p["body"])).alias("steps"), F.coalesce(last, named_answer(whole)).alias("answer"))
+    def made(whole: Column) -> Column:
+        return bound(_parts(whole), lambda parts: F.struct(F.transform(parts, lambda p: step(p["body"])).alias("steps"), _answer(parts, whole).alias("answer")))
 
-    return F.get(F.transform(F.array(_parts(whole)), made), 0)
+    return bound(F.coalesce(text, F.lit("")), made)
 
 
 def think_predict(text: Column) -> Column:
     """array<struct<step, time, description, think, predict, motion>>: headed steps with one time; boxes in 0 to 1."""
-    text = F.coalesce(text, F.lit(""))
-    part = lambda k: F.regexp_extract_all(text, F.lit(TIMED_HEADER), F.lit(k))
-    steps = F.arrays_zip(part(1).alias("n"), part(2).alias("t"), part(3).alias("d"), _tail(F.split(text, TIMED_HEADER)).alias("b"))
-
     def thought(body: Column, word: str) -> Column:
         pattern = f"{word}:\\s*\\((\\d+),(\\d+)\\),\\((\\d+),(\\d+)\\)"
-        z = F.arrays_zip(*[F.regexp_extract_all(body, F.lit(pattern), F.lit(k)).alias(f"v{k}") for k in (1, 2, 3, 4)])
-        return F.transform(z, lambda p: F.array(*[p[f"v{k}"].try_cast("int") / F.lit(1000.0) for k in (1, 2, 3, 4)]))
+        four = lambda m: F.transform(F.slice(F.split(m, "[^0-9]+"), 2, 4), lambda v: v.try_cast("int") / F.lit(1000.0))
+        return F.when(body.contains(f"{word}:"), F.transform(F.regexp_extract_all(body, F.lit(pattern), F.lit(0)), four)).when(body.isNotNull(), F.array().cast("array<array<double>>"))
 
     def made(s: Column) -> Column:
         time = strip(F.replace(s["t"], F.lit("s"), F.lit(""))).try_cast("double")
         return F.struct(s["n"].try_cast("int").alias("step"), time.alias("time"), strip(s["d"]).alias("description"), thought(s["b"], "Think").alias("think"), thought(s["b"], "Predict").alias("predict"), _group(s["b"], "Motion:\\s*([^\\n]+)").alias("motion"))
 
-    return F.transform(F.filter(steps, lambda s: s["n"].isNotNull()), made)
+    def headed(whole: Column) -> Column:
+        # Heads are found once, and their parts are read from each.
+        heads = F.regexp_extract_all(whole, F.lit(TIMED_HEADER), F.lit(0))
+        part = lambda h, k: F.regexp_extract(h, TIMED_HEADER, k)
+        return F.zip_with(heads, _tail(F.split(whole, TIMED_HEADER)), lambda h, b: made(F.struct(part(h, 1).alias("n"), part(h, 2).alias("t"), part(h, 3).alias("d"), b.alias("b"))))
+
+    return bound(F.coalesce(text, F.lit("")), headed)
 
 
 def steps(text: Column) -> Column:
@@ -108,13 +126,16 @@ def steps(text: Column) -> Column:
         return F.struct(start.alias("start"), (start + 1).alias("end"), found.alias("boxes"), s["motion"].alias("motion"), s["description"].alias("description"))
 
     thought = F.filter(F.transform(think_predict(text), timed), lambda s: F.size(s["boxes"]) > 0)
-    return F.get(F.transform(F.array(thought), lambda t: F.when(F.size(t) > 0, t).otherwise(chain(text)["steps"])), 0)
+    # Boxes stand behind one of these words only.
+    thought = F.when(text.contains("Think:") | text.contains("Predict:"), thought)
+    return bound(thought, lambda t: F.when(F.size(t) > 0, t).otherwise(chain_steps(text)))
 
 
 def final_answer(text: Column) -> Column:
     """The answer of a chain; else the text's last sentence; '' for an empty text."""
     last = strip(F.element_at(F.split(text, SENTENCE_END), -1))
-    return F.when(F.coalesce(text, F.lit("")) == "", "").otherwise(F.coalesce(F.nullif(chain(text)["answer"], F.lit("")), last))
+    found = bound(chain_answer(text), lambda a: F.when(a != "", a).otherwise(last))
+    return F.when(F.coalesce(text, F.lit("")) == "", "").otherwise(found)
 
 
 def valid(found: Column, width: int = 1920, height: int = 1080) -> Column:

@@ -59,15 +59,17 @@ def r13(spark, d):
 @query("R14_R30_final_answer", f"WITH {LINES} SELECT k, max(CASE f WHEN 0 THEN 'order ' || k || '!' WHEN 2 THEN 'order ' || k WHEN 1 THEN printf('line %d of %d moves', n, k) WHEN 4 THEN printf('[%d-%d <bbox>[%d,%d,oops]</bbox> line %d of %d moves', n, n + 2, x, y, n, k) ELSE 'it moves ' || n END) AS answer FROM s WHERE i = m GROUP BY k")
 def r14(spark, d):
     # Without an answer it is the last sentence; these texts have no sentences but their last lines.
-    answer = E.final_answer(F.col("text"))
+    answer = F.col("answer")
     ends = F.regexp_extract(answer, "(line \\d+ of \\d+ moves)$", 1)
     last = F.when(F.col("f") == 1, ends).when(F.col("f") == 3, F.regexp_extract(answer, "(it moves \\d+)$", 1)).when(F.col("f") == 4, F.regexp_extract(answer, "(\\[\\d+-\\d+ <bbox>[^<]*</bbox> line \\d+ of \\d+ moves)$", 1))
-    return _texts(spark, d).select("k", F.coalesce(last, answer).alias("answer"))
+    # A generator keeps the answer; a projection would read it again for each of these.
+    df = _texts(spark, d).select("k", "f", F.inline(F.array(F.struct(E.final_answer(F.col("text")).alias("answer")))))
+    return df.select("k", F.coalesce(last, answer).alias("answer"))
 
 
 @query("R15_W16_format_valid", f"WITH {LINES}, b AS (SELECT *, lag(n) OVER (PARTITION BY k ORDER BY i) AS before FROM s) SELECT k, bool_and(CASE WHEN f IN (0, 2) THEN q > 0 ELSE TRUE END) AS valid, count(*) FILTER (CASE f WHEN 0 THEN n < before + 1.9 WHEN 2 THEN n < before + 1.9 WHEN 3 THEN n < before + 2.9 ELSE i > 1 END) AS early FROM b GROUP BY k")
 def r15(spark, d):
-    df = _texts(spark, d).select("k", F.inline(F.array(E.chain(F.col("text")))))
+    df = _texts(spark, d).select("k", F.inline(F.array(F.struct(E.chain_steps(F.col("text")).alias("steps")))))
     return df.select("k", E.valid(F.col("steps")).alias("valid"), F.size(E.early(F.col("steps"))).cast("bigint").alias("early"))
 
 

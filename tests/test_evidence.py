@@ -97,3 +97,8 @@ def test_composite(spark):
     assert (got[3].spatial, got[3].temporal, got[3].motion) == (0, 0, 0)
     # A still gold against a still first move and a jump: the one pair is alike, half the moves are jumps.
     assert got[4].motion == pytest.approx(0.4 * 0 + 0.4 * 1 + 0.2 * 0.5) and got[4].temporal == 1 and math.isclose(got[4].spatial, 1)
+
+
+def test_final_answer_reads_no_steps(spark):
+    found = repr(E.final_answer(F.col("t")))
+    assert "box_start" not in found and "Motion" not in found and "nswer" in found
