@@ -38,8 +38,7 @@ def first_number(text: Column) -> Column:
 
 def tokens(text: Column) -> Column:
     """Lower-case words of letters, digits and underscores in any script."""
-    out = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "(?U)[^\\w\\s]", " ")
-    return F.filter(F.split(out, "(?U)\\s+"), lambda w: w != "")
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("(?U)\\w+"), F.lit(0))
 
 
 def jaccard(a: Column, b: Column) -> Column:

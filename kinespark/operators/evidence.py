@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from kinespark.functions import evidence as E
 from kinespark.functions import geometry as G
+from kinespark.functions.parse import bound
 from kinespark.functions.text import closeness, tokens
 
 #: Weights of the components, and within motion and captions; fixed values.
@@ -31,9 +32,8 @@ def _mean(values: Column) -> Column:
 
 def _moves(boxes: Column) -> Column:
     """array<struct<x, y>>: the displacements of boxes' centroids."""
-    c = F.transform(boxes, G.centroid)
-    n = F.greatest(F.size(c) - 1, F.lit(0))
-    return F.zip_with(F.slice(c, 1, n), F.slice(c, 2, n), lambda a, b: F.struct((b["x"] - a["x"]).alias("x"), (b["y"] - a["y"]).alias("y")))
+    n = lambda c: F.greatest(F.size(c) - 1, F.lit(0))
+    return bound(F.transform(boxes, G.centroid), lambda c: F.zip_with(F.slice(c, 1, n(c)), F.slice(c, 2, n(c)), lambda a, b: F.struct((b["x"] - a["x"]).alias("x"), (b["y"] - a["y"]).alias("y"))))
 
 
 def _length(v: Column) -> Column:
@@ -59,7 +59,9 @@ def _fidelity(z: Column) -> Column:
 def _motion(pairs: Column, fps: float) -> Column:
     most = MOST_SPEED / fps
     gold = lambda g: F.transform(F.coalesce(g["displacements"], F.array().cast("array<array<double>>")), lambda v: F.struct(F.get(v, 0).alias("x"), F.get(v, 1).alias("y")))
-    both = F.transform(pairs, lambda z: F.struct(_moves(z["p"]["boxes"]).alias("p"), gold(z["g"]).alias("g")))
+    # One box makes no move.
+    moving = F.filter(pairs, lambda z: F.size(z["p"]["boxes"]) > 1)
+    both = F.transform(moving, lambda z: F.struct(_moves(z["p"]["boxes"]).alias("p"), gold(z["g"]).alias("g")))
     both = F.filter(both, lambda m: (F.size(m["p"]) > 0) & (F.size(m["g"]) > 0))
 
     def scored(m: Column) -> Column:
@@ -71,19 +73,19 @@ def _motion(pairs: Column, fps: float) -> Column:
 
 
 def _caption(z: Column) -> Column:
-    said, gold = F.coalesce(z["p"]["description"], F.lit("")), F.coalesce(z["g"]["caption"], F.lit(""))
-    a, b = F.array_distinct(tokens(said)), F.array_distinct(tokens(gold))
-    shared = F.size(F.array_intersect(a, b))
-    f1 = F.when(shared > 0, 2.0 * shared / (F.size(a) + F.size(b))).otherwise(0.0)
-    return WORDS * f1 + LETTERS * closeness(said, gold)
+    def scored(c: Column) -> Column:
+        words = F.struct(F.array_distinct(tokens(c["said"])).alias("a"), F.array_distinct(tokens(c["gold"])).alias("b"))
+        sizes = bound(words, lambda w: F.struct(F.size(F.array_intersect(w["a"], w["b"])).alias("shared"), (F.size(w["a"]) + F.size(w["b"])).alias("all")))
+        return WORDS * bound(sizes, lambda n: F.when(n["shared"] > 0, 2.0 * n["shared"] / n["all"]).otherwise(0.0)) + LETTERS * closeness(c["said"], c["gold"])
 
+    return bound(F.struct(F.coalesce(z["p"]["description"], F.lit("")).alias("said"), F.coalesce(z["g"]["caption"], F.lit("")).alias("gold")), scored)
 
-def components(found: Column, gold: Column, fps: float = FPS) -> dict[str, Column]:
-    """spatial, temporal, motion and caption of parsed steps against gold steps."""
-    pairs = _pairs(found, F.coalesce(gold, F.array()))
+
+def components(pairs: Column, fps: float = FPS) -> dict[str, Column]:
+    """spatial, temporal, motion and caption of parsed steps and gold steps side by side."""
     boxed = F.filter(pairs, lambda z: (F.size(z["p"]["boxes"]) > 0) & (F.size(z["g"]["bbox"]) == 4))
     return {
-        "spatial": _mean(F.transform(boxed, lambda z: G.iou(F.get(z["p"]["boxes"], 0), z["g"]["bbox"]))),
+        "spatial": _mean(F.transform(boxed, lambda z: bound(F.struct(F.get(z["p"]["boxes"], 0).alias("p"), z["g"]["bbox"].alias("g")), lambda b: G.iou(b["p"], b["g"])))),
         "temporal": _mean(F.transform(pairs, lambda z: G.interval_iou(z["p"]["start"], z["p"]["end"], F.coalesce(z["g"]["t_s"], F.lit(0.0)), F.coalesce(z["g"]["t_e"], F.lit(1.0))))),
         "motion": _motion(pairs, fps),
         "caption": _mean(F.transform(pairs, _caption)),
@@ -95,8 +97,9 @@ def composite(df: DataFrame, text: str, gold: str, weights: dict[str, float] | N
     weights = weights or WEIGHTS
     # A generator keeps the parsed steps as they are; a projection would be parsed again for each component.
     held = df.select("*", F.inline(F.array(F.struct(E.steps(F.col(text)).alias("_steps")))))
-    parts = components(F.col("_steps"), F.col(gold), fps)
+    held = held.select("*", F.inline(F.array(F.struct(_pairs(F.col("_steps"), F.coalesce(F.col(gold), F.array())).alias("_pairs")))))
+    parts = components(F.col("_pairs"), fps)
     held = held.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in parts.items()]))))
     total = sum(w * F.col(n) for n, w in weights.items())
     score = F.when(F.size("_steps") > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), total))).otherwise(0.0)
-    return held.withColumn("score", score).drop("_steps")
+    return held.withColumn("score", score).drop("_steps", "_pairs")

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kinespark.functions import evidence as E
-from kinespark.operators.evidence import composite
+from kinespark.operators.evidence import _caption, composite
 
 TWO = "Look.\nStep 1: [2.1s–3.4s] Person <bbox>[120,80,220,350]</bbox> picks up\nMotion: goes up\nDescription: Person picks it up\n\nStep 2: (3.4s, 5s) Ball <bbox>[160,50,210,100]</bbox>\nmotion: flips Description: it hits\nthe wall\n\nAnswer: The wall.\nBecause it did."
 #: text -> ((start, end, boxes, motion, description) of each step, answer).
@@ -102,3 +102,11 @@ def test_composite(spark):
 def test_final_answer_reads_no_steps(spark):
     found = repr(E.final_answer(F.col("t")))
     assert "box_start" not in found and "Motion" not in found and "nswer" in found
+
+
+def test_patterns_stand_once_in_a_chain_and_its_score(spark):
+    t = F.col("t")
+    chain = repr(E.chain(t))
+    assert "final" not in repr(E.chain_steps(t)) and chain.count("final") == 1
+    z = F.struct(F.struct(F.lit("a line moves").alias("description")).alias("p"), F.struct(F.lit("a line").alias("caption")).alias("g"))
+    assert repr(_caption(z)).count("(?U)") == 2
