@@ -58,7 +58,8 @@ def _boxes(gold: Column, answer: Column) -> Column:
 
 def _share(values: Column, least: float) -> Column:
     """The share of an array's values that are `least` or more; 0 for none."""
-    return G.mean(F.transform(values, lambda x: (x >= least).cast("double")))
+    n = F.size(values)
+    return F.when(n > 0, F.size(F.filter(values, lambda x: x >= least)) / n).otherwise(F.lit(0.0))
 
 
 def measured(items: DataFrame) -> DataFrame:

@@ -67,3 +67,10 @@ def test_items_that_meet_conditions(items):
 
 def test_no_items(items):
     assert N.statistics(items.limit(0)).count() == 0
+
+
+def test_shares_read_their_values_once(spark):
+    share = N._share(F.col("v"), 0.3)
+    assert repr(share).count(">=") == 1
+    rows = [([0.3, 0.2, 0.9],), ([],), ([0.1],)]
+    assert [r[0] for r in spark.createDataFrame(rows, "v array<double>").select(share).collect()] == [2 / 3, 0.0, 0.0]
