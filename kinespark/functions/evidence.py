@@ -101,7 +101,7 @@ def think_predict(text: Column) -> Column:
     """array<struct<step, time, description, think, predict, motion>>: headed steps with one time; boxes in 0 to 1."""
     def thought(body: Column, word: str) -> Column:
         pattern = f"{word}:\\s*\\((\\d+),(\\d+)\\),\\((\\d+),(\\d+)\\)"
-        four = lambda m: F.transform(F.slice(F.split(m, "[^0-9]+"), 2, 4), lambda v: v.try_cast("int") / F.lit(1000.0))
+        four = lambda m: F.transform(F.regexp_extract_all(m, F.lit("[0-9]+"), F.lit(0)), lambda v: v.try_cast("int") / F.lit(1000.0))
         return F.when(body.contains(f"{word}:"), F.transform(F.regexp_extract_all(body, F.lit(pattern), F.lit(0)), four)).when(body.isNotNull(), F.array().cast("array<array<double>>"))
 
     def made(s: Column) -> Column:
